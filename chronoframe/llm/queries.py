@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import secrets, simhash, tokenfiles
+from chronoframe.llm import packing, secrets, simhash, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +27,16 @@ def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(_documents(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_near_dedup, op6_token_id_files, op8_secret_scans]
+    own = [op1_simhash_near_dedup, op6_token_id_files, op7_packing, op8_secret_scans]
     return {f.__name__: f for f in own}
 
 
