@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import packing, secrets, simhash, tokenfiles
+from chronoframe.llm import media, packing, secrets, simhash, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(_documents(spark, sf_dir))
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
@@ -36,7 +40,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_near_dedup, op6_token_id_files, op7_packing, op8_secret_scans]
+    own = [op1_simhash_near_dedup, op3_media_columns, op6_token_id_files, op7_packing, op8_secret_scans]
     return {f.__name__: f for f in own}
 
 
