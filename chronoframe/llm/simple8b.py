@@ -16,52 +16,64 @@ BLOCK = 1024
 _SELECTOR = np.uint64(60)
 
 
+_BITS16 = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1.0))).astype(np.uint8)
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs, 1 at least."""
-    bits = np.ones(len(ids), dtype=np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        large = rest >= np.uint64(1) << np.uint64(step)
-        bits[large] += step
-        rest[large] >>= np.uint64(step)
+    bits = _BITS16[(ids & np.uint64(0xFFFF)).astype(np.uint16)]
+    for step in (16, 32, 48):
+        large = np.flatnonzero(ids >> np.uint64(step)) if ids.max(initial=0) >> np.uint64(step) else ()
+        if len(large):
+            bits[large] = step + _BITS16[((ids[large] >> np.uint64(step)) & np.uint64(0xFFFF)).astype(np.uint16)]
     return bits
 
 
+def _later(values: np.ndarray, by: int) -> np.ndarray:
+    """values[i + by], and 0 beyond the end."""
+    out = np.zeros_like(values)
+    out[: max(0, len(values) - by)] = values[by:]
+    return out
+
+
 def _choices(bits: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """At each place the selector with most ids that fit from there on; room: ids left in the block."""
+    """At each place the selector with most ids that fit from there on; room: ids left in the block, as bytes."""
     chosen = np.full(len(bits), ESCAPE, dtype=np.uint8)
-    widest = {1: bits}
-    reach = 1
-    while reach < COUNTS[0]:  # widest[n][i]: the most bits among n ids from i on, for powers of two
-        low = widest[reach]
-        widest[2 * reach] = np.maximum(low, np.append(low[reach:], np.zeros(min(reach, len(low)), dtype=np.uint8))[: len(low)])
-        reach *= 2
+    widest, reach = {1: bits}, 1  # widest[n][i]: the most bits among n ids from i on, for powers of two
     for selector in range(len(COUNTS) - 1, -1, -1):
         n, width = int(COUNTS[selector]), int(WIDTHS[selector])
-        power = 1 << (n.bit_length() - 1)
-        low = widest[power]
-        shift = min(n - power, len(low))
-        most = np.maximum(low, np.append(low[shift:], np.zeros(shift, dtype=np.uint8)))
-        chosen[(most <= width) & (room >= n)] = selector
+        while 2 * reach <= n:
+            widest[2 * reach] = np.maximum(widest[reach], _later(widest[reach], reach))
+            reach *= 2
+        most = widest[reach]
+        if n > reach:
+            most = np.maximum(most, _later(most, n - reach))
+        fits = (most <= width) & (room >= n)
+        chosen = np.where(fits, np.uint8(selector), chosen)
+        if not fits.any() and width < int(bits.min(initial=0)):
+            break
     return chosen
 
 
-def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words, and for each block the offset of its first word. ids: unsigned."""
+def encode_streams(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Streams of so many ids each, one after the other, in one call.
+
+    Returns the words, the number of words of each stream, the offset of each block's first word in its stream, and the
+    number of blocks of each stream.
+    """
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
+    sizes = np.asarray(sizes, dtype=np.int64)
     n = len(ids)
-    if not n:
-        return np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<u4")
-    bits = _bits(ids)
-    place = np.arange(n)
-    room = np.minimum(BLOCK - place % BLOCK, n - place)
-    chosen = _choices(bits, room)
-    taken = np.append(COUNTS, 1)[chosen]
-    steps, at, starts = taken.tolist(), 0, []
-    while at < n:
+    ends = np.cumsum(sizes)
+    place = np.arange(n) - np.repeat(ends - sizes, sizes)
+    left = np.repeat(sizes, sizes) - place
+    room = np.minimum(np.minimum(left, BLOCK - (place & (BLOCK - 1))), int(COUNTS[0])).astype(np.uint8)
+    chosen = _choices(_bits(ids), room)
+    steps, at, starts = np.append(COUNTS, 1).astype(np.uint8)[chosen].tobytes(), 0, []
+    while at < n:  # the one step that follows from the one before
         starts.append(at)
         at += steps[at]
-    first = np.array(starts)
+    first = np.array(starts, dtype=np.int64)
     selector = chosen[first]
     words = selector.astype(np.uint64) << _SELECTOR
     for s in np.unique(selector).tolist():
@@ -69,19 +81,30 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         count, width = int(COUNTS[s]), int(WIDTHS[s])
         rows = np.flatnonzero(selector == s)
-        held = ids[first[rows][:, None] + np.arange(count)]
-        words[rows] |= np.bitwise_or.reduce(held << (np.arange(count, dtype=np.uint64) * np.uint64(width)), axis=1)
+        for k in range(count):
+            words[rows] |= ids[first[rows] + k] << np.uint64(k * width)
     size = np.where(selector == ESCAPE, 2, 1)
     where = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), dtype="<u8")
     out[where] = words
     raw = np.flatnonzero(selector == ESCAPE)
     out[where[raw] + 1] = ids[first[raw]]
-    return out, where[np.flatnonzero(first % BLOCK == 0)].astype("<u4")
+    word_ends = np.append(where, len(out))[np.searchsorted(first, ends)]
+    word_begins = np.append(0, word_ends[:-1])
+    heads = np.flatnonzero(place[first] % BLOCK == 0)
+    stream = np.searchsorted(ends, first[heads], side="right")
+    blocks = np.bincount(stream, minlength=len(sizes))
+    return out, word_ends - word_begins, (where[heads] - word_begins[stream]).astype("<u4"), blocks
 
 
-def decode(words: np.ndarray) -> np.ndarray:
-    """All ids of a run of words, in order."""
+def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One stream: its words, and for each block the offset of its first word."""
+    words, _, offsets, _ = encode_streams(ids, np.array([len(ids)]))
+    return words, offsets
+
+
+def decode_streams(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of streams of so many words each, in order, and the number of ids of each stream."""
     words = np.asarray(words, dtype=np.uint64)
     selector = (words >> _SELECTOR).astype(np.int64)
     escapes = np.flatnonzero(selector == ESCAPE)
@@ -91,23 +114,27 @@ def decode(words: np.ndarray) -> np.ndarray:
             if e != last + 1:
                 real.append(e)
                 last = e
-        raw = np.zeros(len(words), dtype=bool)
-        raw[np.array(real) + 1] = True
-        keep = ~raw
-        after = words[np.minimum(np.arange(len(words)) + 1, len(words) - 1)][keep]
-        words, selector = words[keep], selector[keep]
+        escapes = np.array(real)
+        selector[escapes + 1] = ESCAPE + 1  # raw: no ids of its own
     count = np.append(COUNTS, [1, 0])[selector]
-    starts = np.cumsum(count) - count
-    out = np.zeros(int(count.sum()), dtype=np.uint64)
+    after = np.cumsum(count)
+    starts = after - count
+    out = np.zeros(int(after[-1]) if len(after) else 0, dtype=np.uint64)
+    out[starts[escapes]] = words[escapes + 1] if len(escapes) else 0
     for s in np.unique(selector).tolist():
-        rows = np.flatnonzero(selector == s)
-        if s == ESCAPE:
-            out[starts[rows]] = after[rows]
+        if s >= ESCAPE:
             continue
-        n, width = int(COUNTS[s]), int(WIDTHS[s])
-        shifts = np.arange(n, dtype=np.uint64) * np.uint64(width)
-        out[starts[rows][:, None] + np.arange(n)] = (words[rows][:, None] >> shifts) & np.uint64((1 << width) - 1)
-    return out
+        rows = np.flatnonzero(selector == s)
+        held, to, mask, width = words[rows], starts[rows], np.uint64((1 << int(WIDTHS[s])) - 1), int(WIDTHS[s])
+        for k in range(int(COUNTS[s])):
+            out[to + k] = (held >> np.uint64(k * width)) & mask
+    ends = np.append(0, after)[np.cumsum(sizes)]
+    return out, np.diff(ends, prepend=0)
+
+
+def decode(words: np.ndarray) -> np.ndarray:
+    """All ids of one stream, or of a run of its blocks."""
+    return decode_streams(words, np.array([len(words)]))[0]
 
 
 def decode_block(words: np.ndarray, offsets: np.ndarray, number: int) -> np.ndarray:

@@ -1,8 +1,9 @@
-"""Exact token ids by the tokenizers library, with a memory of words.
+"""Exactly the tokenizers library's ids, with a memory of words.
 
 Both vocabularies split a text into words before any merge, so a word's ids don't depend on its neighbours. A worker
-keeps the ids of words it has met and hands only new words to the library, many in one call. Texts with characters
-whose class, case or normal form could be told differently by Python and by the library go to the library whole.
+keeps the ids of words it has met and merges only new words, by the table of the library's own file. Texts with
+characters whose class, case or normal form could be told differently by Python and by the library go to the library
+whole, and each worker's first texts are encoded by both and must agree.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ import functools
 import itertools
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
 #: Words that a worker keeps; it forgets all of them beyond that.
 MOST_WORDS = 400_000
+#: Texts that each worker encodes by the library as well.
+CHECKED = 8
+_WORD_END = b"\xff"
 #: Latin-1 without controls, no-break space and soft hyphen: \s, \p{L}, \p{N} and lower case are plain there.
 _PLAIN = bytes([9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 _NUMBER = "0-9²³¹¼½¾"
@@ -29,6 +33,48 @@ _BYTE_LEVEL = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTE
 _WORD_ENDS_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+def _alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 as it is, the other bytes from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _merger(model: dict, end: bytes) -> Callable[[bytes], list[int]] | None:
+    """word's bytes (and `end`) -> ids, or None where the file is no plain byte-level BPE whose ids are in the order of its merges.
+
+    The end of a word is a byte that UTF-8 never has, so that a last character with its mark is a pair of bytes; the ids of
+    those pairs are lower than any merge's, so they are joined first, as the vocabulary wants it.
+    """
+    import tiktoken
+
+    if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or (model.get("end_of_word_suffix") or "") != ("</w>" if end else ""):
+        return None
+    byte, ranks = _alphabet(), {}
+    for token, i in model["vocab"].items():
+        last = bool(end) and token.endswith("</w>")
+        try:
+            ranks[bytes(byte[c] for c in (token[:-4] if last else token)) + (end if last else b"")] = i
+        except KeyError:
+            return None
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if len(ranks) != len(model["vocab"]) or made != sorted(made) or len(made) + (512 if end else 256) != len(ranks):
+        return None
+    return tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+class _Memory(dict):
+    """Words and their packed ids; a new word is merged when it is asked for."""
+
+    def __init__(self, merge: Callable[[bytes], list[int]], end: bytes, packed: list[bytes]):
+        super().__init__()
+        self.merge, self.end, self.pack = merge, end, packed.__getitem__
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = b"".join(map(self.pack, self.merge(word.encode() + self.end)))
+        return ids
+
+
 class Coder:
     """encode(texts): for each text its ids as little-endian bytes, `width` bytes an id. path: a tokenizers JSON file."""
 
@@ -44,19 +90,17 @@ class Coder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.width = self.dtype.itemsize
         self.special = [t["content"] for t in rules["added_tokens"]]
-        self.memory: dict[str, bytes] = {}
         before, normal = rules.get("pre_tokenizer") or {}, rules.get("normalizer") or {}
         parts = [p["type"] for p in before.get("pretokenizers", [])]
-        plain = rules["model"].get("type", "BPE") == "BPE" and not rules["model"].get("dropout")
-        self.words = None
-        if plain and [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and before["pretokenizers"][0]["pattern"] == {"Regex": _WORD_ENDS_SPLIT}:
-            self.words, self.between = _WORD_ENDS, " "
-            self.last = np.zeros(size, dtype=bool)
-            for token, i in self.library.get_vocab().items():
-                self.last[i] = token.endswith("</w>")
-        elif plain and not normal and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
-            self.words, self.between = _BYTE_LEVEL, "\n"
-            self.line = self.library.encode("\n", add_special_tokens=False).ids
+        self.words, self.end, self.to_check = None, b"", CHECKED
+        if [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and before["pretokenizers"][0]["pattern"] == {"Regex": _WORD_ENDS_SPLIT}:
+            self.words, self.end = _WORD_ENDS, _WORD_END
+        elif not normal and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+            self.words = _BYTE_LEVEL
+        if self.words:
+            merge = _merger(rules["model"], self.end)
+            self.memory = _Memory(merge, self.end, [i.to_bytes(self.width, "little") for i in range(size)])
+            self.words = self.words if merge else None
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         """The library alone."""
@@ -68,44 +112,23 @@ class Coder:
         except UnicodeEncodeError:
             return False
 
-    def _learn(self, words: list[str]) -> None:
-        """Words joined by what separates them anyway; their ids are cut apart again."""
-        if self.words is _WORD_ENDS:
-            ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.last[ids]) + 1
-            starts = np.append(0, cuts[:-1])
-        else:
-            spaces = [w for w in words if w.isspace()]
-            self.memory.update(zip(spaces, self.whole(spaces), strict=True))
-            words = [w for w in words if not w.isspace()]
-            if not words:
-                return
-            ids = np.array(self.library.encode("\n".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-            lines = np.flatnonzero(ids == self.line[0])
-            starts, cuts = np.append(0, lines + 1), np.append(lines, len(ids))
-        if len(cuts) != len(words):  # not expected; the library alone is always right
-            self.memory.update(zip(words, self.whole(words), strict=True))
-            return
-        raw, w = ids.tobytes(), self.width
-        self.memory.update(zip(words, [raw[a:b] for a, b in zip((starts * w).tolist(), (cuts * w).tolist(), strict=True)], strict=True))
-
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """A batch at a time, so that memory is bounded by the batch and the kept words."""
         if self.words is None:
             return self.whole(texts)
         if len(self.memory) > MOST_WORDS:
             self.memory.clear()
+        known, words, lower = self.memory.__getitem__, self.words.findall, bool(self.end)
         plain = [self._plain(t) for t in texts]
-        lower = self.words is _WORD_ENDS
-        split = [self.words.findall(t.lower() if lower else t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = list(set().union(*split).difference(self.memory)) if split else []
-        for at in range(0, len(new), 10_000):
-            self._learn(new[at : at + 10_000])
-        known = self.memory.__getitem__
-        out = [b"".join(map(known, words)) for words in split]
+        out = [b"".join(map(known, words(t.lower() if lower else t))) if p else b"" for t, p in zip(texts, plain, strict=True)]
         odd = [i for i, p in enumerate(plain) if not p]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
+        if self.to_check and texts:  # each worker holds its first texts against the library
+            few = range(min(self.to_check, len(texts)))
+            if [out[i] for i in few] != self.whole([texts[i] for i in few]):
+                raise RuntimeError("ids differ from the tokenizers library's")
+            self.to_check -= len(few)
         return out
 
     def ids(self, raw: bytes) -> np.ndarray:
