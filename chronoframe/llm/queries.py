@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import media, packing, secrets, simhash, tokenfiles
+from chronoframe.llm import bpe, media, packing, secrets, simhash, tokenfiles
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_documents(spark, sf_dir))
 
 
+def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
@@ -40,7 +44,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_near_dedup, op3_media_columns, op6_token_id_files, op7_packing, op8_secret_scans]
+    own = [op1_simhash_near_dedup, op3_media_columns, op4_bpe_chunk_reuse, op6_token_id_files, op7_packing, op8_secret_scans]
     return {f.__name__: f for f in own}
 
 
