@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import bpe, media, packing, secrets, simhash, tokenfiles
+from chronoframe.llm import bpe, media, packing, secrets, simhash, tokenfiles, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -43,8 +47,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(_documents(spark, sf_dir)))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_near_dedup, op3_media_columns, op4_bpe_chunk_reuse, op6_token_id_files, op7_packing, op8_secret_scans]
+    own = [op1_simhash_near_dedup, op3_media_columns, op4_bpe_chunk_reuse, op6_token_id_files, op7_packing, op8_secret_scans, op9_toxicity]
     return {f.__name__: f for f in own}
 
 
