@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoframe.llm import bpe, media, packing, secrets, simhash, tokenfiles, toxicity
+from chronoframe.llm import bpe, media, packing, quality, secrets, simhash, tokenfiles, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash_near_dedup, op3_media_columns, op4_bpe_chunk_reuse, op6_token_id_files, op7_packing, op8_secret_scans, op9_toxicity]
+    own = [op1_simhash_near_dedup, op3_media_columns, op4_bpe_chunk_reuse, op6_token_id_files, op7_packing, op8_secret_scans, op9_toxicity, op10_quality]
     return {f.__name__: f for f in own}
 
 
