@@ -208,13 +208,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows predicted to be of low quality; decided in the scan, row by row, with all columns as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = model.value.scores(*passages([t or "" for t in texts(batch, text_col)]))
+            found = shared.value.scores(*passages([t or "" for t in texts(batch, text_col)]))
             yield batch.filter(pa.array(found >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -112,10 +112,11 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", count_col: str | None = None, **options) -> DataFrame:
     """docs with each live span of a text replaced by mask. All rows and columns stay, and so do copied examples.
 
-    Overlapping spans become one mask. A text without live spans is as before, null included.
+    Overlapping spans become one mask. A text without live spans is as before, null included. count_col, where it is
+    given, holds the number of characters and follows a changed text.
     """
     found = find_secrets(docs, id_col, text_col, **options)
     live = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
@@ -131,4 +132,10 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     spans = F.transform("_spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-    return joined.select(*(F.when(F.col("_spans").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    changed = joined.select("*", F.when(F.col("_spans").isNotNull(), masked).alias("_masked"))
+
+    def kept(c: str) -> Column:
+        now = {text_col: F.col("_masked"), count_col: F.length("_masked").cast(docs.schema[c].dataType)}.get(c)
+        return F.col(f"`{c}`") if now is None else F.coalesce(now, F.col(f"`{c}`")).alias(c)
+
+    return changed.select(*map(kept, docs.columns))

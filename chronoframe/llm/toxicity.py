@@ -296,15 +296,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows predicted toxic; decided in the scan, row by row, with all columns as they are."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             raw = [word_ids(t or "") for t in texts(batch, text_col)]
             sizes = np.array([len(r) // 4 for r in raw], dtype=np.int64)
-            found = model.value.scores(np.frombuffer(b"".join(raw), dtype="<u2").reshape(-1, 2), sizes)
+            found = shared.value.scores(np.frombuffer(b"".join(raw), dtype="<u2").reshape(-1, 2), sizes)
             yield batch.filter(pa.array(found < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

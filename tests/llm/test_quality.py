@@ -87,7 +87,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert {r["doc_id"] for r in got if r["held_out"]} == {i for i in [*range(400), 2000, 2001] if zlib.crc32(str(i).encode()) % 3 == 1}
     truth = dict(marks)
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in got if r["held_out"] and r["doc_id"] in truth]) > 0.97
-    kept = quality.keep_good(docs, labels)
+    kept = quality.keep_good(docs, quality.train(docs, labels))
     assert kept.schema == docs.schema and sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r["doc_id"] or -1 for r in got if r["predicted"])
 
 

@@ -65,7 +65,7 @@ def test_held_out_accuracy_and_odd_rows(spark, corpus):
     assert {r["doc_id"] for r in held} == {i for i in [*range(900), 2000, 2001] if zlib.crc32(str(i).encode()) % 5 == 0}
     known = [r for r in held if r["doc_id"] in truth]
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in known]) > 0.97
-    kept = toxicity.keep_clean(docs, marks)
+    kept = toxicity.keep_clean(docs, toxicity.train(docs, marks))
     assert kept.schema == docs.schema
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r["doc_id"] or -1 for r in got if not r["predicted"])
 
