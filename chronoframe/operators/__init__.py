@@ -1 +1 @@
-"""Part of the timeline engine."""
+"""Operators over timelines: every function takes DataFrames and column names and returns a DataFrame."""
