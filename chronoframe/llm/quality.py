@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import column, picked, sliced, texts
+from chronoframe.llm.common import column, give_back, picked, sliced, texts
 from chronoframe.llm.labelled import fold, sample
 
 PASSAGE = 40
@@ -25,7 +25,7 @@ BACK = (1, 2, 3, 5, 8)
 HIDDEN, GATE = 16, 8
 EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 600, 64, 0.01, 1e-4
 #: Labelled rows that the fit takes at most, and characters of one of their texts.
-FIT_ROWS, FIT_CHARS = 10_000, 200_000
+FIT_ROWS, FIT_CHARS = 8000, 200_000
 #: Bytes of text described at once.
 AT_ONCE = 8 << 20
 
@@ -184,8 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     found = sample(docs, labels, "quality", 3, 1, fit_rows, FIT_CHARS, id_col, text_col).mapInArrow(run, "bag binary, label int").toArrow()
     rows = sorted(zip(found["bag"].to_pylist(), found["label"].to_pylist(), strict=True))  # the same fit whatever the partitions
+    del found
     features = np.frombuffer(b"".join(r for r, _ in rows), dtype=np.float32).reshape(-1, FEATURES)
-    return fit(features, np.array([len(r) // (4 * FEATURES) for r, _ in rows], dtype=np.int64), np.array([y for _, y in rows], dtype=np.float32))
+    model = fit(features, np.array([len(r) // (4 * FEATURES) for r, _ in rows], dtype=np.int64), np.array([y for _, y in rows], dtype=np.float32))
+    del rows, features
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import ROWS_PER_BATCH, column, picked, sliced, texts
+from chronoframe.llm.common import ROWS_PER_BATCH, column, give_back, picked, sliced, texts
 from chronoframe.llm.labelled import fold, sample
 
 WORDS, HEADS, HEAD = 1 << 15, 1 << 14, 4
@@ -25,7 +25,7 @@ WORDS, HEADS, HEAD = 1 << 15, 1 << 14, 4
 SIZE, FILTERS, FILTER_WIDTHS = 16, 8, (1, 2, 3)
 EPOCHS, STEPS, BATCH, RATE, DROP, DECAY = 4, 150, 64, 0.02, 0.2, 1e-4
 #: Labelled rows that the fit takes at most, and characters of one of their texts.
-FIT_ROWS, FIT_CHARS = 10_000, 200_000
+FIT_ROWS, FIT_CHARS = 8000, 200_000
 #: Positive calibration rows that a language needs for a threshold of its own.
 OWN_THRESHOLD = 20
 #: Words that a worker keeps, and words that are convolved at once.
@@ -158,17 +158,17 @@ class Model:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def _start(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> Model:
+def _start(ids: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> Model:
     """Embeddings whose first number is how sure it is that a hash is commoner in positive texts; unseen hashes are zero."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-
-    def table(column: np.ndarray, size: int) -> np.ndarray:
-        pairs = np.unique(owner * size + column)
-        a = np.bincount(pairs % size, weights=labels[pairs // size], minlength=size)
-        both = np.bincount(pairs % size, minlength=size)
-        b = both - a
-        odds = np.log((a + 0.5) / (labels.sum() + 1)) - np.log((b + 0.5) / ((1 - labels).sum() + 1))
-        sure = np.maximum(0, odds - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+
+    def table(column: int, size: int) -> np.ndarray:
+        a, both = np.zeros(size), np.zeros(size)
+        for own, y in zip(ids, labels, strict=True):
+            met = np.unique(own[:, column])
+            both[met] += 1
+            a[met] += y
+        odds = np.log((a + 0.5) / (labels.sum() + 1)) - np.log((both - a + 0.5) / ((1 - labels).sum() + 1))
+        sure = np.maximum(0, odds - 1.5 * np.sqrt(1 / (a + 0.5) + 1 / (both - a + 0.5)))
         made = rng.normal(0, 0.02, (size, SIZE)).astype(np.float32)
         made[:, 0] = sure
         made[both < 3] = 0
@@ -178,18 +178,18 @@ def _start(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rng: np.rando
     for kernel in kernels:
         kernel[:, 0, 0] = 1 / len(kernel)
     n = len(FILTER_WIDTHS) * FILTERS
-    return Model(table(ids[:, 0], WORDS), table(ids[:, 1], HEADS), kernels, np.zeros(n, dtype=np.float32), np.full(n, 0.3, dtype=np.float32), float(np.log((labels.sum() + 1) / ((1 - labels).sum() + 1))), np.zeros(len(LANGUAGES) + 1, dtype=np.float32))
+    return Model(table(0, WORDS), table(1, HEADS), kernels, np.zeros(n, dtype=np.float32), np.full(n, 0.3, dtype=np.float32), float(np.log((labels.sum() + 1) / ((1 - labels).sum() + 1))), np.zeros(len(LANGUAGES) + 1, dtype=np.float32))
 
 
 def fit(rows: list[bytes], labels: np.ndarray, seed: int = 5) -> Model:
     """Train on word ids of texts; one row in five is kept back to calibrate thresholds. One class only: a model of that class's share."""
     rng = np.random.default_rng(seed)
-    all_ids = [np.frombuffer(r, dtype="<u2").reshape(-1, 2).astype(np.int64) for r in rows]
+    all_ids = [np.frombuffer(r, dtype="<u2").reshape(-1, 2) for r in rows]  # views: the rows are held once
     labels = labels.astype(np.float64)
     order = rng.permutation(len(rows))
     kept_back, train = order[: len(order) // 5], order[len(order) // 5 :]
-    join = lambda of: (np.concatenate([np.zeros((0, 2), dtype=np.int64), *(all_ids[i] for i in of)]), np.array([len(all_ids[i]) for i in of], dtype=np.int64))
-    model = _start(*join(train), labels[train], rng)
+    join = lambda of: (np.concatenate([np.zeros((0, 2), dtype="<u2"), *(all_ids[i] for i in of)]), np.array([len(all_ids[i]) for i in of], dtype=np.int64))
+    model = _start([all_ids[i] for i in train], labels[train], rng)
     parameters = [*model.kernels, model.bias, model.out]
     shift = np.array([model.shift])
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in [*parameters, shift]]
@@ -270,7 +270,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     found = sample(docs, labels, "toxic", 5, 0, fit_rows, FIT_CHARS, id_col, text_col).mapInArrow(run, "ids binary, label int").toArrow()
     rows = sorted(zip(found["ids"].to_pylist(), found["label"].to_pylist(), strict=True))  # the same fit whatever the partitions
-    return fit([r for r, _ in rows], np.array([y for _, y in rows], dtype=np.int64))
+    del found
+    model = fit([r for r, _ in rows], np.array([y for _, y in rows], dtype=np.int64))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
