@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U32 = (1 << 32) - 1
@@ -27,7 +27,8 @@ def half_up(x: Column) -> Column:
 def to_places(x: Column, places: int) -> Column:
     """Rounded to so many decimals by the same rule; built-in rounding goes by decimal text and differs between engines."""
     k = float(10**places)
-    return half_up(x * k) / k
+    rounded = half_up(x * k) / k
+    return F.when(rounded == 0.0, 0.0).otherwise(rounded)  # no negative zero
 
 
 def clamp(x: Column, low, high) -> Column:
@@ -39,28 +40,34 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _times(x: Column, factor: int, add: int = 0) -> Column:
-    """x * factor + add modulo 2^64, in limbs whose products stay below 2^63."""
-    m = F.lit(U32)
-    a, b = x.bitwiseAND(m), F.shiftrightunsigned(x, 32)
-    a0, a1, b0, b1 = a.bitwiseAND(F.lit(0xFFFF)), F.shiftright(a, 16), b.bitwiseAND(F.lit(0xFFFF)), F.shiftright(b, 16)
-    c0, c1 = factor & U32, factor >> 32
-    q = a1 * F.lit(c0)
-    low = a0 * F.lit(c0) + F.shiftleft(q.bitwiseAND(F.lit(0xFFFF)), 16) + F.lit(add)
-    cross = (a0 * F.lit(c1) + F.shiftleft((a1 * F.lit(c1)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(m)
-    upper = (b0 * F.lit(c0) + F.shiftleft((b1 * F.lit(c0)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(m)
-    high = F.shiftrightunsigned(low, 32) + F.shiftright(q, 16) + cross + upper
-    return F.shiftleft(high.bitwiseAND(m), 32).bitwiseOR(low.bitwiseAND(m))
+def _stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns of their own, so that an expression that is used several times is one and not a tree of copies."""
+    return df.withColumns(columns)
 
 
-def position_hash(t: Column, salt: Column | int) -> Column:
-    """64 bits (as a long) of a time in tenths of milliseconds and a salt."""
+def _times(df: DataFrame, x: str, factor: int, add: int = 0) -> DataFrame:
+    """Replaces x by x * factor + add modulo 2^64, in limbs whose products stay below 2^63."""
+    m, half = F.lit(U32), F.lit(0xFFFF)
+    c0, c1 = factor & U32, factor >> 32
+    df = _stage(df, _a=F.col(x).bitwiseAND(m), _b=F.shiftrightunsigned(x, 32))
+    df = _stage(df, _a0=F.col("_a").bitwiseAND(half), _a1=F.shiftright("_a", 16), _b0=F.col("_b").bitwiseAND(half), _b1=F.shiftright("_b", 16))
+    df = _stage(df, _q=F.col("_a1") * F.lit(c0))
+    df = _stage(df, _low=F.col("_a0") * F.lit(c0) + F.shiftleft(F.col("_q").bitwiseAND(half), 16) + F.lit(add))
+    cross = (F.col("_a0") * F.lit(c1) + F.shiftleft((F.col("_a1") * F.lit(c1)).bitwiseAND(half), 16)).bitwiseAND(m)
+    upper = (F.col("_b0") * F.lit(c0) + F.shiftleft((F.col("_b1") * F.lit(c0)).bitwiseAND(half), 16)).bitwiseAND(m)
+    high = F.shiftrightunsigned("_low", 32) + F.shiftright("_q", 16) + cross + upper
+    out = F.shiftleft(high.bitwiseAND(m), 32).bitwiseOR(F.col("_low").bitwiseAND(m))
+    return _stage(df, **{x: out}).drop("_a", "_b", "_a0", "_a1", "_b0", "_b1", "_q", "_low")
+
+
+def with_position_hash(df: DataFrame, into: str, t: Column, salt: Column | int) -> DataFrame:
+    """Adds 64 bits (as a long) of a time in tenths of milliseconds and a salt."""
     salt = F.lit(salt) if isinstance(salt, int) else salt
-    h = half_up(t * 10000.0).cast("long").bitwiseXOR(F.lit(signed(HASH_START))).bitwiseXOR(salt.cast("long"))
-    h = _times(h, HASH_FIRST, 1)
-    h = h.bitwiseXOR(F.shiftrightunsigned(h, 33))
-    h = _times(h, HASH_SECOND)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 28))
+    df = _stage(df, **{into: half_up(t * 10000.0).cast("long").bitwiseXOR(F.lit(signed(HASH_START))).bitwiseXOR(salt.cast("long"))})
+    df = _times(df, into, HASH_FIRST, 1)
+    df = _stage(df, **{into: F.col(into).bitwiseXOR(F.shiftrightunsigned(into, 33))})
+    df = _times(df, into, HASH_SECOND)
+    return _stage(df, **{into: F.col(into).bitwiseXOR(F.shiftrightunsigned(into, 28))})
 
 
 def unsigned_mod(x: Column, m: Column | int) -> Column:

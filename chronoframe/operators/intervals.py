@@ -55,7 +55,8 @@ def join_overlapping(left: DataFrame, right: DataFrame, keys: list[str], width:
     """
     lb = left.select("*", F.explode(_buckets(F.col("a0"), F.col("a1"), width)).alias("_bucket"))
     rb = right.select("*", F.explode(_buckets(F.col("b0"), F.col("b1"), width)).alias("_bucket"))
-    met = lb.join(rb, [*keys, "_bucket"]).where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")))
+    # Sizes after an explode are not known when the plan is made, so neither side may be broadcast on an estimate.
+    met = lb.hint("merge").join(rb, [*keys, "_bucket"]).where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")))
     return met.where(F.col("_bucket") == F.floor(F.greatest("a0", "b0") / width)).drop("_bucket")
 
 
