@@ -68,6 +68,9 @@ class Scene:
         self.lengths = self.fragments[:, 2] - self.fragments[:, 1]
         self.after = np.cumsum(self.lengths)
         self.duration = float(self.after[-1])
+        self.capped = np.concatenate([[0.0], np.cumsum(np.minimum(self.values / 0.18, 1.0))])
+        self.active = np.concatenate([[0.0], np.cumsum(self.values > 0.015)])
+        self.local_ends = [self.to_local(e) for e in self.actions[:, 1].tolist()] if len(self.actions) else []
         self.ranked = self.actions[np.lexsort((self.actions[:, 0], -self.actions[:, 3]))] if len(self.actions) else self.actions
 
     def to_source(self, t: float) -> float:
@@ -86,6 +89,35 @@ class Scene:
         keep = high > low + 1e-9
         return np.stack([self.fragments[keep, 0], self.fragments[keep, 1] + (low - before)[keep], self.fragments[keep, 1] + (high - before)[keep]], axis=1)
 
+    def stretch(self, starts: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where stretches lie in each fragment, in source time: arrays of stretches x fragments, empty where high is not above low."""
+        before = self.after - self.lengths
+        low, high = np.maximum(starts[:, None], before), np.minimum((starts + spans)[:, None], self.after)
+        high = np.where(high > low + 1e-9, high, low)
+        shift = self.fragments[:, 1] - before
+        return low + shift, high + shift
+
+    def covered(self, low: np.ndarray, high: np.ndarray, used: Ranges) -> np.ndarray:
+        own = used[used[:, 0] == self.source]
+        if not len(own):
+            return np.zeros(len(low))
+        meets = np.maximum(np.minimum(high[..., None], own[:, 2]) - np.maximum(low[..., None], own[:, 1]), 0.0).sum(axis=2)
+        return np.minimum(meets, high - low).sum(axis=1)
+
+    def activities(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean capped activity and active share of many stretches, by prefix sums over the motion."""
+        a, b = np.searchsorted(self.times, low), np.searchsorted(self.times, high, side="right")
+        b = np.where(high > low, np.maximum(a, b), a)
+        count = (b - a).sum(axis=1)
+        mean = lambda sums: np.where(count > 0, (sums[b] - sums[a]).sum(axis=1) / np.maximum(count, 1), 0.0)
+        return mean(self.capped), mean(self.active)
+
+    def to_sources(self, t: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.after + 1e-9, t)
+        j = np.minimum(i, len(self.after) - 1)
+        inside = self.fragments[j, 1] + np.clip(t - (self.after[j] - self.lengths[j]), 0.0, self.lengths[j])
+        return np.where(i >= len(self.after), self.end, inside)
+
     def activity(self, start: float, span: float) -> tuple[float, float]:
         """Mean capped activity, and the share of active samples, of a stretch."""
         met = [self.values[np.searchsorted(self.times, a) : np.searchsorted(self.times, b, side="right")] for _, a, b in self.pieces(start, span)]
@@ -206,8 +238,8 @@ class Job:
         slack = 1e-7 if self.smart else 0.001
         hold = min(self.preferred * 0.65, s.duration / SLOWEST, left) if self.smart else 0.0
         source = s.to_source(start)
-        later = [e for e in s.actions[:, 1].tolist() if e > source][:4] if len(s.actions) else []
-        lengths = [self.preferred * 0.65, self.preferred, self.preferred * 1.5, room / self.rate, *((x - start) / self.rate for x in map(s.to_local, later) if x is not None), left]
+        later = [x for x, e in zip(s.local_ends, s.actions[:, 1].tolist(), strict=True) if e > source][:4] if len(s.actions) else []
+        lengths = [self.preferred * 0.65, self.preferred, self.preferred * 1.5, room / self.rate, *((x - start) / self.rate for x in later if x is not None), left]
         out = []
         for length in lengths:
             if length <= 0.04:
@@ -227,48 +259,59 @@ class Job:
     def spans(self, s: Scene, start: float, duration: float) -> list[float]:
         room, slack = s.duration - start, 1e-7 if self.smart else 0.001
         out = [min(duration * self.rate, room), min(duration, room)] + ([room] if room / duration <= FASTEST else [])
-        out += [x - start for x in map(s.to_local, s.actions[:8, 1].tolist() if len(s.actions) else []) if x is not None and x > start]
+        out += [x - start for x in s.local_ends[:8] if x is not None and x > start]
         return [x for x in thinned(out, 0.02) if 1e-6 < x <= room + 1e-6 and SLOWEST - slack <= x / duration <= FASTEST]
 
-    def score(self, shot: Shot, state: State, before: Shot | None) -> Shot:
-        s = self.scenes[shot.scene]
-        duration, rate, time = shot.t1 - shot.t0, shot.span / (shot.t1 - shot.t0), shot.t0
-        shot.pieces = s.pieces(shot.start, shot.span)
-        shot.reused = min(max(taken(shot.pieces, state.used) / shot.span, 0.0), 1.0)
-        shot.activity, active = s.activity(shot.start, shot.span)
-        goes_on = before is not None and before.scene == shot.scene and abs(before.start + before.span - shot.start) < 0.03
+    def scored(self, number: int, starts: np.ndarray, ends: np.ndarray, spans: np.ndarray, time: float, state: State, before: Shot | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score, reused share and activity of many candidate shots of one scene at once."""
+        s = self.scenes[number]
+        durations = ends - time
+        low, high = s.stretch(starts, spans)
+        reused = np.clip(s.covered(low, high, state.used) / spans, 0.0, 1.0)
+        activity, active = s.activities(low, high)
+        goes_on = np.zeros(len(starts), dtype=bool)
+        if before is not None and before.scene == number:
+            goes_on = np.abs(before.start + before.span - starts) < 0.03
         last = state.last_of(s)
         window = min(max(self.preferred * 3.0, 2.0), 5.0) if self.smart else RECURRENCE
-        again = (4.0 if self.smart else 8.0) / (1.0 + math.exp((time - window) / 1.5))
-        replay = max([0.0, *(4.0 * math.exp(-max(time - r.t1, 0.0) / window) for _, _, r in state.recent if taken(shot.pieces, r.pieces) > 0.001)])
+        again = (4.0 if self.smart else 8.0) / (1.0 + math.exp(min((time - window) / 1.5, 700.0)))
+        replay = np.zeros(len(starts))
+        for _, _, r in state.recent:
+            fading = 4.0 * math.exp(-max(time - r.t1, 0.0) / window)
+            replay = np.maximum(replay, np.where(s.covered(low, high, r.pieces) > 0.001, fading, 0.0))
         weight = 0.3 if self.long_clip else 2.0 if self.smart else 1.3
         recency = weight * math.exp(-max(time - last.t1, 0.0) / (self.preferred * 2.0 if self.smart else 4.0)) if last else 0.0
-        source_end = s.to_source(shot.start + shot.span)
-        cuts_action = bool(len(s.actions)) and bool(((source_end > s.actions[:, 0]) & (source_end < s.actions[:, 2] + 0.15) & (source_end < s.actions[:, 1] - 0.05)).any())
-        on_beat = bool((np.abs(self.downbeats - shot.t1) < 0.03).any())
-        gains = [
-            2.5 * shot.activity, 0.9 * active, (1.0 - shot.reused) * (1.0 if self.smart else min(shot.span / self.preferred, 2.0)), 0.0 if last else 0.65,
-            (0.0 if self.smart else 0.3 if self.long_clip else 1.1) if goes_on else 0.0, 0.3 if on_beat else 0.1,
-        ]
-        costs = [
-            shot.reused * ((3.0 if self.smart else 4.0) + again + replay), 0.0 if goes_on and not self.smart else recency, (1.6 if self.smart else 0.6) * abs(math.log(duration / self.preferred)),
-            1.5 * (1.0 - active) * min(duration / self.preferred, 2.0), 1.8 * abs(math.log(rate / self.rate)), (0.45 if self.smart else 0.9) if cuts_action else 0.0,
-            5.0 * abs((s.base + shot.start + shot.span * 0.5) / self.total - (time + duration * 0.5) / self.target) if self.long_clip else 0.0,
-            max((state.held(s) + duration) / self.preferred - 1.5, 0.0) * 1.4 if self.smart else 0.0,
-        ]
-        shot.score = sum(gains) - sum(costs)
-        return shot
+        cuts_action = np.zeros(len(starts), dtype=bool)
+        if len(s.actions):
+            at = s.to_sources(starts + spans)[:, None]
+            cuts_action = ((at > s.actions[:, 0]) & (at < s.actions[:, 2] + 0.15) & (at < s.actions[:, 1] - 0.05)).any(axis=1)
+        on_beat = (np.abs(self.downbeats[None, :] - ends[:, None]) < 0.03).any(axis=1)
+        length = durations / self.preferred
+        gain = 2.5 * activity + 0.9 * active + (1.0 - reused) * (1.0 if self.smart else np.minimum(spans / self.preferred, 2.0)) + (0.0 if last else 0.65)
+        gain = gain + np.where(goes_on, 0.0 if self.smart else 0.3 if self.long_clip else 1.1, 0.0) + np.where(on_beat, 0.3, 0.1)
+        cost = reused * ((3.0 if self.smart else 4.0) + again + replay) + np.where(goes_on & (not self.smart), 0.0, recency) + (1.6 if self.smart else 0.6) * np.abs(np.log(length))
+        cost = cost + 1.5 * (1.0 - active) * np.minimum(length, 2.0) + 1.8 * np.abs(np.log(spans / durations / self.rate)) + np.where(cuts_action, 0.45 if self.smart else 0.9, 0.0)
+        if self.long_clip:
+            cost = cost + 5.0 * np.abs((s.base + starts + spans * 0.5) / self.total - (time + durations * 0.5) / self.target)
+        if self.smart:
+            cost = cost + np.maximum((state.held(s) + durations) / self.preferred - 1.5, 0.0) * 1.4
+        return gain - cost, reused, activity
 
     def candidates(self, state: State, time: float, before: Shot | None) -> list[Shot]:
         out = []
         for number in self.order(state, before):
             s = self.scenes[number]
-            for start in self.starts(number, state, before):
-                if s.duration - start < 0.001:
-                    continue
-                for end in self.ends(s, start, time):
-                    out += [self.score(Shot(number, start, span, time, end), state, before) for span in self.spans(s, start, end - time)]
-        return sorted(out, key=lambda c: (-c.score, c.scene, c.start, c.t1))[:KEPT]
+            tried = [(start, end, span) for start in self.starts(number, state, before) if s.duration - start >= 0.001 for end in self.ends(s, start, time) for span in self.spans(s, start, end - time)]
+            if not tried:
+                continue
+            starts, ends, spans = np.array(tried).T
+            score, reused, activity = self.scored(number, starts, ends, spans, time, state, before)
+            best = np.lexsort((ends, starts, -score))[:KEPT]
+            out += [Shot(number, float(starts[i]), float(spans[i]), time, float(ends[i]), float(reused[i]), float(activity[i]), float(score[i])) for i in best]
+        out = sorted(out, key=lambda c: (-c.score, c.scene, c.start, c.t1))[:KEPT]
+        for c in out:
+            c.pieces = self.scenes[c.scene].pieces(c.start, c.span)
+        return out
 
     def shots(self) -> list[Shot]:
         """One shot after the other, each the best together with 0.35 of the best that can follow it."""

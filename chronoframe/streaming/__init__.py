@@ -1 +1 @@
-"""Part of the timeline engine."""
+"""The stateful operators over streams: the same rules with a key's state kept between micro-batches."""
