@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bpe, hamming, licences, media, packing, quality, secrets, simhash, tokenfiles, toxicity
+from chronoframe.llm import bpe, hamming, licences, media, packing, quality, secrets, simhash, sql, tokenfiles, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_secret_scans": sql.secret_scans()}
