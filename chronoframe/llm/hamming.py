@@ -11,8 +11,11 @@ Equal codes are one index entry with their k least ids, which is all that a top-
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ from chronoframe.llm.common import Workspace
 BITS = 64
 #: Parts that a hot code is cut into while its least ids are found.
 SALTS = 64
+#: Codes of one page of an index key.
+PAGE = 64
+#: Verified pairs that a task holds before it sends on the nearest.
+HELD = 1 << 20
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -37,8 +44,8 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def segment_count(codes: int) -> int:
-    """As many segments as leave about one code a key: 64 / log2(codes), between 2 and 8."""
-    return min(8, max(2, round(BITS / max(8.0, math.log2(max(codes, 2))))))
+    """As many segments as leave about eight codes a key: 64 / (log2(codes) - 3), between 2 and 8."""
+    return min(8, max(2, round(BITS / max(8.0, math.log2(max(codes, 2)) - 3))))
 
 
 def _bounds(m: int) -> list[tuple[int, int]]:
@@ -57,6 +64,51 @@ def _least_ids(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("ids"))  # SALTS * k ids at most
 
 
+def _nearest(held: list[np.ndarray], wanted: int) -> list[np.ndarray]:
+    """Of each query the codes that can be among its `wanted` nearest: each stands for a row at least, so as many codes are enough; ties stay."""
+    q, code, n, distance = held
+    order = np.lexsort((distance, q))
+    q, code, n, distance = q[order], code[order], n[order], distance[order]
+    start, end = np.searchsorted(q, q), np.searchsorted(q, q, side="right")
+    near = distance <= distance[np.minimum(start + wanted, end) - 1]
+    return [x[near] for x in (q, code, n, distance)]
+
+
+def _verified(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], radius: int, wanted: int) -> Iterator[pa.RecordBatch]:
+    """Full distances of the codes that probes hit; a task sends on what can be among the `wanted` nearest, at most HELD rows at a time.
+
+    A pair turns up in every segment at the least distance of all; it is taken in the first of them, so it comes once.
+    """
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def merged() -> list[np.ndarray]:
+        return _nearest([np.concatenate(x) for x in zip(*held, strict=True)], wanted)
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["q", "code", "n", "distance"])
+
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        inner = lists.flatten()
+        code, n = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        q, j = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
+        differ = (q ^ code).view(np.uint64)
+        gaps = np.stack([np.bitwise_count((differ >> np.uint64(a)) & np.uint64((1 << w) - 1)) for a, w in bounds])
+        first = (gaps.min(axis=0) == radius) & (gaps.argmin(axis=0) == j)
+        held.append([q[first], code[first], n[first].astype(np.int32), np.bitwise_count(differ[first]).astype(np.int32)])
+        rows += int(first.sum())
+        if rows > HELD:
+            held = [merged()]
+            rows = len(held[0][0])
+            if rows > HELD // 2:
+                yield out(held[0])
+                held, rows = [], 0
+    if held:
+        yield out(merged())
+
+
 def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in chosen) for chosen in combinations(range(width), radius)]
 
@@ -77,7 +129,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     bounds = _bounds(m)
     widest = max(w for _, w in bounds)
     parts = F.array(*(F.struct(F.lit(j).alias("j"), _segment(F.col("code"), a, w).alias("key")) for j, (a, w) in enumerate(bounds)))
-    keys = space.save(index.select("code", F.size("ids").alias("n"), F.explode(parts).alias("s")).select("code", "n", "s.j", "s.key"), "keys")
+    # A key's codes are pages of about PAGE codes, so a probe that hits is a row for each page and not for each code.
+    keyed = index.select("code", F.size("ids").alias("n"), F.explode(parts).alias("s")).select("code", "n", "s.j", "s.key")
+    sized = keyed.groupBy("j", "key").agg(F.ceil(F.count("*") / PAGE).alias("pages"))
+    paged = keyed.join(sized, ["j", "key"]).withColumn("page", F.pmod(F.xxhash64("code"), F.col("pages")))
+    pages = space.save(paged.groupBy("j", "key", "page").agg(F.collect_list(F.struct("code", "n")).alias("codes")).drop("page"), "pages")
     best = None
     for radius in range(widest + 1):
         if open_codes.isEmpty():
@@ -87,11 +143,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             shell = open_codes.select("q", F.lit(j).alias("j"), F.explode(F.lit(_masks(w, radius))).alias("mask"))  # C(w, radius) values
             shell = shell.select("q", "j", _segment(F.col("q"), a, w).bitwiseXOR(F.col("mask")).alias("key"))
             probes = shell if probes is None else probes.union(shell)
-        met = probes.join(keys, ["j", "key"]).select("q", "code", "n", "j")
-        gaps = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), a, w)) for a, w in bounds]
-        # A pair turns up once: in the first segment of those at the least distance.
-        first = F.col("j") == F.array_position(F.array(*gaps), F.least(*gaps)) - 1 if m > 1 else F.lit(True)
-        met = met.where(first & (F.least(*gaps) == radius)).select("q", "code", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        # The planner takes an exploded table for as small as what it came from: without a hint it would send all probes everywhere.
+        # A query's pages meet in one task, so no other task sends on codes that are near only among those it has seen.
+        met = probes.hint("merge").join(pages, ["j", "key"]).select("q", "j", "codes").repartition("q").mapInArrow(lambda batches, r=radius: _verified(batches, bounds, r, wanted), "q long, code long, n int, distance int")
         found = met if best is None else best.select("q", "code", "n", "distance").union(met)
         # Codes at a distance count by the rows they stand for; a code is needed while fewer than `wanted` rows are nearer.
         nearer = Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
