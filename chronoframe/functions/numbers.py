@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 U32 = (1 << 32) - 1
@@ -40,34 +42,39 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _stage(df: DataFrame, **columns: Column) -> DataFrame:
-    """Columns of their own, so that an expression that is used several times is one and not a tree of copies."""
-    return df.withColumns(columns)
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once.
+
+    An expression that names its argument several times is a tree of copies: nested, it grows beyond what the optimizer
+    can handle, and filters that move below projections copy it again. A lambda's variable is one node wherever it stands.
+    """
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
-def _times(df: DataFrame, x: str, factor: int, add: int = 0) -> DataFrame:
-    """Replaces x by x * factor + add modulo 2^64, in limbs whose products stay below 2^63."""
+def _times(x: Column, factor: int, add: int = 0) -> Column:
+    """x * factor + add modulo 2^64, in limbs whose products stay below 2^63."""
     m, half = F.lit(U32), F.lit(0xFFFF)
-    c0, c1 = factor & U32, factor >> 32
-    df = _stage(df, _a=F.col(x).bitwiseAND(m), _b=F.shiftrightunsigned(x, 32))
-    df = _stage(df, _a0=F.col("_a").bitwiseAND(half), _a1=F.shiftright("_a", 16), _b0=F.col("_b").bitwiseAND(half), _b1=F.shiftright("_b", 16))
-    df = _stage(df, _q=F.col("_a1") * F.lit(c0))
-    df = _stage(df, _low=F.col("_a0") * F.lit(c0) + F.shiftleft(F.col("_q").bitwiseAND(half), 16) + F.lit(add))
-    cross = (F.col("_a0") * F.lit(c1) + F.shiftleft((F.col("_a1") * F.lit(c1)).bitwiseAND(half), 16)).bitwiseAND(m)
-    upper = (F.col("_b0") * F.lit(c0) + F.shiftleft((F.col("_b1") * F.lit(c0)).bitwiseAND(half), 16)).bitwiseAND(m)
-    high = F.shiftrightunsigned("_low", 32) + F.shiftright("_q", 16) + cross + upper
-    out = F.shiftleft(high.bitwiseAND(m), 32).bitwiseOR(F.col("_low").bitwiseAND(m))
-    return _stage(df, **{x: out}).drop("_a", "_b", "_a0", "_a1", "_b0", "_b1", "_q", "_low")
-
-
-def with_position_hash(df: DataFrame, into: str, t: Column, salt: Column | int) -> DataFrame:
-    """Adds 64 bits (as a long) of a time in tenths of milliseconds and a salt."""
+    c0, c1 = F.lit(factor & U32), F.lit(factor >> 32)
+    low16, high16 = lambda v: v.bitwiseAND(half), lambda v: F.shiftright(v, 16)
+    upper = lambda v, c: (low16(v) * c + F.shiftleft(low16(high16(v) * c), 16)).bitwiseAND(m)
+
+    def of_halves(a: Column, b: Column) -> Column:
+        def with_middle(q: Column) -> Column:
+            low = low16(a) * c0 + F.shiftleft(low16(q), 16) + F.lit(add)
+            high = lambda v: F.shiftrightunsigned(v, 32) + F.shiftright(q, 16) + upper(a, c1) + upper(b, c0)
+            return let(low, lambda v: F.shiftleft(high(v).bitwiseAND(m), 32).bitwiseOR(v.bitwiseAND(m)))
+
+        return let(high16(a) * c0, with_middle)
+
+    return let(x, lambda v: let(v.bitwiseAND(m), lambda a: let(F.shiftrightunsigned(v, 32), lambda b: of_halves(a, b))))
+
+
+def position_hash(t: Column, salt: Column | int) -> Column:
+    """64 bits (as a long) of a time in tenths of milliseconds and a salt."""
     salt = F.lit(salt) if isinstance(salt, int) else salt
-    df = _stage(df, **{into: half_up(t * 10000.0).cast("long").bitwiseXOR(F.lit(signed(HASH_START))).bitwiseXOR(salt.cast("long"))})
-    df = _times(df, into, HASH_FIRST, 1)
-    df = _stage(df, **{into: F.col(into).bitwiseXOR(F.shiftrightunsigned(into, 33))})
-    df = _times(df, into, HASH_SECOND)
-    return _stage(df, **{into: F.col(into).bitwiseXOR(F.shiftrightunsigned(into, 28))})
+    bits = half_up(t * 10000.0).cast("long").bitwiseXOR(F.lit(signed(HASH_START))).bitwiseXOR(salt.cast("long"))
+    first = let(_times(bits, HASH_FIRST, 1), lambda h: h.bitwiseXOR(F.shiftrightunsigned(h, 33)))
+    return let(_times(first, HASH_SECOND), lambda h: h.bitwiseXOR(F.shiftrightunsigned(h, 28)))
 
 
 def unsigned_mod(x: Column, m: Column | int) -> Column:

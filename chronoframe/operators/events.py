@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.numbers import half_up, lcg, unsigned_mod, with_position_hash
+from chronoframe.functions.numbers import half_up, lcg, let, position_hash, unsigned_mod
 
 #: The one-frame effects in the order that hashes choose by; the last three flash.
 ONE_FRAMERS = ["OFFSET_BLUR", "RADIAL_BLUR", "DIRECTIONAL_MINIMAX", "WARP_FISHEYE", "BOKEH_OCTAGON", "TINT_SCENE", "SOFT_TINT_FLASH", "FLASH_WHITE", "FLASH_BLACK", "INVERT"]
@@ -41,7 +41,7 @@ def one_framers(segments: DataFrame, downbeats: DataFrame, keys: list[str], styl
     segments: keys, idx, t0, target; downbeats: keys, idx, t, target. A cut has frames -2, -1, 0 and +1.
     """
     pool = CALM_FRAMERS if calm else ONE_FRAMERS
-    even = lambda df, t, salt: with_position_hash(df, "_h", F.col(t), salt).where(F.col("_h").bitwiseAND(F.lit(1)) == 0).drop("_h")
+    even = lambda df, t, salt: df.where(position_hash(F.col(t), salt).bitwiseAND(F.lit(1)) == 0)
     snap = lambda t: half_up(t * float(fps)) / float(fps)
     cuts = even(segments, "t0", 100) if style == "SMOOTH" else segments
     offsets = F.posexplode(F.array(*(F.lit(k / fps) for k in (-2, -1, 0, 1)))).alias("k", "off")
@@ -50,19 +50,21 @@ def one_framers(segments: DataFrame, downbeats: DataFrame, keys: list[str], styl
     beats = even(downbeats, "t", 200) if style == "HYBRID" else downbeats
     beats = beats.select(*keys, target, snap(F.col("t")).alias("t"), (F.col("idx") * 100 + 777).alias("salt"), F.lit(1).alias("origin"), F.col("idx").alias("seq"))
     both = cuts.unionByName(beats).where((F.col("t") >= -1e-6) & (F.col("t") <= F.col(target) + 1e-6))
-    named = with_position_hash(both, "_h", F.col("t"), F.col("salt")).withColumn("type", _pick(pool, F.col("_h"))).withColumn("frame", half_up(F.col("t") * float(fps)).cast("long"))
+    named = both.withColumn("type", let(position_hash(F.col("t"), F.col("salt")), lambda h: _pick(pool, h))).withColumn("frame", half_up(F.col("t") * float(fps)).cast("long"))
     first = Window.partitionBy(*keys, "frame").orderBy("t", "origin", "seq")
     return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*keys, "t", "frame", "type")
 
 
 def transitions(segments: DataFrame, keys: list[str], style: str, wrap: str) -> DataFrame:
     """t, type, frames and is_wrap of transitions at cuts: always a bubble where the source wraps, else by hash; none at the first segment."""
-    segments = with_position_hash(segments, "_h", F.col("t0"), 999).withColumn("_h", unsigned_mod(F.col("_h"), 100))
-    h = F.col("_h")
-    kind = F.lit(None).cast("string")
-    for bound, name in reversed(TRANSITIONS.get(style, [])):
-        kind = F.when(h < bound, name).otherwise(kind)
-    chosen = F.when(F.col(wrap), "WARP_BUBBLE").when(F.col("idx") > 0, kind)
+
+    def by_hash(h: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for bound, name in reversed(TRANSITIONS.get(style, [])):
+            kind = F.when(unsigned_mod(h, 100) < bound, name).otherwise(kind)
+        return kind
+
+    chosen = F.when(F.col(wrap), "WARP_BUBBLE").when(F.col("idx") > 0, let(position_hash(F.col("t0"), 999), by_hash))
     made = segments.select(*keys, "idx", F.col("t0").alias("t"), chosen.alias("type"), F.col(wrap).alias("is_wrap")).where("type is not null")
     frames = F.when(F.col("type") == "WARP_BUBBLE", 4).otherwise(6)
     return made.withColumn("duration_frames", frames)
@@ -112,8 +114,8 @@ def creative_times(anchors: DataFrame, keys: list[str], kind: str, period: Colum
     start = F.least(half_up((F.col("t") + F.when(n == 1, period * lone).otherwise(0.0)) / frame) * frame, latest)
     end = F.least(start + F.least(F.greatest(period * length, F.lit(frame * 2)), F.lit(1.2)), F.col(target))
     made = rows.where(chosen).select(*keys, F.lit(kind).alias("kind"), F.col("t").alias("anchor"), start.alias("t0"), end.alias("t1"), target, period.alias("period"))
-    made = with_position_hash(made.where(F.col("t1") - F.col("t0") > frame), "seed", F.col("anchor"), salt)
-    return made.withColumn("seed", F.col("seed").bitwiseAND(F.lit((1 << 32) - 1)))
+    made = made.where(F.col("t1") - F.col("t0") > frame)
+    return made.withColumn("seed", position_hash(F.col("anchor"), salt).bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def with_clean_gaps(candidates: DataFrame, keys: list[str]) -> DataFrame:

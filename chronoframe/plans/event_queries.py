@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import curves as cv
-from chronoframe.functions.numbers import HASH_FIRST, HASH_SECOND, HASH_START, to_places, unsigned_mod, with_position_hash
+from chronoframe.functions.numbers import HASH_FIRST, HASH_SECOND, HASH_START, let, position_hash, to_places, unsigned_mod
 from chronoframe.operators import events as ev
 from chronoframe.operators import folds
 from chronoframe.plans import presets
@@ -42,8 +42,8 @@ def hash_sql(source: str, into: str, t: str, salt: str) -> str:
 
 @query(f"WITH {TIMELINE_SQL}, " + hash_sql("tl", "hashed", "t", "eid") + " SELECT eid, CAST(h % 1000003 AS BIGINT) AS h_mod, CAST(h // 18014398509481984 AS BIGINT) AS h_top FROM hashed")
 def position_hashes(spark, sf_dir):
-    rows = with_position_hash(timeline(spark, sf_dir), "h", F.col("t"), F.col("eid"))
-    return rows.select("eid", unsigned_mod(F.col("h"), 1000003).alias("h_mod"), F.shiftrightunsigned("h", 54).alias("h_top"))
+    h = position_hash(F.col("t"), F.col("eid"))
+    return timeline(spark, sf_dir).select("eid", let(h, lambda v: unsigned_mod(v, 1000003)).alias("h_mod"), F.shiftrightunsigned(h, 54).alias("h_top"))
 
 
 FPS = 16

@@ -25,7 +25,7 @@ def slow_hash(t, salt):
 
 def test_hash_wraps_as_64_bits(spark):
     rows = [(float(t), s) for t in (0.0, 0.1, -0.125, 14.315, 86400.0) for s in (0, 100, 999, 2**40)]
-    df = nb.with_position_hash(spark.createDataFrame(rows, "t double, s long"), "h", F.col("t"), F.col("s"))
+    df = spark.createDataFrame(rows, "t double, s long").withColumn("h", nb.position_hash(F.col("t"), F.col("s")))
     for r in df.select("*", nb.unsigned_mod(F.col("h"), 97).alias("m")).collect():
         assert r["h"] & ((1 << 64) - 1) == slow_hash(r["t"], r["s"]) and r["m"] == slow_hash(r["t"], r["s"]) % 97
 
