@@ -15,7 +15,9 @@ MOST, LEAST, PAUSE, TAIL, CHUNK = 7, 3, 0.35, 0.15, 5
 def split_words(segments: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Words of segments that have text only, their time shared out evenly: keys, order, pos, word, start, end (three places)."""
     words = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
-    rows = segments.select(*keys, *order, "start", "end", F.size(words).alias("n"), F.posexplode(words).alias("pos", "word"))
+    split = segments.select(*keys, *order, "start", "end", words.alias("_w"))
+    counted = split.select(*keys, *order, "start", "end", F.size("_w").alias("n"), "_w")  # below the explode, so once a text and not once a word
+    rows = counted.select(*keys, *order, "start", "end", "n", F.posexplode("_w").alias("pos", "word"))
     each = F.greatest(F.lit(0.2), F.col("end") - F.col("start")) / F.greatest(F.lit(1), F.col("n"))
     places = lambda x: F.floor(x * 1000.0 + 0.5) / 1000.0
     return rows.select(*keys, *order, "pos", "word", places(F.col("start") + F.col("pos") * each).alias("start"), places(F.col("start") + (F.col("pos") + 1) * each).alias("end"))
