@@ -58,6 +58,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Return what Python and Arrow have freed to the system, after a fit on the driver."""
     import ctypes

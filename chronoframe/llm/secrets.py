@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Workspace
+from chronoframe.llm.common import Workspace, fresh
 
 #: Kind, pattern, group that holds the value, least length of that group. Kinds in the order of listing.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -119,26 +119,27 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     given, holds the number of characters and follows a changed text.
     """
     found = find_secrets(docs, id_col, text_col, **options)
-    live = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
-    live = live.where(F.size("_spans") > 0).dropDuplicates(["_id", "_key"])
+    own_id, own_key, own_spans, made = (fresh(docs, c) for c in ("_id", "_key", "_spans", "_masked"))
+    live = found.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.filter("spans", lambda s: s["live"]).alias(own_spans))
+    live = live.where(F.size(own_spans) > 0).dropDuplicates([own_id, own_key])
     text = F.col(f"`{text_col}`")
     # Only texts with a match of some kind can change: the others stay where they lie, so the join moves few texts.
     matched = F.coalesce(reduce(lambda a, b: a | b, (text.rlike(k[1]) for k in KINDS)), F.lit(False))
     same = docs.where(~matched)
-    joined = docs.where(matched).join(live, F.col(f"`{id_col}`").eqNullSafe(live["_id"]) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == live["_key"]), "left")
+    joined = docs.where(matched).join(live, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col(own_key)), "left")
 
     def step(done: Column, s: Column) -> Column:
         gap = F.concat(done["out"], F.substr(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))))
         more = F.struct(s["end"].cast("int").alias("at"), F.when(s["start"] >= done["at"], F.concat(gap, F.lit(mask))).otherwise(done["out"]).alias("out"))
         return F.when(s["end"] <= done["at"], done).otherwise(more)
 
-    spans = F.transform("_spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    spans = F.transform(own_spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-    changed = joined.select("*", F.when(F.col("_spans").isNotNull(), masked).alias("_masked"))
+    changed = joined.select("*", F.when(F.col(own_spans).isNotNull(), masked).alias(made))
 
     def kept(c: str) -> Column:
-        now = {text_col: F.col("_masked"), count_col: F.length("_masked").cast(docs.schema[c].dataType)}.get(c)
+        now = {text_col: F.col(made), count_col: F.length(made).cast(docs.schema[c].dataType)}.get(c)
         return F.col(f"`{c}`") if now is None else F.coalesce(now, F.col(f"`{c}`")).alias(c)
 
     return changed.select(*map(kept, docs.columns)).union(same.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Workspace, column, free_shuffles, picked, sliced, texts
+from chronoframe.llm.common import Workspace, column, free_shuffles, fresh, picked, sliced, texts
 from chronoframe.llm.components import components
 
 BITS = 64
@@ -236,5 +236,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     Rows without id stay. Rows that repeat both id and place in the group stay together.
     """
     groups = near_duplicates(docs, id_col, text_col, most=most)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == gone["_gone"], "left_anti")
+    name = fresh(docs, "_gone")
+    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -55,3 +55,9 @@ def test_one_owner_many_times_stays_live_and_is_redacted(spark):
 
 def test_no_rows(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_clashing_column_names_survive_redaction(spark):
+    columns = "doc_id long, text string, source string, lang string, _id string, _spans string, _masked string, _key string"
+    docs = spark.createDataFrame([(1, f"x {LONE}", "s", "en", "a", "b", "c", "d"), (2, "clean", "s", "en", "e", "f", "g", "h")], columns)
+    assert sorted(tuple(r) for r in secrets.redacted(docs).collect()) == [(1, "x [SECRET]", "s", "en", "a", "b", "c", "d"), (2, "clean", "s", "en", "e", "f", "g", "h")]
