@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoframe import shipping
+
 #: Rows of one Arrow batch sent to Python. Texts are read whole, so a batch holds this many of them.
 ROWS_PER_BATCH = 512
 
@@ -32,6 +34,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        shipping.ensure(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
@@ -79,6 +82,7 @@ def give_back() -> None:
 
 def picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under names of our own; other columns can have any name. A null text is the empty text."""
+    shipping.ensure(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
 
 

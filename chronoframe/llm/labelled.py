@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe import shipping
+
 
 def fold(doc_id, folds: int):
     """CRC-32 of the id as decimal text, modulo folds; null for a null id."""
@@ -18,6 +20,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_
     that are null, contradict each other or belong to no document are left out, and so are texts of more than
     most_chars characters, which bounds what the fit has to hold.
     """
+    shipping.ensure(docs.sparkSession)
     label = F.col(f"`{label_col}`").cast("int")
     known = labels.where(label.isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(label).alias("_label"), F.max(label).alias("_other")).where("_label = _other")
