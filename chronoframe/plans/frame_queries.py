@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions import curves as cv
 from chronoframe.functions.numbers import to_places
-from chronoframe.operators import kernels
+from chronoframe.operators import analysis, kernels
 from chronoframe.plans.event_queries import D, r6
 from chronoframe.plans.registry import query
+from chronoframe.sources.frames import layout
 from chronoframe.sources.tables import FRAMES_SQL, frames, read
 
 
@@ -153,3 +154,17 @@ def motion_blocks(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in out]), pa.array([c for _, c in out])], names=["frame", "activity", "confidence"])
 
     return _pictures(spark, sf_dir).select("frame", "pixels").mapInArrow(run, "frame long, activity double, confidence double")
+
+
+@query()
+def source_analysis(spark, sf_dir):
+    """Fragments, cuts and motion of each source's tiled pictures at 12 a second; a picture whose number divides by 17 is black."""
+    shot = F.when(F.col("frame") % 40 == 39, 0.9).otherwise(0.0)
+    w = Window.partitionBy("source").orderBy("frame")
+    black = F.when(F.col("frame") % 17 == 0, F.lit(bytes(3 * 48 * 64))).otherwise(F.col("pixels"))
+    rows = _pictures(spark, sf_dir).select("source", "frame", ((F.row_number().over(w) - 1) / 12.0).alias("t"), shot.alias("score"), black.alias("pixels"))
+    rows = rows.withColumn("duration", F.max("t").over(Window.partitionBy("source")) + 1 / 12)
+    a = analysis.analyse(analysis.scan(rows, layout("rgb24", "", 64, 48), 48, 64))
+    parts = [a.fragments.select("source", F.lit("fragment").alias("kind"), F.col("start").alias("a"), F.col("end").alias("b")), a.cuts.select("source", F.lit("cut"), "t", F.lit(0.0)), a.motion.select("source", F.lit("motion"), "t", "activity")]
+    made = parts[0].union(parts[1]).union(parts[2])
+    return made.select("source", "kind", to_places(F.col("a"), 6).alias("a"), to_places(F.col("b"), 6).alias("b"))
