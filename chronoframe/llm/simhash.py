@@ -96,22 +96,26 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _levels(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
-    """Nodes of a forest over sorted codes, leaves first, one root for each [start, end)."""
+    """Nodes of a forest over sorted codes (a row of 64-bit words each), leaves first, one root for each [start, end)."""
     tree = np.repeat(np.arange(len(starts)), -(-(ends - starts) // LEAF))
     number = np.arange(len(tree)) - np.searchsorted(tree, tree)
     first = starts[tree] + number * LEAF
     after = np.minimum(first + LEAF, ends[tree])
-    levels = [{"tree": tree, "first": first, "after": after, "all": np.bitwise_and.reduceat(codes, first), "any": np.bitwise_or.reduceat(codes, first)}]
+    levels = [{"tree": tree, "first": first, "after": after, "all": np.bitwise_and.reduceat(codes, first, axis=0), "any": np.bitwise_or.reduceat(codes, first, axis=0)}]
     while len(levels[-1]["tree"]) > len(starts):
         low = levels[-1]
         head = np.searchsorted(low["tree"], low["tree"])
         cut = np.flatnonzero((np.arange(len(head)) - head) % FAN == 0)
-        levels.append({"tree": low["tree"][cut], "first": cut, "after": np.append(cut[1:], len(head)), "all": np.bitwise_and.reduceat(low["all"], cut), "any": np.bitwise_or.reduceat(low["any"], cut)})
+        levels.append({"tree": low["tree"][cut], "first": cut, "after": np.append(cut[1:], len(head)), "all": np.bitwise_and.reduceat(low["all"], cut, axis=0), "any": np.bitwise_or.reduceat(low["any"], cut, axis=0)})
     for level in levels:
         level["mask"] = ~(level["all"] ^ level["any"])
     return levels
 
 
+def _ones(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+
 def _children(first: np.ndarray, after: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs of children of the node pairs (i, j), i <= j, each unordered pair once; and the pair each comes from."""
     ni, nj = after[i] - first[i], after[j] - first[j]
@@ -126,24 +130,26 @@ def _children(first: np.ndarray, after: np.ndarray, i: np.ndarray, j: np.ndarray
 def link_codes(codes: np.ndarray, group: np.ndarray, most: int, at_once: int = 1 << 14) -> np.ndarray:
     """For each code the index of a code that stands for its component among the codes of its group.
 
-    codes: uint64; group: equal values are consecutive. Two codes of a group are linked at `most` or fewer differing bits.
+    codes: uint64, a code or a row of words each; group: equal values are consecutive. Two codes of a group are linked at
+    `most` or fewer differing bits.
     """
+    codes = codes.reshape(len(codes), -1)
     n = len(codes)
     if not n:
         return np.zeros(0, dtype=np.int64)
     heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     ends = np.append(heads[1:], n)
-    order = np.lexsort((gray_rank(codes), np.repeat(np.arange(len(heads)), ends - heads)))
+    order = np.lexsort((gray_rank(codes[:, 0]), np.repeat(np.arange(len(heads)), ends - heads)))
     sorted_codes, label = codes[order], np.arange(n)
     levels = _levels(sorted_codes, heads, ends)
     roots = np.arange(len(heads))
-    spare = np.zeros(len(heads), dtype=np.uint64)
+    spare = np.zeros((len(heads), codes.shape[1]), dtype=np.uint64)
     stack = [(len(levels) - 1, roots[a : a + at_once], roots[a : a + at_once], spare[a : a + at_once], np.zeros(len(roots[a : a + at_once]), dtype=np.int64)) for a in range(0, len(roots), at_once)]
     while stack:
         depth, i, j, known, gap = stack.pop()
         node = levels[depth]
         both = node["mask"][i] & node["mask"][j]
-        gap = gap + np.bitwise_count((node["all"][i] ^ node["all"][j]) & both & ~known)
+        gap = gap + _ones((node["all"][i] ^ node["all"][j]) & both & ~known)
         near = gap <= most
         if depth == 0 and near.any():  # a leaf pair that is one component already has nothing to add
             low, high = np.minimum.reduceat(label, node["first"]), np.maximum.reduceat(label, node["first"])
@@ -157,27 +163,27 @@ def link_codes(codes: np.ndarray, group: np.ndarray, most: int, at_once: int = 1
             for a in range(0, len(x), at_once):
                 stack.append((depth - 1, x[a : a + at_once], y[a : a + at_once], known[a : a + at_once], gap[a : a + at_once]))
         else:
-            linked = (np.bitwise_count(sorted_codes[x] ^ sorted_codes[y]) <= most) & (x != y)
+            linked = (_ones(sorted_codes[x] ^ sorted_codes[y]) <= most) & (x != y)
             _unite(label, x[linked], y[linked])
     out = np.empty(n, dtype=np.int64)
     out[order] = order[label]
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, fp, rep) sorted by cell: links (u, v) from each rep to the least rep of its component in the cell."""
+def _cells(batches: Iterator[pa.RecordBatch], words: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, words, rep) sorted by cell: links (u, v) from each rep to the least rep of its component in the cell."""
 
-    def links(cell: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        root = link_codes(fp.view(np.uint64), cell, most)
+    def links(cell: np.ndarray, rep: np.ndarray, *code: np.ndarray) -> pa.RecordBatch:
+        root = link_codes(np.stack(code, axis=1).view(np.uint64), cell, most)
         least = rep.copy()
         np.minimum.at(least, root, rep)
         u, v = rep, least[root]
         far = u != v
         return pa.RecordBatch.from_arrays([pa.array(u[far]), pa.array(v[far])], names=["u", "v"])
 
-    held: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * 3
+    held: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * (2 + len(words))
     for batch in batches:
-        rows = [np.ascontiguousarray(column(batch, c).to_numpy(zero_copy_only=False)) for c in ("cell", "fp", "rep")]
+        rows = [np.ascontiguousarray(column(batch, c).to_numpy(zero_copy_only=False)) for c in ("cell", "rep", *words)]
         held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if len(held[0]) >= 1 << 16:  # the last cell can go on in the next batch
             ended = np.flatnonzero(held[0] != held[0][-1])
@@ -188,27 +194,30 @@ def _cells(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         yield links(*held)
 
 
-def code_links(codes: DataFrame, space: Workspace, most: int = 4) -> DataFrame:
-    """Links u, v between rows of codes (fp distinct, rep a distinct long): their closure is that of all pairs at `most` or fewer bits."""
-    count = codes.count()
-    cut, lead = blocks(count, most)
-    keys = []
-    for number, chosen in enumerate(combinations(cut, lead)):
-        mask = sum(((1 << width) - 1) << first for first, width in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(signed))))
-    nodes = codes.select("fp", "rep", F.explode(F.array(*keys)).alias("node"))
+def _node_links(codes: DataFrame, space: Workspace, words: list[str], masks: list[list[int]], most: int, count: int) -> DataFrame:
+    """Links between rows of codes that share an upper node of some tree. masks: of each tree and word the bits that lead there."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [F.xxhash64(F.lit(t), *(F.col(w).bitwiseAND(F.lit(signed(m))) for w, m in zip(words, own, strict=True) if m)) for t, own in enumerate(masks)]
+    nodes = codes.select(*words, "rep", F.explode(F.array(*keys)).alias("node"))
     # Two nodes of equal hash would only share a cell: their codes are compared bit by bit all the same.
     crowded = nodes.groupBy("node").count().where(F.col("count") > CELL_CODES).select("node", F.ceil(2 * F.col("count") / CELL_CODES).cast("int").alias("salts"))
     crowded = space.save(crowded, "crowded")
     if crowded.isEmpty():
-        cells = nodes.select(F.col("node").alias("cell"), "fp", "rep")
+        cells = nodes.select(F.col("node").alias("cell"), *words, "rep")
     else:
-        dealt = nodes.join(crowded, "node", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("salts")))
-        dealt = dealt.select("fp", "rep", "node", "salt", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-        cells = dealt.select(F.when(F.col("salts") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("salt", "other"), F.greatest("salt", "other"))).alias("cell"), "fp", "rep")
-    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * math.comb(len(cut), lead) / 2_000_000))
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, most), "u long, v long")
+        dealt = nodes.join(crowded, "node", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64(*words, F.lit(7)), F.col("salts")))
+        dealt = dealt.select(*words, "rep", "node", "salt", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+        cells = dealt.select(F.when(F.col("salts") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("salt", "other"), F.greatest("salt", "other"))).alias("cell"), *words, "rep")
+    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * len(masks) / 2_000_000))
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, words, most), "u long, v long")
+
+
+def code_links(codes: DataFrame, space: Workspace, most: int = 4) -> DataFrame:
+    """Links u, v between rows of codes (fp distinct, rep a distinct long): their closure is that of all pairs at `most` or fewer bits."""
+    count = codes.count()
+    cut, lead = blocks(count, most)
+    masks = [[sum(((1 << width) - 1) << first for first, width in chosen)] for chosen in combinations(cut, lead)]
+    return _node_links(codes, space, ["fp"], masks, most, count)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
@@ -230,12 +239,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """The rows of docs without all but one of each group of near-duplicates: the row with the least id stays.
+#: Long fingerprints for a similarity: 256 bits, in this many words.
+LONG = ["f0", "f1", "f2", "f3"]
+#: Leading bits of a sampled tree, and the share of pairs right at the greatest distance that some tree must bring together.
+LEAD_BITS, FOUND = 14, 0.95
+
+
+def long_fingerprint(text: str, width: int = 5) -> np.ndarray:
+    """256 bits as four words, by majority over two 128-bit hashes of each word shingle; no words: zeros."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(len(LONG), dtype="<i8")
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    count = max(1, len(words) - width + 1)
+    shingles = [joined[a:b] for a, b in zip([0, *(ends[: count - 1] + 1).tolist()], ends[min(width, len(words)) - 1 :].tolist(), strict=True)]
+    digest = xxhash.xxh3_128_digest
+    ones = np.zeros(256, dtype=np.int64)
+    for at in range(0, count, 2048):
+        part = shingles[at : at + 2048]
+        raw = b"".join([digest(x, 42) for x in part] + [digest(x, 43) for x in part])
+        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(2, -1, 16), axis=2).sum(axis=1, dtype=np.int64)
+        ones += bits.ravel()
+    return np.packbits(2 * ones > count).view("<i8")
+
+
+def bits_apart(similarity: float) -> int:
+    """Differing bits of 256 up to which two texts count as this similar (Jaccard): what the angle between them makes one expect, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(256 * share + math.sqrt(256 * share * (1 - share)))
+
+
+def sampled_masks(most: int, count: int) -> list[list[int]]:
+    """Leading bits of trees, drawn by rule: as many trees as it takes for pairs `most` bits apart to share a node of one of them.
+
+    Nodes hold up to 2^11 codes on average before more bits lead, so at most sizes the trees are the same ones.
+    """
+    lead = max(LEAD_BITS, math.ceil(math.log2(max(count, 1))) - 11)
+    together = (1 - most / 256) ** lead
+    trees = math.ceil(math.log(1 - FOUND) / math.log(1 - together))
+    out = []
+    for t in range(trees):
+        bits = np.random.default_rng(t).choice(256, lead, replace=False)
+        out.append([sum(1 << int(b % 64) for b in bits if b // 64 == w) for w in range(len(LONG))])
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of each row of docs: texts whose word shingles have about this Jaccard similarity or more are linked.
+
+    Similarity is what 256-bit fingerprints say of it: links at bits_apart(similarity) or fewer differing bits. So many bits
+    apart no two texts agree by chance, whatever the corpus. Trees have sampled leading bits, as blocks that must be equal
+    would be too short: of pairs right at that distance 95 % share a node of some tree, of closer ones nearly all. Nulls,
+    empty texts, repeated ids and empty tables are as in near_duplicates.
+    """
+    space = Workspace(docs.sparkSession, "simhash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = np.array([long_fingerprint(t, width) for t in texts(batch)], dtype="<i8").reshape(-1, len(LONG))
+            yield pa.RecordBatch.from_arrays([column(batch, "_id"), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(LONG)))], names=["id", *LONG])
+
+    marked = space.save(picked(docs, id_col, text_col).mapInArrow(run, "id long, " + ", ".join(f"{w} long" for w in LONG)), "fingerprints")
+    codes = space.save(marked.groupBy(*LONG).agg(F.min("id").alias("rep")), "codes")
+    known = codes.where("rep is not null")
+    count, most = known.count(), bits_apart(similarity)
+    links = space.save(_node_links(known, space, LONG, sampled_masks(most, count), most, count), "links")
+    stars = components(links, space)
+    named = space.save(codes.join(stars, codes.rep == stars.u, "left").select(*LONG, F.coalesce("m", "rep").alias("component_id")), "named")
+    free_shuffles(docs.sparkSession)
+    return marked.join(named, LONG).select(F.col("id").alias("doc_id"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without all but one of each group of similar texts: the row with the least id stays.
 
     Rows without id stay. Rows that repeat both id and place in the group stay together.
     """
-    groups = near_duplicates(docs, id_col, text_col, most=most)
+    groups = similar_groups(docs, id_col, text_col, width, similarity)
     name = fresh(docs, "_gone")
     gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -38,7 +38,7 @@ def test_each_stage_takes_effect(spark, tables):
     small = [i for i in kept if i < 600]
     assert np.mean([(i in ids[1]) == bool(i % 9) for i in small]) > 0.98
     assert np.mean([(i in ids[2]) == bool(i % 7) for i in small if i in ids[1]]) > 0.98
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(steps[2]).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(steps[2]).collect()}
     assert ids[3] == set(groups.values()) and not any(i >= 1000 for i in ids[3])
     after = {r["doc_id"]: r for r in steps[4].collect()}
     assert set(after) == ids[3] and after[1]["text"].endswith(" [SECRET]") and after[1]["n_chars"] == len(after[1]["text"])

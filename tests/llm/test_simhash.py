@@ -85,3 +85,60 @@ def test_empty_null_ids_and_repeats(spark):
     assert got == [(False, 4, 4), (False, 4, 4), (True, None, 4)]
     kept = simhash.keep_one(spark.createDataFrame([(7, "a b c d", "p", "q"), (5, "a b c d", "r", "s"), (None, "a b c d", "", "")], DOCS))
     assert sorted((r["doc_id"] or 0, r["fp"]) for r in kept.collect()) == [(0, ""), (5, "r")]
+
+
+def slow_long(text, width=5):
+    words = text.lower().split()
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]).encode() for i in range(max(1, len(words) - width + 1))]
+    hashes = [int.from_bytes(xxhash.xxh3_128_digest(s, 42) + xxhash.xxh3_128_digest(s, 43), "big") for s in shingles]
+    return sum(1 << (255 - b) for b in range(256) if 2 * sum(h >> (255 - b) & 1 for h in hashes) > len(hashes))
+
+
+def test_long_fingerprint_as_slow():
+    for text in ("", "one", "a b c d e", "a b c d e f g a b", "x y " * 3000):
+        assert int.from_bytes(simhash.long_fingerprint(text).tobytes(), "big") == slow_long(text)
+
+
+def test_bits_of_a_similarity_and_trees():
+    most = simhash.bits_apart(0.8)
+    assert most == 44 and simhash.bits_apart(1.0) == 0
+    masks = simhash.sampled_masks(most, 10**5)
+    assert all(sum(m.bit_count() for m in own) == simhash.LEAD_BITS for own in masks) and masks == simhash.sampled_masks(most, 10**6)
+    rng = np.random.default_rng(0)
+    hit = 0
+    for _ in range(300):
+        flips = sum(1 << int(b) for b in rng.choice(256, most, replace=False))
+        words = [flips >> (64 * w) & (2**64 - 1) for w in range(4)]
+        hit += any(all(f & m == 0 for f, m in zip(words, own, strict=True)) for own in masks)
+    assert hit >= 270
+
+
+def jaccard(a, b, width=5):
+    sets = [{tuple(t.lower().split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_groups_of_similar_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_CODES", 64)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(2000)]
+    docs, of = [], []
+    for g in range(25):
+        base = rng.choice(words, 300)
+        for changes in (0, 0, 1, 2, 3, 4, 60):
+            own = base.copy()
+            own[rng.choice(300, changes, replace=False)] = "changed"
+            docs.append(" ".join(own))
+            of.append((g, changes))
+    rows = [(i, t, "", "") for i, t in enumerate(docs)] + [(900, "", "", ""), (901, None, "", ""), (None, "no id here at all", "", "")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[900] == got[901] == 900 and got[None] is None
+    alike = [i for i, (_, c) in enumerate(of) if c < 60]
+    assert all(got[i] == i for i, (_, c) in enumerate(of) if c == 60)
+    assert all(jaccard(docs[of[i][0] * 7], docs[i]) >= 0.8 for i in alike)
+    assert np.mean([got[i] == of[i][0] * 7 for i in alike]) > 0.98
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == {r for i, r in got.items() if i is not None} | {None}
+    assert simhash.similar_groups(spark.createDataFrame([], DOCS)).collect() == []
