@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import curves as cv
 from chronoframe.functions.numbers import half_up, to_places
 from chronoframe.operators import intervals as iv
-from chronoframe.operators import planning, schedule, signal
+from chronoframe.operators import planning, render, schedule, signal
 from chronoframe.plans import document, validation
 from chronoframe.plans.event_queries import D, half_up_sql, out6, r6
 from chronoframe.plans.registry import query
@@ -153,3 +153,18 @@ def probe_chain(spark, sf_dir):
     fps = F.when(F.abs(F.col("fps") - whole) < 0.05, whole).otherwise(F.col("fps"))
     named = F.when(F.col("header").isNotNull(), "header").when(F.col("probe").isNotNull(), "probe").otherwise("packets")
     return e.select("event_id", out6(F.coalesce("header", "probe", "packets")).alias("duration"), out6(fps).alias("fps"), named.alias("prober"))
+
+
+@query(f"""WITH {LINES_SQL}, s AS (SELECT oid, idx, t0, t1, price / 100.0{D} AS s0, price / 100.0{D} + (t1 - t0) * (0.5{D} + tax * 20.0{D}) AS s1, max(idx) OVER (PARTITION BY oid) = idx AS lst FROM lines WHERE idx < 3),
+f AS (SELECT oid, idx, t0, t1, s0, s1, unnest(range(CAST(ceil(t0 / 2.0{D} - 1e-9) AS BIGINT), CAST(CASE WHEN lst THEN ceil(t1 / 2.0{D} - 0.5{D}) ELSE ceil(t1 / 2.0{D} - 1e-9) END AS BIGINT))) AS frame FROM s),
+x AS (SELECT *, least(greatest(greatest(frame * 2.0{D} - t0, 0.0{D}) / greatest(t1 - t0, 1e-6), 0.0{D}), 1.0{D}) AS x FROM f), y AS (SELECT *, x * x * (3.0{D} - 2.0{D} * x) AS u, 6.0{D} * x * (1.0{D} - x) AS sl FROM x), z AS (SELECT *, abs(s1 - s0) / greatest(t1 - t0, 1e-6) * sl AS v FROM y)
+SELECT oid, frame, idx, {r6("s0 + (s1 - s0) * u")} AS source_t, {r6("v")} AS speed, CASE WHEN v <= 1.0{D} THEN 1 ELSE CAST(least(1 + floor(v), 4) AS INTEGER) END AS blend FROM z""")
+def frame_table(spark, sf_dir):
+    """Output frames of segments that ease in and out, one every two units of time."""
+    s0 = F.col("price") / 100.0
+    none = F.lit(None).cast("double")
+    seg = lines(spark, sf_dir).where("idx < 3").select(
+        "oid", "idx", (F.col("t0") / 2.0).alias("t0"), (F.col("t1") / 2.0).alias("t1"), s0.alias("s0"), (s0 + (F.col("t1") - F.col("t0")) * (0.5 + F.col("tax") * 20.0)).alias("s1"), F.lit("saddle").alias("curve"), none.alias("strength"), none.alias("phase_start"), none.alias("phase_end")
+    )
+    made = render.frame_table(seg, ["oid"], 1)
+    return made.select("oid", "frame", "idx", out6(F.col("source_t")).alias("source_t"), out6(F.col("speed") / 2.0).alias("speed"), cv.blur_frames(F.col("speed") / 2.0, F.lit(True)).alias("blend"))
