@@ -12,6 +12,19 @@ SEGMENT = T.StructType([_S("t0", T.DoubleType()), _S("t1", T.DoubleType()), _S("
 PLAN = T.StructType([_S("schema_version", T.IntegerType()), _S("plan_id", T.LongType()), _S("style", T.StringType()), _S("fps", T.IntegerType()), _S("target_duration", T.DoubleType()), _S("video_duration", T.DoubleType()), _S("loops", T.LongType()), _S("segments", T.ArrayType(SEGMENT))])
 
 
+#: Lists of events that a document may hold, with their fields; each is sorted by the first.
+LISTS = {"one_framers": ["t", "type"], "transitions": ["t", "type", "duration_frames", "is_wrap"], "creative_events": ["t0", "t1", "kind", "seed", "strength"], "source_ranges": ["source_id", "start", "duration"]}
+
+
+def with_events(docs: DataFrame, **events: DataFrame) -> DataFrame:
+    """docs (plan_id, doc) with lists of events added by name; a plan without any has an empty list. Each list's rows: plan_id and its fields."""
+    for name, rows in events.items():
+        own = rows.groupBy("plan_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*LISTS[name])))).alias("_list"))
+        body = F.expr("substring(doc, 1, length(doc) - 1)")
+        docs = docs.join(own, "plan_id", "left").select("plan_id", F.concat(body, F.lit(f',"{name}":'), F.coalesce("_list", F.lit("[]")), F.lit("}")).alias("doc"))
+    return docs
+
+
 def assemble(plans: DataFrame, segments: DataFrame) -> DataFrame:
     """plan_id and doc, the JSON of each plan with its segments in order. plans: plan_id, style, fps, target, video."""
     fields = F.struct("idx", F.struct("t0", "t1", "s0", "s1", "curve", "reverse").alias("s"))

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,10 @@ def test_documents_round_trip_and_default(spark, tmp_path):
     assert got["schema_version"] == 2 and len(got["segments"]) == rows.count() and got["segments"][0]["t0"] == 0.0 and got["segments"][0]["remap"] is None
     old = document.parse(spark.createDataFrame([('{"schema_version": 1}',), ("no json",)], "doc string")).collect()
     assert (old[0]["style"], old[0]["fps"], old[0]["segments"]) == ("HARD", 30, []) and old[1]["schema_version"] is None
+    events = spark.createDataFrame([(1, 2.0, "INVERT"), (1, 1.0, "FLASH_BLACK")], "plan_id long, t double, type string")
+    full = document.with_events(docs, one_framers=events, transitions=events.selectExpr("plan_id + 5 as plan_id", "t", "type", "4 as duration_frames", "false as is_wrap"))
+    found = json.loads(full.first()["doc"])
+    assert [x["type"] for x in found["one_framers"]] == ["FLASH_BLACK", "INVERT"] and found["transitions"] == [] and len(found["segments"]) == rows.count()
     document.save(docs, str(tmp_path / "plans"))
     assert spark.read.text(str(tmp_path / "plans")).count() == 1
     with pytest.raises(Exception, match="already exists"):
