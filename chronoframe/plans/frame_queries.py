@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions import curves as cv
 from chronoframe.functions.numbers import to_places
-from chronoframe.operators import analysis, kernels
+from chronoframe.operators import analysis, kernels, previews, render
 from chronoframe.plans.event_queries import D, r6
 from chronoframe.plans.registry import query
 from chronoframe.sources.frames import layout
@@ -168,3 +168,10 @@ def source_analysis(spark, sf_dir):
     parts = [a.fragments.select("source", F.lit("fragment").alias("kind"), F.col("start").alias("a"), F.col("end").alias("b")), a.cuts.select("source", F.lit("cut"), "t", F.lit(0.0)), a.motion.select("source", F.lit("motion"), "t", "activity")]
     made = parts[0].union(parts[1]).union(parts[2])
     return made.select("source", "kind", to_places(F.col("a"), 6).alias("a"), to_places(F.col("b"), 6).alias("b"))
+
+
+@query()
+def effect_previews(spark, sf_dir):
+    """The catalogue of effects, with the digest of each one's picture."""
+    made = previews.catalogue(spark, 96, 96)
+    return made.select("effect", "category", F.length("bitmap").alias("bytes"), F.sha2("bitmap", 256).alias("digest"), F.substring(render.data_url(F.col("bitmap")), 1, 40).alias("url_head"))
