@@ -11,6 +11,9 @@ differences is dropped with all codes below. A pair of nodes already in one comp
 
 An upper node with very many codes is cut into cells: codes are dealt to salts, and each pair of salts is one cell.
 Cells send out one link per code and not all pairs.
+
+similar_groups asks for more differing bits than blocks can bear: it uses the same index over 256-bit fingerprints, in
+trees whose leading bits are sampled.
 """
 
 from __future__ import annotations
