@@ -249,14 +249,15 @@ LEAD_BITS, FOUND = 14, 0.95
 
 
 def long_fingerprint(text: str, width: int = 5) -> np.ndarray:
-    """256 bits as four words, by majority over two 128-bit hashes of each word shingle; no words: zeros."""
+    """256 bits as four words, by majority over two 128-bit hashes of each distinct word shingle; no words: zeros."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(len(LONG), dtype="<i8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     count = max(1, len(words) - width + 1)
-    shingles = [joined[a:b] for a, b in zip([0, *(ends[: count - 1] + 1).tolist()], ends[min(width, len(words)) - 1 :].tolist(), strict=True)]
+    shingles = list(dict.fromkeys(joined[a:b] for a, b in zip([0, *(ends[: count - 1] + 1).tolist()], ends[min(width, len(words)) - 1 :].tolist(), strict=True)))
+    count = len(shingles)
     digest = xxhash.xxh3_128_digest
     ones = np.zeros(256, dtype=np.int64)
     for at in range(0, count, 2048):

@@ -142,3 +142,15 @@ def test_groups_of_similar_texts(spark, monkeypatch):
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
     assert kept == {r for i, r in got.items() if i is not None} | {None}
     assert simhash.similar_groups(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_a_repeated_line_links_no_unlike_texts(spark):
+    rng = np.random.default_rng(8)
+    line = "\n" + "all rights to this line are shared" + "\n"
+    docs = [" ".join(f"w{i}" for i in rng.choice(50000, 150, replace=False)) + line * 30 for _ in range(12)]
+    assert max(jaccard(a, b) for i, a in enumerate(docs) for b in docs[:i]) < 0.1
+    rows = [(i, t, "", "") for i, t in enumerate(docs)] + [(50, docs[3] + line * 40, "", "")]
+    bits = [int.from_bytes(simhash.long_fingerprint(t).tobytes(), "big") for t in docs]
+    assert min((a ^ b).bit_count() for i, a in enumerate(bits) for b in bits[:i]) > simhash.bits_apart(0.8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i for i in range(12)} | {50: 3}
