@@ -45,6 +45,12 @@ class Workspace:
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def below(self, name: str) -> Workspace:
+        """A workspace in a folder of its own inside this one."""
+        inner = Workspace(self.spark, name)
+        inner.root = f"{self.root}/{name}-below"
+        return inner
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

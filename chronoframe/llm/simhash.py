@@ -12,8 +12,9 @@ differences is dropped with all codes below. A pair of nodes already in one comp
 An upper node with very many codes is cut into cells: codes are dealt to salts, and each pair of salts is one cell.
 Cells send out one link per code and not all pairs.
 
-similar_groups asks for more differing bits than blocks can bear: it uses the same index over 256-bit fingerprints, in
-trees whose leading bits are sampled.
+similar_groups asks for more differing bits than blocks can bear, and for a similarity that fingerprints only estimate: it
+finds candidates by bands of least hashes and checks them on their shingle sets. long_fingerprint, bits_apart and
+sampled_masks belong to the estimate by 256 bits that it replaces.
 """
 
 from __future__ import annotations
@@ -289,30 +290,142 @@ def sampled_masks(most: int, count: int) -> list[list[int]]:
     return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of each row of docs: texts whose word shingles have about this Jaccard similarity or more are linked.
+#: Bands of a text and hashes of a band: a pair at 0.8 shares no band with a chance of (1 - 0.8^4)^28, 4 in 10^7.
+BANDS, BAND_HASHES = 28, 4
+#: Shingles of one cell of exact checks; groups of candidates with more are cut into pairs of salts.
+CELL_SHINGLES = 4_000_000
+_SEEDS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND_HASHES), dtype=np.uint64)
+
+
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """XXH64 of each distinct word shingle of the text in ASCII lower case, sorted; a text of fewer words is one shingle, no words: none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[: max(0, len(words) - width)] + 1).tolist()]
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[min(width, len(words)) - 1 :].tolist(), strict=True)], dtype="<u8"))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each band of the set's least hashes. Two sets share a least hash with a chance of their Jaccard similarity."""
+    least = np.full(BANDS * BAND_HASHES, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        x = (shingles[at : at + 1024, None] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
+    raw = least.reshape(BANDS, BAND_HASHES)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(raw)], dtype="<u8").view("<i8")
+
+
+def link_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the least index of its component, where two sets are linked at this Jaccard similarity or more.
 
-    Similarity is what 256-bit fingerprints say of it: links at bits_apart(similarity) or fewer differing bits. So many bits
-    apart no two texts agree by chance, whatever the corpus. Trees have sampled leading bits, as blocks that must be equal
-    would be too short: of pairs right at that distance 95 % share a node of some tree, of closer ones nearly all. Nulls,
-    empty texts, repeated ids and empty tables are as in near_duplicates.
+    Sets are walked from link to link: each one meets only those not reached yet, so sets close together cost one walk.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    label = np.arange(len(sets))
+    words, flat = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *sets]), return_inverse=True)
+    at = np.append(0, np.cumsum(sizes))
+    mark = np.zeros(len(words), dtype=np.int64)
+    left = np.arange(len(sets))  # not reached, in order
+    while len(left):
+        first, left = left[0], left[1:]
+        frontier = [first]
+        while frontier and len(left):
+            i = frontier.pop()
+            own = flat[at[i] : at[i + 1]]
+            fits = (sizes[left] >= similarity * sizes[i] - 1e-9) & (similarity * sizes[left] - 1e-9 <= sizes[i])
+            near = left[fits]
+            if not len(near):
+                continue
+            mark[own] = 1
+            n = sizes[near]
+            heads = np.cumsum(n) - n
+            places = np.arange(int(n.sum())) + np.repeat(at[near] - heads, n)
+            both = np.add.reduceat(np.append(mark[flat[places]], 0), heads) * (n > 0)
+            mark[own] = 0
+            hit = both >= similarity * (sizes[i] + n - both) - 1e-9
+            label[near[hit]] = first
+            frontier += near[hit].tolist()
+            left = left[~np.isin(left, near[hit], assume_unique=True)]
+    return label
+
+
+def _set_cells(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, rep, shingles) sorted by cell: links (u, v) from each rep to the one that stands for its component in the cell."""
+
+    def links(rep: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.array(rep, dtype=np.int64)
+        to = ids[link_sets(sets, similarity)] if sets else ids
+        far = ids != to
+        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(to[far])], names=["u", "v"])
+
+    now, rep, sets = None, [], []
+    for batch in sliced(batches):
+        for cell, r, raw in zip(*(column(batch, c).to_pylist() for c in ("cell", "rep", "shingles")), strict=True):
+            if cell != now:
+                yield links(rep, sets)
+                now, rep, sets = cell, [], []
+            rep.append(r)
+            sets.append(np.frombuffer(raw, dtype="<u8"))
+    yield links(rep, sets)
+
+
+def _row_groups(rows: DataFrame, space: Workspace, width: int, similarity: float) -> DataFrame:
+    """row, id and least (the least row of the group) of rows _row (distinct longs), _id, _text.
+
+    Texts with the same set of shingles are one. Candidates are texts that share a band; the shingle sets of the groups
+    that candidates form are fetched, and only links with the exact similarity stay.
     """
-    space = Workspace(docs.sparkSession, "simhash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = np.array([long_fingerprint(t, width) for t in texts(batch)], dtype="<i8").reshape(-1, len(LONG))
-            yield pa.RecordBatch.from_arrays([column(batch, "_id"), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(LONG)))], names=["id", *LONG])
-
-    marked = space.save(picked(docs, id_col, text_col).mapInArrow(run, "id long, " + ", ".join(f"{w} long" for w in LONG)), "fingerprints")
-    codes = space.save(marked.groupBy(*LONG).agg(F.min("id").alias("rep")), "codes")
-    known = codes.where("rep is not null")
-    count, most = known.count(), bits_apart(similarity)
-    links = space.save(_node_links(known, space, LONG, sampled_masks(most, count), most, count), "links")
-    stars = components(links, space)
-    named = space.save(codes.join(stars, codes.rep == stars.u, "left").select(*LONG, F.coalesce("m", "rep").alias("component_id")), "named")
-    free_shuffles(docs.sparkSession)
-    return marked.join(named, LONG).select(F.col("id").alias("doc_id"), "component_id")
+            sets = [shingle_set(t, width) for t in texts(batch)]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), dtype="<i8").reshape(-1, 2)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.zeros(0, dtype="<i8"), *(bands(x) for x in sets)])), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(batch, "_row"), column(batch, "_id"), *(pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1)), pa.array([len(x) for x in sets], pa.int64()), keys], names=["row", "id", "d0", "d1", "size", "bands"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingle_set(t, width).tobytes() for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("rep", "coarse", "salt", "salts")), pa.array(sets, pa.binary())], names=["rep", "coarse", "salt", "salts", "shingles"])
+
+    marked = space.save(rows.mapInArrow(run, "row long, id long, d0 long, d1 long, size long, bands array<long>"), "marked")
+    codes = space.save(marked.groupBy("d0", "d1").agg(F.min("row").alias("rep")), "codes")
+    # Every text's bands are those of its representative row.
+    nodes = marked.join(codes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "size", F.posexplode("bands").alias("band", "key"))
+    nodes = space.save(nodes.where("size > 0").select("rep", "band", "key"), "nodes")
+    shared = nodes.groupBy("band", "key").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "key", "v")
+    near = components(space.save(nodes.join(shared, ["band", "key"]).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct(), "near"), space.below("near"))
+    near = space.save(near.select(F.col("u").alias("row"), F.col("m").alias("coarse")), "candidates")
+    asked = near.union(near.select(F.col("coarse").alias("row"), "coarse").distinct()).join(marked.select("row", "size"), "row")
+    asked = space.save(asked, "asked")
+    salts = asked.groupBy("coarse").agg(F.sum("size").alias("all")).select("coarse", F.when(F.col("all") <= CELL_SHINGLES, 1).otherwise(F.ceil(2 * F.col("all") / CELL_SHINGLES)).cast("int").alias("salts"))
+    asked = asked.join(salts, "coarse").select(F.col("row").alias("rep"), "coarse", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), "salts")
+    found = rows.select(F.col("_row").alias("rep"), "_text").join(asked, "rep").select("rep", "coarse", "salt", "salts", "_text")
+    sets = found.mapInArrow(fetch, "rep long, coarse long, salt int, salts int, shingles binary")
+    sets = sets.select("rep", "coarse", "salt", "salts", "shingles", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    cells = sets.select(F.when(F.col("salts") == 1, F.xxhash64("coarse")).otherwise(F.xxhash64("coarse", F.least("salt", "other"), F.greatest("salt", "other"))).alias("cell"), "rep", "shingles")
+    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _set_cells(batches, similarity), "u long, v long")
+    stars = components(space.save(links, "links"), space)
+    named = space.save(codes.join(stars, codes.rep == stars.u, "left").select("d0", "d1", F.coalesce("m", "rep").alias("least")), "named")
+    free_shuffles(rows.sparkSession)
+    return marked.select("row", "id", "d0", "d1").join(named, ["d0", "d1"]).select("row", "id", "least")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the group's least id) of each row of docs: texts whose sets of word shingles have this Jaccard similarity or more are linked.
+
+    Each link is checked on the shingle sets themselves. Texts without words are one group. Rows without id are linked like
+    any other; a group without any id has the component null. Empty table: empty result. Other columns are not read.
+    """
+    space = Workspace(docs.sparkSession, "simhash")
+    rows = space.save(picked(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("_row"), "_id", "_text"), "rows")
+    groups = space.save(_row_groups(rows, space, width, similarity), "groups")
+    ids = groups.groupBy("least").agg(F.min("id").alias("component_id"))
+    return groups.join(ids, "least").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -154,3 +154,43 @@ def test_a_repeated_line_links_no_unlike_texts(spark):
     assert min((a ^ b).bit_count() for i, a in enumerate(bits) for b in bits[:i]) > simhash.bits_apart(0.8)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: i for i in range(12)} | {50: 3}
+
+
+def test_sets_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 40)))).astype("<u8") for _ in range(150)]
+    sets += [np.delete(x, rng.integers(0, len(x), 2)) for x in sets if len(x) > 3]
+    sets = [x for x in sets if len(x)]
+    got = simhash.link_sets(sets, 0.8)
+    slow = np.arange(len(sets))
+    own = [set(x.tolist()) for x in sets]
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and slow[i] != slow[j]:
+                slow[slow == max(slow[i], slow[j])] = min(slow[i], slow[j])
+    assert got.tolist() == slow.tolist() and len(set(got)) < len(sets)
+
+
+def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_SHINGLES", 200)
+    rng = np.random.default_rng(6)
+    docs = []
+    for g in range(60):  # the last word differs: 0.71 to 0.75, not similar enough
+        base = [f"g{g}w{i}" for i in range(10 + g % 2)]
+        docs += [" ".join([*base, "x"]), " ".join([*base, "y"])]
+    for g in range(60):  # one word more or less at the end: 0.8 and more
+        base = [f"h{g}w{i}" for i in range(8 + g % 30)]
+        docs += [" ".join(base), " ".join([*base, "more"])]
+    for g in range(20):  # chains and larger groups around the limit
+        base = rng.choice(5000, 100).astype(str)
+        for changes in range(7):
+            own = base.copy()
+            own[rng.choice(100, changes, replace=False)] = f"c{changes}"
+            docs.append(" ".join(own))
+    slow = np.arange(len(docs))
+    for i, a in enumerate(docs):
+        for j, b in enumerate(docs[:i]):
+            if slow[i] != slow[j] and jaccard(a, b) >= 0.8:
+                slow[slow == max(slow[i], slow[j])] = min(slow[i], slow[j])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(docs)], DOCS)).collect()}
+    assert [got[i] for i in range(len(docs))] == slow.tolist()
