@@ -431,9 +431,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without all but one of each group of similar texts: the row with the least id stays.
 
-    Rows without id stay. Rows that repeat both id and place in the group stay together.
+    Rows are told apart by a number of their own, so ids may clash or repeat. Beside the row with the least id, one row
+    without id stays of each group that has any.
     """
-    groups = similar_groups(docs, id_col, text_col, width, similarity)
-    name = fresh(docs, "_gone")
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+    space = Workspace(docs.sparkSession, "simhash")
+    row = fresh(docs, "_row")
+    numbered = space.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plain = numbered.select(F.col(row).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    groups = _row_groups(plain, space, width, similarity)
+    first = groups.groupBy("least", F.col("id").isNull().alias("nameless")).agg(F.min(F.struct("id", "row")).alias("first"))
+    kept = space.save(first.select(F.col("first.row").alias(row)), "kept")
+    return numbered.join(kept, row, "left_semi").drop(row).select(*(F.col(f"`{c}`") for c in docs.columns))

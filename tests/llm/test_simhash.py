@@ -194,3 +194,10 @@ def test_groups_are_those_of_exact_similarity(spark, monkeypatch):
                 slow[slow == max(slow[i], slow[j])] = min(slow[i], slow[j])
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(docs)], DOCS)).collect()}
     assert [got[i] for i in range(len(docs))] == slow.tolist()
+
+
+def test_clashing_and_repeated_ids_lose_no_text_and_leave_no_copy(spark):
+    x, y, z = "the first text of a few words", "another text that is not like it", "a third one stands alone here today"
+    rows = [(3, x, "a", ""), (7, y, "b", ""), (7, x, "c", ""), (5, z, "d", ""), (5, z, "d", ""), (5, z, "d", ""), (None, "no id and two copies of this", "e", ""), (None, "no id and two copies of this", "e", "")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == [(0, rows[6][1]), (3, x), (5, z), (7, y)]
