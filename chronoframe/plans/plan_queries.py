@@ -60,8 +60,8 @@ def plan_documents(spark, sf_dir):
 
 
 def _jobs(spark, sf_dir, smart: bool):
-    """Jobs of a few scenes each: every source's motion cut into three scenes of 40 s, scheduled for 30 s."""
-    m = motion(spark, sf_dir).withColumn("scene", F.floor(F.col("t") / 240).cast("int")).where("scene < 3").withColumn("t", (F.col("t") - F.col("scene") * 240) / 6.0 + F.col("scene") * 50.0)
+    """Jobs of all scenes of a source: its motion cut into scenes of 40 s, scheduled for 30 s."""
+    m = motion(spark, sf_dir).withColumn("scene", F.floor(F.col("t") / 240).cast("int")).withColumn("t", (F.col("t") - F.col("scene") * 240) / 6.0 + F.col("scene") * 50.0)
     frag = m.select("tid", "scene").distinct().select("tid", F.col("scene").alias("fragment"), (F.col("scene") * 50.0).alias("a0"), (F.col("scene") * 50.0 + 40.0).alias("a1"))
     samples = m.where(F.col("t") < F.col("scene") * 50.0 + 40.0).select("tid", F.col("scene").alias("fragment"), "t", F.col("activity"), F.col("confidence"))
     actions = signal.action_windows(samples.select("tid", "fragment", "t", (F.col("activity") * F.col("confidence")).alias("activity")), frag, ["tid"], "fragment")

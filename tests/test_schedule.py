@@ -78,3 +78,13 @@ def test_jobs_in_spark(spark):
     got = schedule.schedule(jobs).orderBy("job", "idx").collect()
     assert [tuple(r)[1:] for r in got if r["job"] == 1] == [tuple(r)[1:] for r in got if r["job"] == 2]
     assert [r["t1"] for r in got if r["job"] == 1][-1] == 6.0
+
+
+def test_jobs_have_all_scenes_of_a_long_timeline(spark, monkeypatch):
+    from chronoframe.plans import plan_queries
+
+    rows = [(tid, float(t), 0.5, 0.9) for tid, end in ((1, 600), (2, 1300)) for t in range(0, end, 5)]
+    monkeypatch.setattr(plan_queries, "motion", lambda spark, sf_dir: spark.createDataFrame(rows, "tid long, t double, activity double, confidence double"))
+    jobs = {r["job"]: r["scenes"] for r in plan_queries._jobs(spark, "", False).collect()}
+    assert [len(jobs[1]), len(jobs[2])] == [3, 6]
+    assert sum(len(s["motion"]) for s in jobs[2]) == 260
