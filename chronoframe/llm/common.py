@@ -16,9 +16,11 @@ ROWS_PER_BATCH = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests on one machine)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="chronoframe-")
@@ -56,9 +58,35 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def drop_all(self) -> None:
+        """For the caller, once the operator's result has been written: what it was read from goes."""
         self.drop("")
 
 
+#: A key with more than one in so many of all rows is hot, so fewer keys than this can be.
+MOST_HOT = 1000
+#: A key with fewer rows than this is never hot: one task can bear it.
+LEAST_HOT = 10_000
+
+
+def hot_keys(counted: DataFrame, keys: list[str], count_col: str, most: int = MOST_HOT) -> DataFrame:
+    """The keys of counted (a row per key) with more than one in `most` of all rows, fewer than `most` rows by construction."""
+    total = counted.agg(F.sum(count_col)).first()[0] or 0
+    return counted.where(F.col(count_col) > max(LEAST_HOT, total // most)).select(*keys)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """The inner join of rows with table, which has a row per key, without a hot key's rows meeting in one task.
+
+    hot: some of the keys, fewer than MOST_HOT by hot_keys. Their rows of table are broadcast and their rows of `rows` stay
+    where they are; null keys join nothing. All other keys take a shuffled join.
+    """
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    names = F.broadcast(hot)
+    of_hot = rows.join(F.broadcast(table.join(names, keys, "left_semi")), keys)
+    return of_hot.unionByName(rows.join(names, keys, "left_anti").join(table, keys))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Ask the driver to forget shuffle files that no DataFrame needs any more."""
     import gc

@@ -8,9 +8,25 @@ from pyspark.sql import functions as F
 from chronoframe.llm.common import Workspace
 
 
-def _minima(pairs: DataFrame) -> DataFrame:
-    """For each u the smallest of its neighbours and itself. Partial aggregation keeps a hot u cheap."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+#: A node with more than one in so many of all pairs is hot, so there are fewer hot nodes than this.
+MOST_HOT = 5_000
+#: A node with fewer edges than this is never hot.
+LEAST_HOT = 1_000
+
+
+def _with_minima(pairs: DataFrame, edges: int) -> DataFrame:
+    """pairs with m, for each u the smallest of its neighbours and itself.
+
+    Partial aggregation keeps a hot u cheap. The join back would bring all its pairs to one task, so the few minima of hot
+    nodes are broadcast and their pairs stay where they are. edges: no fewer than there are pairs.
+    """
+    most = max(LEAST_HOT, edges // MOST_HOT)
+    minima = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    if edges <= most:
+        return pairs.join(minima.drop("n"), "u")
+    hot = F.broadcast(minima.where(F.col("n") > most).drop("n"))  # fewer than MOST_HOT rows
+    of_hot = pairs.join(hot, "u")
+    return of_hot.union(pairs.join(hot.select("u"), "u", "left_anti").join(minima.where(F.col("n") <= most).drop("n"), "u"))
 
 
 def components(edges: DataFrame, space: Workspace, most_rounds: int = 60) -> DataFrame:
@@ -22,19 +38,19 @@ def components(edges: DataFrame, space: Workspace, most_rounds: int = 60) -> Dat
     No edges: an empty result.
     """
     now = space.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges-0")
-    state = None
+    count, state = now.count(), None
     for i in range(1, most_rounds):
         both = now.union(now.select("v", "u"))
-        large = both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_minima(both, 2 * count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        small = large.join(_minima(large), "u")
+        small = _with_minima(large, 2 * count)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         after = space.save(small.where("u <> v").distinct(), f"edges-{i}")
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         space.drop(f"edges-{i - 1}")
         if seen == state or not seen["n"]:
             break
-        state, now = seen, after
+        count, state, now = seen["n"], seen, after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return after.groupBy("u").agg(F.min("v").alias("m"))

@@ -9,18 +9,19 @@ keeps the bits that all its codes share (mask and pattern). Two nodes are compar
 pair adds only the differences on bits that its parents did not share. A pair of nodes with more than `most` accumulated
 differences is dropped with all codes below. A pair of nodes already in one component is dropped, too.
 
-An upper node with very many codes is cut into cells: codes are dealt to salts, and each pair of salts is one cell.
-Cells send out one link per code and not all pairs.
+An upper node with very many codes is split by further blocks of the bits that do not lead there yet, as the codes were
+split at first. Cells send out one link per code and not all pairs.
 
-similar_groups asks for more differing bits than blocks can bear, and for a similarity that fingerprints only estimate: it
-finds candidates by bands of least hashes and checks them on their shingle sets. long_fingerprint, bits_apart and
-sampled_masks belong to the estimate by 256 bits that it replaces.
+similar_groups asks for a Jaccard similarity of 0.8, which is more differing bits than blocks can bear at any size. Its upper
+nodes are bands of least hashes (MinHash), which bring such texts together almost surely; under them the same index over
+fingerprints of 256 bits drops what is far apart, and every link is then checked on the shingle sets themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Workspace, column, free_shuffles, fresh, picked, sliced, texts
+from chronoframe.llm.common import Workspace, column, free_shuffles, fresh, hot_keys, picked, sliced, spread_join, texts
 from chronoframe.llm.components import components
 
 BITS = 64
 LEAF, FAN = 16, 8
-#: Codes of one cell; upper nodes with more are cut into pairs of salts.
+#: Codes of one cell; upper nodes with more are split.
 CELL_CODES = 8192
 #: Codes that an upper node should hold on average; the number of blocks follows from it and the corpus's count.
 NODE_CODES = 2048
@@ -198,30 +199,66 @@ def _cells(batches: Iterator[pa.RecordBatch], words: list[str], most: int) -> It
         yield links(*held)
 
 
-def _node_links(codes: DataFrame, space: Workspace, words: list[str], masks: list[list[int]], most: int, count: int) -> DataFrame:
-    """Links between rows of codes that share an upper node of some tree. masks: of each tree and word the bits that lead there."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [F.xxhash64(F.lit(t), *(F.col(w).bitwiseAND(F.lit(signed(m))) for w, m in zip(words, own, strict=True) if m)) for t, own in enumerate(masks)]
-    nodes = codes.select(*words, "rep", F.explode(F.array(*keys)).alias("node"))
-    # Two nodes of equal hash would only share a cell: their codes are compared bit by bit all the same.
-    crowded = nodes.groupBy("node").count().where(F.col("count") > CELL_CODES).select("node", F.ceil(2 * F.col("count") / CELL_CODES).cast("int").alias("salts"))
-    crowded = space.save(crowded, "crowded")
-    if crowded.isEmpty():
-        cells = nodes.select(F.col("node").alias("cell"), *words, "rep")
-    else:
-        dealt = nodes.join(crowded, "node", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64(*words, F.lit(7)), F.col("salts")))
-        dealt = dealt.select(*words, "rep", "node", "salt", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-        cells = dealt.select(F.when(F.col("salts") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("salt", "other"), F.greatest("salt", "other"))).alias("cell"), *words, "rep")
-    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * len(masks) / 2_000_000))
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, words, most), "u long, v long")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def split_masks(mask: int, count: int, most: int) -> list[int]:
+    """Longer masks for a crowded upper node: the bits beyond `mask` are cut into blocks and some of them lead, too.
+
+    Two codes under the node that differ in at most `most` bits agree on all bits of one of these masks: there are `most`
+    more blocks than lead. As many lead as bring `count` codes down to half a cell, if their bits are spread evenly.
+    """
+    left = [b for b in range(BITS) if not mask >> b & 1]
+    for lead in range(1, len(left) - most + 1):
+        k = most + lead
+        if count / 2 ** (len(left) * lead // k) <= CELL_CODES // 2:
+            break
+    cuts = [round(i * len(left) / k) for i in range(k + 1)]
+    own = [sum(1 << b for b in left[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return [mask | sum(chosen) for chosen in combinations(own, lead)]
+
+
+def _under(codes: DataFrame, masks: DataFrame) -> DataFrame:
+    """fp, rep, mask, node: each code under one upper node for each mask that it meets in `masks` (mask, masks)."""
+    led = codes.join(F.broadcast(masks), "mask").select("fp", "rep", F.explode("masks").alias("mask"))
+    return led.withColumn("node", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+
+
+def upper_nodes(codes: DataFrame, space: Workspace, masks: list[int], most: int) -> list[DataFrame]:
+    """Tables fp, rep, node: upper nodes of at most CELL_CODES codes that bring together all codes at `most` or fewer bits.
+
+    Each mask is a tree. A crowded node is split by further blocks (split_masks), and again until none is: a code is
+    sent on once for each choice of blocks and not once for each cell of other codes, so the work grows with the codes. At the end 13
+    bits are left, which 8,192 codes can fill; then a node can't be crowded. One row per mask comes to the driver.
+    """
+    spark = codes.sparkSession
+    table = spark.createDataFrame([(0, [_signed(m) for m in masks])], "mask long, masks array<long>")
+    level, out = codes.select("fp", "rep", F.lit(0).cast("long").alias("mask")), []
+    for depth in range(BITS):
+        nodes = _under(level, table)
+        sizes = space.save(nodes.groupBy("mask", "node").count().where(F.col("count") > CELL_CODES), f"crowded-{depth}")
+        worst = sizes.groupBy("mask").agg(F.max("count").alias("n")).collect()
+        if not worst:
+            return [*out, nodes.select("fp", "rep", "node")]
+        crowded = sizes.select("mask", "node")
+        # Crowded nodes are few: each holds more than CELL_CODES codes. The planner sees that by the saved table's size.
+        out.append(nodes.join(crowded, ["mask", "node"], "left_anti").select("fp", "rep", "node"))
+        level = space.save(nodes.join(crowded, ["mask", "node"], "left_semi").select("fp", "rep", "mask"), f"level-{depth}")
+        longer = [(r["mask"], [_signed(m) for m in split_masks(r["mask"] % (1 << 64), r["n"], most)]) for r in worst]
+        table = spark.createDataFrame(longer, "mask long, masks array<long>")
+    raise AssertionError("a node with all its bits leading holds one code")
 
 
 def code_links(codes: DataFrame, space: Workspace, most: int = 4) -> DataFrame:
     """Links u, v between rows of codes (fp distinct, rep a distinct long): their closure is that of all pairs at `most` or fewer bits."""
     count = codes.count()
     cut, lead = blocks(count, most)
-    masks = [[sum(((1 << width) - 1) << first for first, width in chosen)] for chosen in combinations(cut, lead)]
-    return _node_links(codes, space, ["fp"], masks, most, count)
+    masks = [sum(((1 << width) - 1) << first for first, width in chosen) for chosen in combinations(cut, lead)]
+    cells = reduce(DataFrame.union, upper_nodes(codes, space, masks, most)).withColumnRenamed("node", "cell")
+    # Two nodes of equal hash would only share a cell: their codes are compared bit by bit all the same.
+    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count * len(masks) / 2_000_000))
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _cells(batches, ["fp"], most), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, most: int = 4) -> DataFrame:
@@ -234,19 +271,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     space = Workspace(docs.sparkSession, "simhash")
     marked = space.save(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    codes = space.save(marked.groupBy("fp").agg(F.min("id").alias("rep")), "codes")
-    links = space.save(code_links(codes.where("rep is not null"), space, most), "links")
+    codes = space.save(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "codes")
+    hot = space.save(hot_keys(codes, ["fp"], "n"), "hot")
+    links = space.save(code_links(codes.where("rep is not null").select("fp", "rep"), space, most), "links")
     stars = components(links, space)
     named = codes.join(stars, codes.rep == stars.u, "left").select("fp", F.coalesce("m", "rep").alias("component_id"))
     named = space.save(named, "named")
     free_shuffles(docs.sparkSession)
-    return marked.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(marked, named, ["fp"], hot).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Long fingerprints for a similarity: 256 bits, in this many words.
 LONG = ["f0", "f1", "f2", "f3"]
-#: Leading bits of a sampled tree, and the share of pairs right at the greatest distance that some tree must bring together.
-LEAD_BITS, FOUND = 14, 0.95
+#: Differing bits of 256 beyond which texts are no candidates. Texts at a similarity of 0.8 differ in 39 bits on average, very
+#: short ones of unequal length in 48, with a standard deviation of 6; unlike texts differ in 128, give or take 8.
+LOOSE = 80
 
 
 def long_fingerprint(text: str, width: int = 5) -> np.ndarray:
@@ -275,24 +314,9 @@ def bits_apart(similarity: float) -> int:
     return int(256 * share + math.sqrt(256 * share * (1 - share)))
 
 
-def sampled_masks(most: int, count: int) -> list[list[int]]:
-    """Leading bits of trees, drawn by rule: as many trees as it takes for pairs `most` bits apart to share a node of one of them.
-
-    Nodes hold up to 2^11 codes on average before more bits lead, so at most sizes the trees are the same ones.
-    """
-    lead = max(LEAD_BITS, math.ceil(math.log2(max(count, 1))) - 11)
-    together = (1 - most / 256) ** lead
-    trees = math.ceil(math.log(1 - FOUND) / math.log(1 - together))
-    out = []
-    for t in range(trees):
-        bits = np.random.default_rng(t).choice(256, lead, replace=False)
-        out.append([sum(1 << int(b % 64) for b in bits if b // 64 == w) for w in range(len(LONG))])
-    return out
-
-
 #: Bands of a text and hashes of a band: a pair at 0.8 shares no band with a chance of (1 - 0.8^4)^28, 4 in 10^7.
 BANDS, BAND_HASHES = 28, 4
-#: Shingles of one cell of exact checks; groups of candidates with more are cut into pairs of salts.
+#: Shingles of one cell of exact checks; groups of candidates with more are cut into parts of half as many.
 CELL_SHINGLES = 4_000_000
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND_HASHES), dtype=np.uint64)
 
@@ -373,46 +397,120 @@ def _set_cells(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
     yield links(rep, sets)
 
 
+def _candidates(nodes: DataFrame, codes: DataFrame, space: Workspace) -> DataFrame:
+    """Links u, v between texts that share a band and are at most LOOSE bits apart.
+
+    nodes: rep, band, key. codes: rep and the words of LONG. Bands with the same members are looked at once. In a band with
+    more than CELL_CODES members all are candidates of the least one: that is more than asked for, and linear.
+    """
+    told = [F.sum(F.shiftright(F.xxhash64("rep", F.lit(seed)), 20)).alias(f"h{seed}") for seed in (0, 1)]  # of the members
+    met = nodes.groupBy("band", "key").agg(F.min("rep").alias("v"), F.count("*").alias("n"), *told).where("n > 1")
+    met = met.groupBy("v", "n", "h0", "h1").agg(F.min(F.struct("band", "key")).alias("b"))
+    met = space.save(met.select("b.band", "b.key", "v", "n"), "bands")
+    hot = space.save(hot_keys(met, ["band", "key"], "n"), "hot-bands")
+    members = spread_join(nodes, met, ["band", "key"], hot).withColumn("cell", F.xxhash64("band", "key"))
+    members = space.save(members.select("cell", "rep", "v", "n"), "members")
+    small = members.where(F.col("n") <= CELL_CODES).select("cell", "rep").join(codes, "rep")  # BANDS rows of a text at most
+    small = small.select("cell", "rep", *LONG).repartition("cell").sortWithinPartitions("cell")
+    near = small.mapInArrow(lambda batches: _cells(batches, LONG, LOOSE), "u long, v long")
+    crowded = members.where((F.col("n") > CELL_CODES) & (F.col("rep") != F.col("v")))
+    return near.union(crowded.select(F.col("rep").alias("u"), "v")).distinct()
+
+
+def _near_first(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """rep, coarse and size of each text, and whether it is similar to the first text of its group."""
+    for batch in sliced(batches):
+        near, sizes, known = [], [], ("", np.zeros(0, dtype="<u8"))
+        for text, first in zip(texts(batch), texts(batch, "_first"), strict=True):
+            if first != known[0]:
+                known = (first, shingle_set(first, width))
+            own = shingle_set(text, width)
+            both = len(np.intersect1d(own, known[1], assume_unique=True))
+            near.append(both >= similarity * (len(own) + len(known[1]) - both) - 1e-9)
+            sizes.append(len(own))
+        kept = [column(batch, c) for c in ("rep", "coarse")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(near, pa.bool_()), pa.array(sizes, pa.int64())], names=["rep", "coarse", "near", "size"])
+
+
+def _cells_of_large(asked: DataFrame, texts_of: DataFrame, space: Workspace, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """For groups of candidates beyond a cell's size: links u, v to their first texts, and rep, cell for what is left to check.
+
+    asked: rep, coarse, size, salts (parts of half a cell). Each text is held against its group's first one; that takes one
+    pass, as each part of a group has the first text beside it. What is similar to it is linked and needs no check against
+    the others that are. So pairs of parts are made of the texts that are left, among them and with the others: near copies
+    of one text cost one pass and not the square of their number.
+    """
+    dealt = asked.select("rep", "coarse", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt")).join(texts_of, "rep")
+    firsts = asked.where("rep = coarse").select("coarse", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    firsts = firsts.join(texts_of.withColumnRenamed("rep", "coarse").withColumnRenamed("_text", "_first"), "coarse")
+    paired = dealt.hint("merge").join(firsts, ["coarse", "salt"]).select("rep", "coarse", "_text", "_first")
+    told = space.save(paired.mapInArrow(lambda b: _near_first(b, width, similarity), "rep long, coarse long, near boolean, size long"), "near-first")
+    parts = lambda x: F.ceil(2 * F.sum(x) / CELL_SHINGLES).cast("int")
+    sizes = told.groupBy("coarse").agg(parts(F.when(~F.col("near"), F.col("size"))).alias("far_parts"), parts(F.when(F.col("near"), F.col("size"))).alias("near_parts"))
+    sizes = space.save(sizes.where("far_parts > 0"), "parts")  # a row for each large group that is not settled yet
+    left = spread_join(told, sizes, ["coarse"], space.save(hot_keys(told.groupBy("coarse").count().join(sizes.select("coarse"), "coarse"), ["coarse"], "count"), "hot-groups"))
+    salt = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    far, near = left.where("not near").withColumn("salt", salt(F.col("far_parts"))), left.where("near")
+    among = far.select("rep", "coarse", "salt", F.explode(upto("far_parts")).alias("other"))
+    among = among.select("rep", F.xxhash64("coarse", F.lit(0), F.least("salt", "other"), F.greatest("salt", "other")).alias("cell"))
+    far_side = far.where("near_parts > 0").select("rep", "coarse", "salt", F.explode(upto("near_parts")).alias("other"))
+    near_side = near.select("rep", "coarse", F.explode(upto("far_parts")).alias("salt"), salt(F.col("near_parts")).alias("other"))
+    between = far_side.union(near_side).select("rep", F.xxhash64("coarse", F.lit(1), "salt", "other").alias("cell"))
+    return told.where("near and rep <> coarse").select(F.col("rep").alias("u"), F.col("coarse").alias("v")), among.union(between)
+
+
 def _row_groups(rows: DataFrame, space: Workspace, width: int, similarity: float) -> DataFrame:
     """row, id and least (the least row of the group) of rows _row (distinct longs), _id, _text.
 
-    Texts with the same set of shingles are one. Candidates are texts that share a band; the shingle sets of the groups
-    that candidates form are fetched, and only links with the exact similarity stay.
+    Texts with the same set of shingles are one. The shingle sets of groups of candidates are fetched, and only links with
+    the exact similarity stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [shingle_set(t, width) for t in texts(batch)]
+            raw = texts(batch)
+            sets = [shingle_set(t, width) for t in raw]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), dtype="<i8").reshape(-1, 2)
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.zeros(0, dtype="<i8"), *(bands(x) for x in sets)])), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([column(batch, "_row"), column(batch, "_id"), *(pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1)), pa.array([len(x) for x in sets], pa.int64()), keys], names=["row", "id", "d0", "d1", "size", "bands"])
+            keys = np.concatenate([np.zeros(0, dtype="<i8"), *(bands(x) for x in sets)])
+            code = np.array([long_fingerprint(t, width) for t in raw], dtype="<i8").reshape(-1, len(LONG))
+            columns = {
+                "row": column(batch, "_row"), "id": column(batch, "_id"), "d0": pa.array(digests[:, 0].copy()), "d1": pa.array(digests[:, 1].copy()), "size": pa.array([len(x) for x in sets], pa.int64()),
+                "bands": pa.FixedSizeListArray.from_arrays(pa.array(keys), BANDS).cast(pa.list_(pa.int64())), **{name: pa.array(code[:, i].copy()) for i, name in enumerate(LONG)},
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [shingle_set(t, width).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("rep", "coarse", "salt", "salts")), pa.array(sets, pa.binary())], names=["rep", "coarse", "salt", "salts", "shingles"])
+            yield pa.RecordBatch.from_arrays([column(batch, "rep"), column(batch, "cells"), pa.array(sets, pa.binary())], names=["rep", "cells", "shingles"])
 
-    marked = space.save(rows.mapInArrow(run, "row long, id long, d0 long, d1 long, size long, bands array<long>"), "marked")
-    codes = space.save(marked.groupBy("d0", "d1").agg(F.min("row").alias("rep")), "codes")
+    marked = space.save(rows.mapInArrow(run, "row long, id long, d0 long, d1 long, size long, bands array<long>, " + ", ".join(f"{w} long" for w in LONG)), "marked")
+    codes = space.save(marked.groupBy("d0", "d1").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "codes")
+    copied = space.save(hot_keys(codes, ["d0", "d1"], "n"), "copied")
     # Every text's bands are those of its representative row.
-    nodes = marked.join(codes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "size", F.posexplode("bands").alias("band", "key"))
-    nodes = space.save(nodes.where("size > 0").select("rep", "band", "key"), "nodes")
-    shared = nodes.groupBy("band", "key").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "key", "v")
-    near = components(space.save(nodes.join(shared, ["band", "key"]).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct(), "near"), space.below("near"))
-    near = space.save(near.select(F.col("u").alias("row"), F.col("m").alias("coarse")), "candidates")
-    asked = near.union(near.select(F.col("coarse").alias("row"), "coarse").distinct()).join(marked.select("row", "size"), "row")
-    asked = space.save(asked, "asked")
-    salts = asked.groupBy("coarse").agg(F.sum("size").alias("all")).select("coarse", F.when(F.col("all") <= CELL_SHINGLES, 1).otherwise(F.ceil(2 * F.col("all") / CELL_SHINGLES)).cast("int").alias("salts"))
-    asked = asked.join(salts, "coarse").select(F.col("row").alias("rep"), "coarse", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), "salts")
-    found = rows.select(F.col("_row").alias("rep"), "_text").join(asked, "rep").select("rep", "coarse", "salt", "salts", "_text")
-    sets = found.mapInArrow(fetch, "rep long, coarse long, salt int, salts int, shingles binary")
-    sets = sets.select("rep", "coarse", "salt", "salts", "shingles", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-    cells = sets.select(F.when(F.col("salts") == 1, F.xxhash64("coarse")).otherwise(F.xxhash64("coarse", F.least("salt", "other"), F.greatest("salt", "other"))).alias("cell"), "rep", "shingles")
-    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _set_cells(batches, similarity), "u long, v long")
-    stars = components(space.save(links, "links"), space)
+    own = space.save(marked.where("size > 0").join(codes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "size", "bands", *LONG), "own")
+    links = space.save(_candidates(own.select("rep", F.posexplode("bands").alias("band", "key")), own.select("rep", *LONG), space), "near")
+    near = components(links, space.below("near"))
+    near = space.save(near.select(F.col("u").alias("rep"), F.col("m").alias("coarse")), "candidates")
+    asked = space.save(near.union(near.select(F.col("coarse").alias("rep"), "coarse").distinct()).join(own.select("rep", "size"), "rep"), "asked")
+    salts = asked.groupBy("coarse").agg(F.ceil(2 * F.sum("size") / CELL_SHINGLES).cast("int").alias("salts"))
+    large = space.save(salts.where("salts > 2"), "large")
+    cells, proved = asked.select("rep", F.xxhash64("coarse").alias("cell")), None
+    texts_of = rows.select(F.col("_row").alias("rep"), "_text")
+    if not large.isEmpty():
+        hot = space.save(hot_keys(asked.groupBy("coarse").count(), ["coarse"], "count"), "hot-coarse")
+        cells = asked.join(large, "coarse", "left_anti").select("rep", F.xxhash64("coarse").alias("cell"))
+        proved, more = _cells_of_large(spread_join(asked, large, ["coarse"], hot.join(large, "coarse", "left_semi")), texts_of, space, width, similarity)
+        cells = cells.union(more)
+    cells = space.save(cells.groupBy("rep").agg(F.collect_set("cell").alias("cells")), "cells")
+    sets = texts_of.join(cells, "rep").select("rep", "cells", "_text").mapInArrow(fetch, "rep long, cells array<long>, shingles binary")
+    sets = sets.select("rep", "shingles", F.explode("cells").alias("cell")).repartition("cell").sortWithinPartitions("cell")
+    links = sets.mapInArrow(lambda batches: _set_cells(batches, similarity), "u long, v long")
+    stars = components(space.save(links if proved is None else links.union(proved), "links"), space)
     named = space.save(codes.join(stars, codes.rep == stars.u, "left").select("d0", "d1", F.coalesce("m", "rep").alias("least")), "named")
     free_shuffles(rows.sparkSession)
-    return marked.select("row", "id", "d0", "d1").join(named, ["d0", "d1"]).select("row", "id", "least")
+    return spread_join(marked.select("row", "id", "d0", "d1"), named, ["d0", "d1"], copied).select("row", "id", "least")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
