@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import Workspace, column, free_shuffles, fresh, hot_keys, picked, sliced, spread_join, texts
-from chronoframe.llm.components import components
+from chronoframe.llm.components import components, unite
 
 BITS = 64
 LEAF, FAN = 16, 8
@@ -87,19 +87,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the components of a[i] and b[i]; label[x] is the least index of x's component, before and after."""
-    while True:
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            return
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def _levels(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
     """Nodes of a forest over sorted codes (a row of 64-bit words each), leaves first, one root for each [start, end)."""
     tree = np.repeat(np.arange(len(starts)), -(-(ends - starts) // LEAF))
@@ -169,7 +156,7 @@ def link_codes(codes: np.ndarray, group: np.ndarray, most: int, at_once: int = 1
                 stack.append((depth - 1, x[a : a + at_once], y[a : a + at_once], known[a : a + at_once], gap[a : a + at_once]))
         else:
             linked = (_ones(sorted_codes[x] ^ sorted_codes[y]) <= most) & (x != y)
-            _unite(label, x[linked], y[linked])
+            unite(label, x[linked], y[linked])
     out = np.empty(n, dtype=np.int64)
     out[order] = order[label]
     return out
@@ -219,9 +206,9 @@ def split_masks(mask: int, count: int, most: int) -> list[int]:
     return [mask | sum(chosen) for chosen in combinations(own, lead)]
 
 
-def _under(codes: DataFrame, masks: DataFrame) -> DataFrame:
-    """fp, rep, mask, node: each code under one upper node for each mask that it meets in `masks` (mask, masks)."""
-    led = codes.join(F.broadcast(masks), "mask").select("fp", "rep", F.explode("masks").alias("mask"))
+def _under(codes: DataFrame, masks) -> DataFrame:
+    """fp, rep, mask, node: each code under one upper node for each of the masks (a column of arrays)."""
+    led = codes.select("fp", "rep", F.explode(masks).alias("mask"))
     return led.withColumn("node", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
 
 
@@ -233,10 +220,8 @@ def upper_nodes(codes: DataFrame, space: Workspace, masks: list[int], most: int)
     bits are left, which 8,192 codes can fill; then a node can't be crowded. One row per mask comes to the driver.
     """
     spark = codes.sparkSession
-    table = spark.createDataFrame([(0, [_signed(m) for m in masks])], "mask long, masks array<long>")
-    level, out = codes.select("fp", "rep", F.lit(0).cast("long").alias("mask")), []
+    nodes, out = _under(codes, F.array(*(F.lit(_signed(m)) for m in masks))), []
     for depth in range(BITS):
-        nodes = _under(level, table)
         sizes = space.save(nodes.groupBy("mask", "node").count().where(F.col("count") > CELL_CODES), f"crowded-{depth}")
         worst = sizes.groupBy("mask").agg(F.max("count").alias("n")).collect()
         if not worst:
@@ -246,7 +231,8 @@ def upper_nodes(codes: DataFrame, space: Workspace, masks: list[int], most: int)
         out.append(nodes.join(crowded, ["mask", "node"], "left_anti").select("fp", "rep", "node"))
         level = space.save(nodes.join(crowded, ["mask", "node"], "left_semi").select("fp", "rep", "mask"), f"level-{depth}")
         longer = [(r["mask"], [_signed(m) for m in split_masks(r["mask"] % (1 << 64), r["n"], most)]) for r in worst]
-        table = spark.createDataFrame(longer, "mask long, masks array<long>")
+        table = spark.createDataFrame(longer, "mask long, masks array<long>")  # a row per crowded mask
+        nodes = _under(level.join(F.broadcast(table), "mask"), F.col("masks"))
     raise AssertionError("a node with all its bits leading holds one code")
 
 
