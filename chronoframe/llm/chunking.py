@@ -22,8 +22,9 @@ from chronoframe.llm.common import Workspace, column, sliced, texts
 #: One pseudo-random number for each byte, by rule.
 GEAR = np.array([zlib.crc32(bytes([i, 0x5C])) for i in range(256)], dtype=np.uint32)
 WINDOW = 32
-#: The filter has 16 bits for each digest that occurs again, 2^26 (8 MB) at most whatever the corpus.
-LEAST_BITS, MOST_BITS, PROBES = 20, 26, 3
+#: The filter has 16 bits for each digest that occurs again, 2^28 (32 MB) at most whatever the corpus: beyond 17 million such
+#: digests it says yes too often, and more chunks travel.
+LEAST_BITS, MOST_BITS, PROBES = 20, 28, 3
 
 
 def cut_marks(data: np.ndarray, average_bits: int) -> np.ndarray:
@@ -149,6 +150,6 @@ def repeats(docs: DataFrame, space: Workspace, payload: Callable[[str], bytes],
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], names=["word", "bits"])
 
     folded = again.mapInArrow(fold, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (log - 6), dtype="<i8")  # 2^20 rows at most come here
+    words = np.zeros(1 << (log - 6), dtype="<i8")  # 2^22 rows at most come here
     words[folded["word"].to_numpy()] = folded["bits"].to_numpy()
     return Repeats(words.view(np.uint8), log)

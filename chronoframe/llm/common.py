@@ -28,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """Tables that one run of an operator writes to the shared folder.
 
@@ -54,8 +59,7 @@ class Workspace:
         return inner
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.root}/{name}")
 
     def drop_all(self) -> None:
         """For the caller, once the operator's result has been written: what it was read from goes."""

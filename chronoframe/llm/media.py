@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.chunking import Chunker, digest, repeats
-from chronoframe.llm.common import Workspace, column, free_shuffles, picked, sliced, texts
+from chronoframe.llm.common import Workspace, column, free_shuffles, hot_keys, picked, sliced, spread_join, texts
 
 #: Samples of one block: a payload is a positive number of them.
 BLOCK = 576
@@ -146,10 +146,14 @@ def load(lists: DataFrame, chunks: DataFrame, space: Workspace) -> DataFrame:
     closed = lists.where(F.size("refs") == 0).select(*head).mapInArrow(_read, _FOUND)
     opened = lists.where(F.size("refs") > 0)
     light = opened.where(F.length("own") == 0).select("row", "key", "list", "refs")
-    once = light.groupBy("key").agg(F.min("row").alias("row"), F.first("list").alias("list"), F.first("refs").alias("refs"))
+    once = light.groupBy("key").agg(F.min("row").alias("row"), F.first("list").alias("list"), F.first("refs").alias("refs"), F.count("*").alias("n"))
+    hot_lists = space.save(hot_keys(once, ["key"], "n"), "hot-lists")
     mixed = opened.where(F.length("own") > 0)
     wanted = mixed.select("row", F.explode("refs").alias("r")).union(once.select("row", F.explode("refs").alias("r")))
-    bodies = wanted.select("row", "r.place", "r.digest").join(chunks, "digest").select("row", "place", F.lit(None).cast("binary").alias("list"), "body")
+    # A chunk that very many documents hold is broadcast (fewer than 1,000 bodies), so its references stay where they are.
+    wanted = wanted.select("row", "r.place", "r.digest")
+    hot = space.save(hot_keys(wanted.groupBy("digest").count(), ["digest"], "count"), "hot")
+    bodies = spread_join(wanted, chunks, ["digest"], hot).select("row", "place", F.lit(None).cast("binary").alias("list"), "body")
     heads = mixed.select(*head).union(once.select("row", F.lit(-1).alias("place"), "list", F.lit(b"").alias("body")))
     gathered = heads.union(bodies).repartition("row").sortWithinPartitions("row", "place").mapInArrow(_read, _FOUND)
     found = space.save(closed.union(gathered), "found")
@@ -157,7 +161,7 @@ def load(lists: DataFrame, chunks: DataFrame, space: Workspace) -> DataFrame:
     names = lists.select("row", "doc_id", "n_bytes", "key", ((F.size("refs") > 0) & (F.length("own") == 0)).alias("copied"))
     alone = names.where("not copied").join(found.drop("key"), "row")
     leaders = found.join(once.select("row"), "row", "left_semi").drop("row")
-    copied = names.where("copied").join(leaders, "key")
+    copied = spread_join(names.where("copied").drop("row"), leaders, ["key"], hot_lists)
     return alone.select("doc_id", "n_bytes", *told).union(copied.select("doc_id", "n_bytes", *told))
 
 
