@@ -2,9 +2,10 @@
 
 Texts are cut into chunks by a rolling hash. A chunk that occurs more than once in the corpus is encoded once, on
 whichever task gets its digest, and its ids are joined to all documents that hold it; a chunk that occurs once is encoded
-where it lies. A chunk's ids are exact only between its first and last word end that white space follows, where neither
-vocabulary joins anything; so each chunk keeps the text before and after, and where chunks meet these ends are joined and
-encoded again. If a chunk has no such place, the repair grows over it to the next one that has.
+where it lies. A chunk's ids are taken between its first and last word end that white space follows; the text before and
+after is kept, and where chunks meet these ends are joined and encoded again. Each such place is tried: the text outside is
+encoded with the next piece inside, and if their ids are not those of both apart, the repair grows to the next place, until
+they agree exactly. If a chunk has no such place, the repair grows over it to the next chunk that has.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.chunking import Chunker, digest, repeats
-from chronoframe.llm.common import Workspace, column, free_shuffles, picked, sliced, texts
+from chronoframe.llm.common import Workspace, column, free_shuffles, hot_keys, picked, sliced, spread_join, texts
 from chronoframe.llm.tokens import Coder, coder, encoded
 
 #: A chunk's code: text up to its first safe place, ids between, text after its last; open: no such place, all of it is head.
@@ -29,20 +30,59 @@ _SPACE = " \n\t\r"
 _SAFE = re.compile(r"(?<=\S)[ \n\t\r]")
 
 
-def ends(chunk: str) -> tuple[str, str, str, bool]:
-    """The text before the first safe place, between, and after the last. Safe: between a character and white space that follows it."""
-    first = _SAFE.search(chunk)
-    if not first:
-        return chunk, "", "", True
-    last = len(chunk)
-    while True:
-        last = max(chunk.rfind(c, 0, last) for c in _SPACE)
-        if not chunk[last - 1].isspace():
-            return chunk[: first.start()], chunk[first.start() : last], chunk[last:], False
+def ends(chunk: str, skip: tuple[int, int] = (0, 0)) -> tuple[str, str, str, bool]:
+    """The text before the first safe place, between, and after the last, with so many safe places skipped from the front and from the back.
+
+    Safe: between a character and white space that follows it. Without two such places all of the chunk is open.
+    """
+    if skip == (0, 0):
+        first = _SAFE.search(chunk)
+        if not first:
+            return chunk, "", "", True
+        last = len(chunk)
+        while True:
+            last = max(chunk.rfind(c, 0, last) for c in _SPACE)
+            if not chunk[last - 1].isspace():
+                break
+        a, b = first.start(), last
+    else:
+        places = [m.start() for m in _SAFE.finditer(chunk)]
+        a, b = (places[skip[0]], places[len(places) - 1 - skip[1]]) if len(places) > sum(skip) else (0, 0)
+    return (chunk[:a], chunk[a:b], chunk[b:], False) if a < b else (chunk, "", "", True)
+
+
+def _word(text: str, last: bool) -> str:
+    """The first or the last piece of a text between safe places."""
+    if last:
+        found = [m.start() for m in _SAFE.finditer(text[-256:])]
+        return text[-256:][found[-1] :] if found else text
+    found = _SAFE.search(text, 1)
+    return text[: found.start()] if found else text
 
 
 def encode_parts(vocabulary: str, chunks: list[str]) -> list[Part]:
+    """The code of each chunk. What lies outside is encoded with the next piece inside, and both apart: where the ids differ
+    the vocabulary joins something over that place, so the repair grows to the next one, until they agree exactly or all is open.
+    """
     cut = [ends(c) for c in chunks]
+    skip = [(0, 0)] * len(chunks)
+    unsure = [i for i, c in enumerate(cut) if not c[3] and c[1]]
+    while unsure:
+        seams = []
+        for i in unsure:
+            head, inner, tail, _ = cut[i]
+            first, last = _word(inner, False), _word(inner, True)
+            seams += [head + first, head, first, last + tail, last, tail]
+        ids = iter(encoded(vocabulary, seams))
+        again = []
+        for i in unsure:
+            front, head, first, back, last, tail = (next(ids) for _ in range(6))
+            apart = (front != head + first, back != last + tail)
+            if any(apart):
+                skip[i] = (skip[i][0] + apart[0], skip[i][1] + apart[1])
+                cut[i] = ends(chunks[i], skip[i])
+                again += [i] if cut[i][1] else []
+        unsure = again
     ids = encoded(vocabulary, [c[1] for c in cut])
     return [(head, raw, tail, whole) for (head, _, tail, whole), raw in zip(cut, ids, strict=True)]
 
@@ -175,11 +215,14 @@ def encode(docs: DataFrame, space: Workspace, vocabulary: str, finish, schema: s
     free_shuffles(docs.sparkSession)
     opened = coded.where(F.size("refs") > 0)
     # Documents of repeated chunks only are put together once for each distinct list of chunks.
-    alike = opened.where(F.size("own") == 0).groupBy("key").agg(F.min("row").alias("row"), F.first("refs").alias("refs"))
+    alike = opened.where(F.size("own") == 0).groupBy("key").agg(F.min("row").alias("row"), F.first("refs").alias("refs"), F.count("*").alias("n"))
+    hot_lists = space.save(hot_keys(alike, ["key"], "n"), "hot-lists")
     mixed = opened.where(F.size("own") > 0)
     wanted = mixed.select("row", F.explode("refs").alias("r")).union(alike.select("row", F.explode("refs").alias("r"))).select("row", "r.place", "r.digest")
     names = ["row", "place", "head", "ids", "tail", "open"]
-    parts = wanted.join(shared, "digest").select(*names).union(mixed.select("row", F.explode("own").alias("p")).select("row", "p.*").select(*names))
+    # A chunk that very many documents hold is broadcast (fewer than 1,000 codes), so its references stay where they are.
+    hot = space.save(hot_keys(wanted.groupBy("digest").count(), ["digest"], "count"), "hot")
+    parts = spread_join(wanted, shared, ["digest"], hot).select(*names).union(mixed.select("row", F.explode("own").alias("p")).select("row", "p.*").select(*names))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by row, then place."""
@@ -201,7 +244,7 @@ def encode(docs: DataFrame, space: Workspace, vocabulary: str, finish, schema: s
     closed = coded.where(F.size("refs") == 0).select("doc_id", *fields)
     alone = mixed.select("row", "doc_id").join(gathered, "row").select("doc_id", *fields)
     leaders = gathered.join(alike.select("row", "key"), "row").drop("row")
-    copied = opened.where(F.size("own") == 0).select("doc_id", "key").join(leaders, "key").select("doc_id", *fields)
+    copied = spread_join(opened.where(F.size("own") == 0).select("doc_id", "key"), leaders, ["key"], hot_lists).select("doc_id", *fields)
     return closed.union(alone).union(copied)
 
 

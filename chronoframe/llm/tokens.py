@@ -3,7 +3,7 @@
 Both vocabularies split a text into words before any merge, so a word's ids don't depend on its neighbours. A worker
 keeps the ids of words it has met and merges only new words, by the table of the library's own file. Texts with
 characters whose class, case or normal form could be told differently by Python and by the library go to the library
-whole, and each worker's first texts are encoded by both and must agree.
+whole. Each worker's first texts are encoded by both; if their ids differ, that worker goes on with the library alone.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Words that a worker keeps; it forgets all of them beyond that.
-MOST_WORDS = 400_000
+#: Words that a worker keeps, and bytes of the longest of them: 100 MB at most. Beyond that it forgets all words.
+MOST_WORDS, LONGEST = 400_000, 64
 #: Texts that each worker encodes by the library as well.
 CHECKED = 8
 _WORD_END = b"\xff"
@@ -71,7 +71,10 @@ class _Memory(dict):
         self.merge, self.end, self.pack = merge, end, packed.__getitem__
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = b"".join(map(self.pack, self.merge(word.encode() + self.end)))
+        raw = word.encode()
+        ids = b"".join(map(self.pack, self.merge(raw + self.end)))
+        if len(raw) <= LONGEST:
+            self[word] = ids
         return ids
 
 
@@ -127,7 +130,8 @@ class Coder:
         if self.to_check and texts:  # each worker holds its first texts against the library
             few = range(min(self.to_check, len(texts)))
             if [out[i] for i in few] != self.whole([texts[i] for i in few]):
-                raise RuntimeError("ids differ from the tokenizers library's")
+                self.words = None
+                return self.whole(texts)
             self.to_check -= len(few)
         return out
 
