@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import simple8b
-from chronoframe.llm.common import Workspace, column, free_shuffles, picked, sliced, texts
+from chronoframe.llm.common import Workspace, column, delete, free_shuffles, picked, sliced, texts
 from chronoframe.llm.tokens import coder, encoded
 
+#: Characters of a text by which rows that repeat an id are ordered.
+HEAD = 64
 FILE = "file int, place long, doc_id long, n_tokens long, words binary, offsets binary"
 
 
@@ -32,47 +34,70 @@ def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append end_id, write the files under path and return them as read back.
 
-    Rows are sorted by id, then text; a null id comes first, a null text is empty (end_id alone). Rows that repeat an id
-    are documents of their own. Empty table: files without rows. There are as many files as shuffle partitions.
+    Texts are encoded where they lie and written once as coded rows; only these are sorted into files, by id, then the
+    text's first HEAD characters, then its XXH64. A null id comes first, a null text is empty (end_id alone). Rows that repeat an id are documents of their
+    own, and can lie in several files. Empty table: files without rows. There are as many files as shuffle partitions.
     """
     spark = docs.sparkSession
-    plain = picked(docs, id_col, text_col)
+    plain = picked(docs, id_col, text_col).select("_id", F.substring("_text", 1, HEAD).alias("_head"), F.xxhash64("_text").alias("_key"), "_text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = plain.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_text")
-    ordered = ordered.select(F.spark_partition_id().alias("file"), "_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = 0
         own = coder(vocabulary)
         end = np.array([end_id], dtype=own.dtype).tobytes()
         for batch in sliced(batches):
             coded = encoded(vocabulary, texts(batch))
-            n = len(coded)
             counts = np.array([len(raw) // own.width + 1 for raw in coded], dtype=np.int64)
             words, sizes, offsets, blocks = simple8b.encode_streams(own.ids(end.join([*coded, b""])), counts)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "file"), pa.array(np.arange(place, place + n)), column(batch, "_id"), pa.array(counts), binaries(words, sizes), binaries(offsets, blocks)],
-                names=["file", "place", "doc_id", "n_tokens", "words", "offsets"],
+                [*(column(batch, c) for c in ("_id", "_head", "_key")), pa.array(counts), binaries(words, sizes), binaries(offsets, blocks)],
+                names=["doc_id", "head", "text_key", "n_tokens", "words", "offsets"],
             )
-            place += n
 
-    ordered.mapInArrow(run, FILE).write.option("compression", "uncompressed").parquet(path)
+    staged = f"{path}-coded"
+    schema = "doc_id long, head string, text_key long, n_tokens long, words binary, offsets binary"
+    plain.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(staged)
+    ordered = spark.read.schema(schema).parquet(staged).withColumn("row", F.monotonically_increasing_id())
+    keys = ["doc_id", "head", "text_key", "row"]
+    ordered = ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+    filed = ordered.select(F.spark_partition_id().alias("file"), place.alias("place"), "doc_id", "n_tokens", "words", "offsets")
+    filed.write.option("compression", "uncompressed").parquet(path)
+    delete(spark, staged)
     free_shuffles(spark)
     return spark.read.schema(FILE).parquet(path)
 
 
+def decoded(words: list[bytes], offsets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of documents and how many each has, block by block: each block is decoded from its own offset on.
+
+    A block but a document's last has BLOCK ids; anything else means that offsets and words don't belong together.
+    """
+    sizes = np.array([len(w) // 8 for w in words], dtype=np.int64)
+    blocks = np.array([len(o) // 4 for o in offsets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(words)), blocks)
+    starts = np.frombuffer(b"".join(offsets), dtype="<u4").astype(np.int64) + (np.cumsum(sizes) - sizes)[owner]
+    ids, counts = simple8b.decode_streams(np.frombuffer(b"".join(words), dtype="<u8"), np.diff(np.append(starts, sizes.sum())))
+    last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+    if (counts[~last] != simple8b.BLOCK).any():
+        raise ValueError("a block does not begin where its offset says")
+    return ids, np.bincount(owner, weights=counts, minlength=len(words)).astype(np.int64)
+
+
 def read_ids(files: DataFrame) -> DataFrame:
     """file, place, doc_id, n_tokens and ids_crc32 of the ids as decoded, little-endian and 32 bits wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            words = column(batch, "words").to_pylist()
-            ids, counts = simple8b.decode_streams(np.frombuffer(b"".join(words), dtype="<u8"), np.array([len(w) // 8 for w in words], dtype=np.int64))
+            ids, counts = decoded(column(batch, "words").to_pylist(), column(batch, "offsets").to_pylist())
+            if counts.tolist() != column(batch, "n_tokens").to_pylist():
+                raise ValueError("a document has another number of ids than its file says")
             raw, ends = memoryview(ids.astype("<u4").tobytes()), 4 * np.cumsum(counts)
             sums = [zlib.crc32(raw[a:b]) for a, b in zip((ends - 4 * counts).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "file"), column(batch, "place"), column(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["file", "place", "doc_id", "n_tokens", "ids_crc32"])
+            kept = [column(batch, c) for c in ("file", "place", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["file", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    return files.select("file", "place", "doc_id", "words").mapInArrow(run, "file int, place long, doc_id long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(run, "file int, place long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def with_starts(read: DataFrame) -> DataFrame:
