@@ -24,9 +24,12 @@ from chronoframe.llm.tokens import coder, encoded
 
 #: Length classes: as many as the program has rows.
 CLASSES = 320
-#: Column generation ends when no new pattern saves more than this share of a sequence.
-GAIN = 2e-3
+#: Column generation ends when all patterns together can't save more than this share of the sequences, or this part of one:
+#: by linear duality the best use of all patterns is at least the present one divided by the best pattern's worth.
+GAIN, PART = 2e-3, 0.1
 MOST_COLUMNS = 3000
+#: Patterns that one solution of the knapsack gives.
+AT_ONCE = 16
 _LENGTHS = "row long, doc_id long, doc_tokens long, crcs array<long>"
 
 
@@ -61,8 +64,8 @@ def length_classes(counts: np.ndarray, most: int) -> np.ndarray:
     return kind
 
 
-def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best total value of sizes within capacity, each as often as wished, and how often each is taken."""
+def _table(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity the best total value of sizes within it, each as often as wished, and the size taken last (-1: none)."""
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
     order = np.argsort(-value / size, kind="stable")
@@ -75,28 +78,89 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
             old = best[s:].copy()
             best[s:] = np.where(better, best[:-s] + v, old)
             last[s:][better] = i
-    best_at, taken = int(np.argmax(best)), np.zeros(len(size), dtype=np.int64)
-    at = best_at
+    return best, last
+
+
+def _taken(last: np.ndarray, size: np.ndarray, at: int) -> np.ndarray:
+    taken = np.zeros(len(size), dtype=np.int64)
     while at > 0 and last[at] >= 0:
         taken[last[at]] += 1
         at -= int(size[last[at]])
+    return taken
+
+
+def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """Best total value of sizes within capacity, each as often as wished, and how often each is taken."""
+    best, last = _table(value, size, capacity)
+    taken = _taken(last, size, int(np.argmax(best)))
     return float(taken @ value), taken
 
 
+def priced(value: np.ndarray, size: np.ndarray, capacity: int, least: float) -> np.ndarray:
+    """Patterns worth more than `least`, a row each: the best of all, and for the sizes that can be in such a one the best with that size."""
+    best, last = _table(value, size, capacity)
+    with_it = value + best[capacity - size]
+    rows = [_taken(last, size, int(np.argmax(best)))]
+    for i in np.argsort(-with_it, kind="stable")[:AT_ONCE].tolist():
+        row = _taken(last, size, capacity - int(size[i]))
+        row[i] += 1
+        rows.append(row)
+    made = np.unique(np.array(rows), axis=0)
+    return made[made @ value > least]
+
+
+def first_basis(demand: np.ndarray, size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A pattern for each class (a row) and how often it is used: longest first as far as they fit, until one class is used up.
+
+    Each pattern has nothing of the classes used up before it, so the rows are a basis.
+    """
+    n = len(demand)
+    rows, use = np.zeros((n, n), dtype=np.int64), np.zeros(n)
+    left, longest = demand.astype(float), np.argsort(-size, kind="stable")
+    while True:
+        alive = longest[left[longest] > 1e-9]
+        if not len(alive):
+            break
+        row, room = np.zeros(n, dtype=np.int64), capacity
+        for i, s, have in zip(alive.tolist(), size[alive].tolist(), np.ceil(left[alive]).astype(np.int64).tolist(), strict=True):
+            if s <= room:
+                row[i] = min(room // s, have)
+                room -= row[i] * s
+        held = np.flatnonzero(row)
+        ratio = left[held] / row[held]
+        gone = held[int(np.argmin(ratio))]
+        rows[gone], use[gone] = row, ratio.min()
+        left -= use[gone] * row
+        left[gone] = 0
+    idle = np.flatnonzero(rows[np.arange(n), np.arange(n)] == 0)  # used up together with another
+    rows[idle, idle] = 1
+    return rows, use
+
+
 def patterns(demand: np.ndarray, size: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """(how many of each class in a sequence, how many such sequences); together exactly the demand, no sequence over capacity."""
+    """(how many of each class in a sequence, how many such sequences); together exactly the demand, no sequence over capacity.
+
+    Priced patterns are kept: as long as one of them pays at the present dual values it enters, and only then is the
+    knapsack solved again.
+    """
     n = len(demand)
     out: list[tuple[np.ndarray, int]] = []
     rest = demand.astype(np.int64).copy()
     if n:
-        columns = [np.eye(n, dtype=np.int64)[i] * min(capacity // int(size[i]), max(1, int(demand[i]))) for i in range(n)]
-        inverse = np.diag([1 / c[i] for i, c in enumerate(columns)])
-        use = inverse @ demand
+        basis, use = first_basis(demand, size, capacity)
+        inverse, columns = np.linalg.inv(basis.T), list(basis)
+        known, pool = np.zeros((0, n), dtype=np.int64), np.zeros((0, n))
         for _ in range(MOST_COLUMNS):
             dual = inverse.sum(axis=0)
-            gain, new = knapsack(dual, size, capacity)
-            if gain <= 1 + GAIN:
-                break
+            least = 1 + max(GAIN, PART / use.sum())
+            gains = pool @ dual
+            if not len(gains) or gains.max() <= least:
+                known = priced(dual, size, capacity, least)
+                if not len(known):
+                    break
+                pool = known.astype(float)
+                gains = pool @ dual
+            new = known[int(np.argmax(gains))]
             step = inverse @ new
             able = np.flatnonzero(step > 1e-9)
             ratio = use[able] / step[able]
@@ -116,6 +180,11 @@ def patterns(demand: np.ndarray, size: np.ndarray, capacity: int) -> list[tuple[
             if times > 0:
                 out.append((c, times))
                 rest -= times * c
+        for at in np.argsort(np.floor(use + 1e-7) - use, kind="stable").tolist():  # rounded up where demand is left, largest fractions first
+            c = columns[at]
+            if use[at] % 1 > 1e-7 and c @ size > (1 - GAIN) * capacity and (rest >= c).all():
+                out.append((c, 1))
+                rest -= c
     bins: list[tuple[int, np.ndarray]] = []  # what rounding left: first fit, longest first
     for i in np.argsort(-size, kind="stable").tolist():
         for _ in range(int(rest[i])):
