@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Workspace, fresh
+from chronoframe.llm.common import Workspace, fresh, hot_keys, spread_join
 
 #: Kind, pattern, group that holds the value, least length of that group. Kinds in the order of listing.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,6 +26,8 @@ KINDS = [
 BASE = 3
 #: An `owned` value has at least so many digits, letters and different characters.
 DIGITS, LETTERS, DIFFERENT = 4, 4, 12
+#: Characters of the blocks that a text is cut into for masking.
+BLOCK = 4096
 
 
 def _matches(text: Column, number: int) -> Column:
@@ -84,12 +86,16 @@ def find_secrets(
     space = Workspace(docs.sparkSession, "secrets")
     rows, spans = scan(docs, space, id_col, text_col, owner_col, list(repo_cols))
     live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)
-    judged = spans.join(ownership(spans), "value").withColumn("live", live).where((F.col("kind") < BASE) | F.col("live"))
+    owned = space.save(ownership(spans), "owned")
+    hot = space.save(hot_keys(owned, ["value"], "uses"), "hot")
+    judged = spread_join(spans, owned, ["value"], hot).withColumn("live", live).where((F.col("kind") < BASE) | F.col("live"))
+    # Spans in order: one lies in a base span if it ends no later than the furthest of those that begin no later.
+    so_far = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.coalesce(F.max(F.when(F.col("kind") < BASE, F.col("end"))).over(so_far), F.lit(-1))
+    judged = judged.withColumn("reach", reach).where((F.col("kind") < BASE) | (F.col("reach") < F.col("end")))
     names = F.array(*(F.lit(k[0]) for k in KINDS))
     item = F.struct("start", "kind", "end", "value", "owners", "repos", "live")
     listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    inside = lambda x: F.exists("all", lambda b: (b["kind"] < BASE) & (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    listed = listed.withColumn("all", F.filter("all", lambda x: (x["kind"] < BASE) | ~inside(x)))
     named = F.transform("all", lambda x: F.struct(F.element_at(names, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["owners"].alias("owners"), x["repos"].alias("repos"), x["live"].alias("live")))
     listed = listed.select("row", named.alias("spans"))
     none = F.array().cast(listed.schema["spans"].dataType)
@@ -112,31 +118,47 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
+def _cut(blocks: Column, first: Column, after: Column) -> Column:
+    """Characters first to after of a text in blocks: only the blocks that they lie in are looked at."""
+    block = lambda at: F.floor(at / BLOCK).cast("int")
+    own = F.array_join(F.slice(blocks, block(first) + 1, block(after - 1) - block(first) + 1), "")
+    return F.when(after > first, F.substr(own, first % BLOCK + 1, after - first)).otherwise("")
+
+
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """text with spans (start, end, at: the furthest end before) replaced; its pieces are cut once and joined once."""
+
+    def put(blocks: Column) -> Column:
+        piece = lambda s: F.when(s["start"] >= s["at"], F.concat(_cut(blocks, s["at"], s["start"]), F.lit(mask))).otherwise("")
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), _cut(blocks, last, F.length(text)))
+
+    # As a lambda variable the blocks are made once for a text and not once for a piece.
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))), put)[0]
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", count_col: str | None = None, **options) -> DataFrame:
     """docs with each live span of a text replaced by mask. All rows and columns stay, and so do copied examples.
 
-    Overlapping spans become one mask. A text without live spans is as before, null included. count_col, where it is
-    given, holds the number of characters and follows a changed text.
+    Overlapping spans become one mask. A text without live spans is as before, null included; rows that repeat an id and
+    text are masked alike, a null id is like any other. count_col, where it is given, holds the number of characters and
+    follows a changed text. Empty table: empty result. The work grows with a text's length and its number of spans.
     """
     found = find_secrets(docs, id_col, text_col, **options)
     own_id, own_key, own_spans, made = (fresh(docs, c) for c in ("_id", "_key", "_spans", "_masked"))
-    live = found.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.filter("spans", lambda s: s["live"]).alias(own_spans))
-    live = live.where(F.size(own_spans) > 0).dropDuplicates([own_id, own_key])
+    live = found.select("doc_id", "text_key", F.filter("spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
+    live = live.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("live").alias("s"))
+    earlier = Window.partitionBy("doc_id", "text_key").orderBy("s.start", "s.end").rowsBetween(Window.unboundedPreceding, -1)
+    live = live.withColumn("at", F.coalesce(F.max("s.end").over(earlier), F.lit(0)))
+    item = F.struct(*(F.col(f"s.{c}").cast("int").alias(c) for c in ("start", "end")), F.col("at").cast("int").alias("at"))
+    live = live.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(item)).alias(own_spans))
+    live = live.withColumnsRenamed({"doc_id": own_id, "text_key": own_key})
     text = F.col(f"`{text_col}`")
     # Only texts with a match of some kind can change: the others stay where they lie, so the join moves few texts.
     matched = F.coalesce(reduce(lambda a, b: a | b, (text.rlike(k[1]) for k in KINDS)), F.lit(False))
     same = docs.where(~matched)
     joined = docs.where(matched).join(live, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col(own_key)), "left")
-
-    def step(done: Column, s: Column) -> Column:
-        gap = F.concat(done["out"], F.substr(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0))))
-        more = F.struct(s["end"].cast("int").alias("at"), F.when(s["start"] >= done["at"], F.concat(gap, F.lit(mask))).otherwise(done["out"]).alias("out"))
-        return F.when(s["end"] <= done["at"], done).otherwise(more)
-
-    spans = F.transform(own_spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
-    changed = joined.select("*", F.when(F.col(own_spans).isNotNull(), masked).alias(made))
+    changed = joined.select("*", F.when(F.col(own_spans).isNotNull(), _masked(text.cast("string"), F.col(own_spans), mask)).alias(made))
 
     def kept(c: str) -> Column:
         now = {text_col: F.col(made), count_col: F.length(made).cast(docs.schema[c].dataType)}.get(c)
