@@ -25,11 +25,11 @@ WORDS, HEADS, HEAD = 1 << 15, 1 << 14, 4
 SIZE, FILTERS, FILTER_WIDTHS = 16, 8, (1, 2, 3)
 EPOCHS, STEPS, BATCH, RATE, DROP, DECAY = 4, 150, 64, 0.02, 0.2, 1e-4
 #: Labelled rows that the fit takes at most, and characters of one of their texts.
-FIT_ROWS, FIT_CHARS = 8000, 200_000
-#: Positive calibration rows that a language needs for a threshold of its own.
-OWN_THRESHOLD = 20
-#: Words that a worker keeps, and words that are convolved at once.
-KEPT, AT_ONCE = 400_000, 1 << 16
+FIT_ROWS, FIT_CHARS = 8000, 25_000
+#: A language's threshold lies between its own best one and the common one: half-way where it has so many positive calibration rows.
+HALF_WAY = 20
+#: Words that a worker keeps, characters of the longest of them, and words that are convolved at once.
+KEPT, LONGEST, AT_ONCE = 400_000, 64, 1 << 16
 #: Frequent function words of the languages that thresholds know.
 LANGUAGES = {
     "en": "the of and to in is that for it with was on are be this",
@@ -46,9 +46,10 @@ class _Ids(dict):
     def __missing__(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         ids = (zlib.crc32(raw) % WORDS).to_bytes(2, "little") + (zlib.crc32(word[:HEAD].encode("utf-8", "surrogatepass"), 1) % HEADS).to_bytes(2, "little")
-        if len(self) >= KEPT:
-            self.clear()
-        self[word] = ids
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -242,9 +243,9 @@ def fit(rows: list[bytes], labels: np.ndarray, seed: int = 5) -> Model:
         z = model.logits(ids, sizes)
         common = best_threshold(z, labels[kept_back])
         for i in range(len(LANGUAGES) + 1):
-            here = spoken == i
-            enough = labels[kept_back][here].sum() >= OWN_THRESHOLD
-            model.threshold[i] = best_threshold(z[here], labels[kept_back][here]) if enough else common
+            own, found = labels[kept_back][spoken == i], labels[kept_back][spoken == i].sum()
+            share = found / (found + HALF_WAY) if 0 < found < len(own) else 0.0
+            model.threshold[i] = share * best_threshold(z[spoken == i], own) + (1 - share) * common
     return model
 
 
@@ -301,7 +302,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows predicted toxic; decided in the scan, row by row, with all columns as they are."""
+    """docs without the rows predicted toxic; decided in the scan, row by row, with all columns as they are.
+
+    A null text counts as empty and its row stays null; rows that repeat an id or a text are decided each, alike. Ids are
+    not read. Empty table: empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
