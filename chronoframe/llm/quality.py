@@ -25,9 +25,9 @@ BACK = (1, 2, 3, 5, 8)
 HIDDEN, GATE = 16, 8
 EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 600, 64, 0.01, 1e-4
 #: Labelled rows that the fit takes at most, and characters of one of their texts.
-FIT_ROWS, FIT_CHARS = 8000, 200_000
-#: Bytes of text described at once.
-AT_ONCE = 8 << 20
+FIT_ROWS, FIT_CHARS = 8000, 25_000
+#: Bytes of text described at once, some 30 bytes of memory each. A longer text is described in runs of passages.
+AT_ONCE = 2 << 20
 
 _BYTE = np.arange(256)
 _IS = {  # classes of UTF-8 bytes; bytes of other characters are letters
@@ -85,17 +85,45 @@ def _describe(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.stack(columns, axis=1).astype(np.float32), bags
 
 
+def _describe_long(data: np.ndarray) -> np.ndarray:
+    """The passages of one text, a run at a time. A run begins one passage back, so its first words have those before them to be compared with.
+
+    A passage longer than a run makes the run longer.
+    """
+    found, at, lead, size = [], 0, 0, AT_ONCE
+    while at < len(data):
+        part = data[at : at + size]
+        done = at + size >= len(data)
+        space = _SPACE[part]
+        starts = np.flatnonzero(~space & np.append(True, space[:-1]))
+        whole = len(starts) if done else (len(starts) - 1) // PASSAGE * PASSAGE  # the last word can go on
+        if not done and whole <= lead * PASSAGE:
+            size *= 2
+            continue
+        end = len(part) if done else int(starts[whole])
+        features, _ = _describe(np.append(part[:end], np.uint8(32)), np.array([end + 1]))
+        found.append(features[lead:])
+        if done:
+            break
+        at, lead, size = at + int(starts[whole - PASSAGE]), 1, AT_ONCE
+    return np.concatenate([np.zeros((0, FEATURES), dtype=np.float32), *found])
+
+
 def passages(raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The features of all passages of the texts, and how many each text has: one of zeros for a text without words."""
     found, counts, held, size = [], [], [], 0
     for t in [*raw, None]:
-        if held and (t is None or size > AT_ONCE):
+        if held and (t is None or size + len(t) > AT_ONCE):
             joined = [x.encode("utf-8", "surrogatepass") + b" " for x in held]
             f, n = _describe(np.frombuffer(b"".join(joined), dtype=np.uint8), np.cumsum([len(x) for x in joined]))
             found.append(np.insert(f, np.cumsum(n)[n == 0], 0, axis=0))
             counts.append(np.maximum(n, 1))
             held, size = [], 0
-        if t is not None:
+        if t is not None and len(t) > AT_ONCE:
+            f = _describe_long(np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8))
+            found.append(f if len(f) else np.zeros((1, FEATURES), dtype=np.float32))
+            counts.append(np.array([max(1, len(f))]))
+        elif t is not None:
             held.append(t)
             size += len(t)
     return np.concatenate([np.zeros((0, FEATURES), dtype=np.float32), *found]), np.concatenate([np.zeros(0, dtype=np.int64), *counts])
@@ -213,7 +241,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows predicted to be of low quality; decided in the scan, row by row, with all columns as they are."""
+    """docs without the rows predicted to be of low quality; decided in the scan, row by row, with all columns as they are.
+
+    A null text counts as empty and its row stays null; rows that repeat an id or a text are decided each, alike. Ids are
+    not read. Empty table: empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

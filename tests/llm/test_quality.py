@@ -95,3 +95,50 @@ def test_no_rows_no_labels(spark):
     none, no_marks = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
     assert quality.classify(none, no_marks).collect() == []
     assert len(quality.classify(spark.createDataFrame([(1, "a b", "", "")], DOCS), no_marks).collect()) == 1
+
+
+def test_a_long_text_in_runs_is_as_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["Ab", "cd", "É", "x|", "!!", "SHOUT", "longlonglongword", "7", "cd", "\n", "a\tb", "z" * 900]
+    raw = [" ".join(rng.choice(words, int(n))) + end for n, end in zip(rng.integers(0, 900, 12), ["", " ", "  \n"] * 4, strict=True)] + ["y" * 5000, " " * 4000]
+    whole, bags = quality.passages(raw)
+    monkeypatch.setattr(quality, "AT_ONCE", 700)
+    found, cut = quality.passages(raw)
+    assert bags.tolist() == cut.tolist() and np.allclose(whole, found, atol=1e-5)
+
+
+def test_attention_finds_the_one_passage_that_decides(monkeypatch):
+    """Good documents hold only usual passages; bad ones hold one odd passage among many usual ones, which a mean hardly shows."""
+    rng = np.random.default_rng(6)
+
+    def draw(n):
+        bags, labels = rng.integers(20, 60, n), rng.integers(0, 2, n)
+        features = rng.normal(0, 1, (int(bags.sum()), quality.FEATURES)).astype(np.float32)
+        for start, size, good in zip((np.cumsum(bags) - bags).tolist(), bags.tolist(), labels.tolist(), strict=True):
+            if not good:
+                features[start + rng.integers(0, size), :4] += 3.5
+        return features, bags, labels.astype(np.float32)
+
+    features, bags, labels = draw(1500)
+    model = quality.fit(features, bags, labels)
+    test = draw(500)
+    learned = np.mean((model.scores(*test[:2]) >= 0.5) == test[2])
+    plain = quality.gradients
+
+    def without_attention(*args):
+        found = plain(*args)
+        found["attend"] = np.zeros_like(found["attend"])
+        args[0].weights["attend"][:] = 0
+        return found
+
+    monkeypatch.setattr(quality, "gradients", without_attention)
+    mean = quality.fit(features, bags, labels)
+    mean.weights["attend"][:] = 0
+    pooled = np.mean((mean.scores(*test[:2]) >= 0.5) == test[2])
+    print(learned, pooled)
+    assert learned > 0.93 and learned > pooled + 0.1
+    attention = model.forward(*test[:2])["a"]
+    starts = np.cumsum(test[1]) - test[1]
+    bad = np.flatnonzero(test[2] == 0)
+    odd = [starts[i] + test[0][starts[i] : starts[i] + test[1][i], :4].sum(axis=1).argmax() for i in bad]
+    assert np.median(attention[odd] * test[1][bad]) > 5  # many times the uniform weight
