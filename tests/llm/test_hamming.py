@@ -45,3 +45,26 @@ def test_sign_codes(spark):
     rows = [(1, numbers, ""), (2, None, ""), (3, [1.0, None, 2.0], ""), (None, numbers, ""), (4, [-1.0] * 63 + [1.0], "")]
     got = {r["id"]: r["code"] & (2**64 - 1) for r in hamming.sign_codes(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: sum(1 << i for i, x in enumerate(numbers) if x > 0), 2: 0, 3: 5, 4: 1 << 63}
+
+
+def test_outlying_queries_are_held_against_all_codes(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "segment_count", lambda n: 2)
+    monkeypatch.setattr(hamming, "SHELL", 40)  # radius 2 of 32 bits has 496 values
+    monkeypatch.setattr(hamming, "SCANNED", 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63, 120))] + [(200 + i, 5) for i in range(20)] + [(300 + i, 5 ^ (1 << i)) for i in range(6)]
+    queries = [r for r in rows if r[0] % 10 == 0] + [(999, -1)]
+    assert run(spark, rows, queries, 6) == slow(rows, queries, 6)
+
+
+def test_long_vectors_and_odd_numbers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate((64, 65, 128, 200, 1))] + [(9, [float("nan"), 1.0] + [0.0] * 70), (10, [])]
+    got = {r["id"]: r["code"] & (2**64 - 1) for r in hamming.sign_codes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, numbers in rows:
+        numbers = [0.0 if x != x else x for x in numbers]
+        assert got[i] == sum(1 << b for b in range(64) if sum(numbers[b::64]) > 0)
+    same = spark.createDataFrame([(i, [1.0] * (i % 3)) for i in range(300)] + [(100, [-1.0, 1.0]), (None, [1.0])], "vec_id long, embedding array<double>")
+    found = hamming.search_every(same, k=2).collect()
+    assert {r["query_id"] for r in found} == {0, 100, 200} and all(r["rank"] <= 2 for r in found)
+    assert hamming.search_every(same.where("false")).collect() == []
