@@ -27,7 +27,8 @@ CLASSES = 320
 #: Column generation ends when all patterns together can't save more than this share of the sequences, or this part of one:
 #: by linear duality the best use of all patterns is at least the present one divided by the best pattern's worth.
 GAIN, PART = 2e-3, 0.1
-MOST_COLUMNS = 3000
+#: It also ends when so many columns in a row have saved less than that, and after MOST_COLUMNS.
+STALLED, MOST_COLUMNS = 120, 3000
 #: Patterns that one solution of the knapsack gives.
 AT_ONCE = 16
 _LENGTHS = "row long, doc_id long, doc_tokens long, crcs array<long>"
@@ -150,7 +151,12 @@ def patterns(demand: np.ndarray, size: np.ndarray, capacity: int) -> list[tuple[
         basis, use = first_basis(demand, size, capacity)
         inverse, columns = np.linalg.inv(basis.T), list(basis)
         known, pool = np.zeros((0, n), dtype=np.int64), np.zeros((0, n))
-        for _ in range(MOST_COLUMNS):
+        marked = np.inf
+        for turn in range(MOST_COLUMNS):
+            if turn % STALLED == 0:
+                if use.sum() > marked - max(GAIN * use.sum(), PART):
+                    break
+                marked = use.sum()
             dual = inverse.sum(axis=0)
             least = 1 + max(GAIN, PART / use.sum())
             gains = pool @ dual
