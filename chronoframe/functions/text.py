@@ -87,5 +87,11 @@ def fingerprint(path: Column, length: Column, modified: Column) -> Column:
     return F.concat_ws(":", path, length.cast("string"), modified.cast("string"))
 
 
+def rapid_scale(frame: Column) -> Column:
+    """sx and sy of a rapid word so many frames after its start; as it is from the fifth on."""
+    at = lambda i: F.coalesce(*(F.when(frame == k, F.lit(s[i])) for k, s in enumerate(RAPID_SCALES)), F.lit(1.0))
+    return F.struct(at(0).alias("sx"), at(1).alias("sy"))
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)

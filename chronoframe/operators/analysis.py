@@ -98,20 +98,24 @@ def prepare(analysis: Analysis, selections: DataFrame) -> DataFrame:
     selections have it.
     """
     keys = ["source", "scene_id"]
-    asked = selections.select(*keys, "b0", "b1")
+    place = ["position"] if "position" in selections.columns else []
+    asked = selections.select(*keys, "b0", "b1", *place)
     clipped = iv.clip(analysis.fragments.select("source", F.col("start").alias("a0"), F.col("end").alias("a1")), asked, ["source"], 60.0)
-    pieces = clipped.select(*keys, "b0", "b1", F.col("start").alias("a0"), F.col("end").alias("a1"))
+    pieces = clipped.select(*keys, "b0", "b1", *place, F.col("start").alias("a0"), F.col("end").alias("a1"))
     numbered = pieces.withColumn("fragment", F.row_number().over(Window.partitionBy(*keys).orderBy("a0")))
-    met = numbered.join(analysis.motion, "source").where((F.col("t") >= F.col("a0")) & (F.col("t") < F.col("a1")))
+    # Pieces and samples meet in buckets of a minute, so a long source is many keys and not one.
+    dealt = numbered.withColumn("_bucket", F.explode(iv.buckets(F.col("a0"), F.col("a1"), 60.0)))
+    samples = analysis.motion.withColumn("_bucket", F.floor(F.col("t") / 60.0))
+    met = dealt.hint("merge").join(samples, ["source", "_bucket"]).where((F.col("t") >= F.col("a0")) & (F.col("t") < F.col("a1")))
     inside = met.select(*keys, "fragment", "t", "activity", "confidence")
     actions = signal.action_windows(inside.select(*keys, "fragment", "t", (F.col("activity") * F.col("confidence")).alias("activity")), numbered.select(*keys, "fragment", "a0", "a1"), keys, "fragment")
     listed = lambda df, name, *fields: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
-    parts = numbered.groupBy(*keys).agg(F.min("b0").alias("source_start"), F.max("b1").alias("source_end"), F.array_sort(F.collect_list(F.struct(F.col("a0").alias("start"), (F.col("a1") - F.col("a0")).alias("duration")))).alias("fragments"))
+    parts = numbered.groupBy(*keys).agg(*(F.min(c).alias(c) for c in place), F.min("b0").alias("source_start"), F.max("b1").alias("source_end"), F.array_sort(F.collect_list(F.struct(F.col("a0").alias("start"), (F.col("a1") - F.col("a0")).alias("duration")))).alias("fragments"))
     motion = listed(inside, "motion", F.col("t").alias("time"), "activity", "confidence")
     acts = listed(actions, "actions", "start", "end", "peak", "activity")
     scenes = parts.join(motion, keys, "left").join(acts, keys, "left")
     usable = F.aggregate("fragments", F.lit(0.0), lambda a, f: a + f["duration"])
-    return scenes.select(F.col("scene_id"), F.col("source").alias("source_id"), "source_start", "source_end", "fragments", F.coalesce("motion", F.array().cast(scenes.schema["motion"].dataType)).alias("motion"), F.coalesce("actions", F.array().cast(scenes.schema["actions"].dataType)).alias("actions"), usable.alias("usable"))
+    return scenes.select(*place, F.col("scene_id"), F.col("source").alias("source_id"), "source_start", "source_end", "fragments", F.coalesce("motion", F.array().cast(scenes.schema["motion"].dataType)).alias("motion"), F.coalesce("actions", F.array().cast(scenes.schema["actions"].dataType)).alias("actions"), usable.alias("usable"))
 
 
 def fresh_sources(sources: DataFrame, cache: DataFrame, version: int, remove_blank: bool) -> DataFrame:

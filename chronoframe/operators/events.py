@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoframe.functions import curves
 from chronoframe.functions.numbers import half_up, lcg, let, position_hash, unsigned_mod
+from chronoframe.operators import intervals
 
 #: The one-frame effects in the order that hashes choose by; the last three flash.
 ONE_FRAMERS = ["OFFSET_BLUR", "RADIAL_BLUR", "DIRECTIONAL_MINIMAX", "WARP_FISHEYE", "BOKEH_OCTAGON", "TINT_SCENE", "SOFT_TINT_FLASH", "FLASH_WHITE", "FLASH_BLACK", "INVERT"]
@@ -78,17 +80,20 @@ def seeds(index: Column) -> list[Column]:
     return out
 
 
-def lottery(segments: DataFrame, style: Column, index: str = "idx") -> DataFrame:
-    """Adds seed, a boolean per effect, the axes and the zoom offset. Draws are chained columns, so each is computed once."""
+def lottery(segments: DataFrame, style: Column, index: str = "idx", toggles: dict[str, Column] | None = None) -> DataFrame:
+    """Adds seed, a boolean per effect, the axes and the zoom offset. Draws are chained columns, so each is computed once.
+
+    toggles: a boolean per effect that decides whether it can be drawn at all, whatever the style; an effect without one is on,
+    but for smooth plans, where only the chain is.
+    """
+    smooth = style == "SMOOTH"
+    allowed = {name: F.lit(True) if name == "chain" else ~smooth for name in LOTTERY["HARD"]} | (toggles or {})
     df = segments.withColumn("seed", lcg(F.col(index).cast("long")).bitwiseXOR(F.lit(SEED_MASK)))
     for i in range(1, 9):
         df = df.withColumn(f"_s{i}", lcg(F.col(f"_s{i - 1}" if i > 1 else "seed")))
     for i, name in enumerate(LOTTERY["HARD"], 1):
         share = F.when(style == "HYBRID", LOTTERY["HYBRID"][name]).otherwise(LOTTERY["HARD"][name])
-        on = F.col(f"_s{i}") % 100 < share
-        if name not in ("chain",):
-            on = on & (style != "SMOOTH")  # toggles that are off for smooth plans unless asked for
-        df = df.withColumn(name, on)
+        df = df.withColumn(name, (F.col(f"_s{i}") % 100 < share) & allowed[name])
     df = df.withColumn("bouncy_axis", (F.col("_s1") % 2).cast("int")).withColumn("stretch_axis", (F.col("_s7") % 2).cast("int")).withColumn("zoom_offset", (F.col("_s8") % 3).cast("int"))
     return df.drop(*(f"_s{i}" for i in range(1, 9)))
 
@@ -102,7 +107,7 @@ def chained(segments: DataFrame, keys: list[str], order: str, flag: str) -> Data
 def creative_times(anchors: DataFrame, keys: list[str], kind: str, period: Column, fps: int, target: str) -> DataFrame:
     """Candidate events of one kind: every nth anchor, snapped to frames, before any is dropped for its gap.
 
-    anchors: keys, t and target, already thinned.
+    anchors: keys, t and target, already thinned. Their seeds come from seeded().
     """
     _, salt, length, _, lone = next(c for c in CREATIVE if c[0] == kind)
     w = Window.partitionBy(*keys)
@@ -114,8 +119,28 @@ def creative_times(anchors: DataFrame, keys: list[str], kind: str, period: Colum
     start = F.least(half_up((F.col("t") + F.when(n == 1, period * lone).otherwise(0.0)) / frame) * frame, latest)
     end = F.least(start + F.least(F.greatest(period * length, F.lit(frame * 2)), F.lit(1.2)), F.col(target))
     made = rows.where(chosen).select(*keys, F.lit(kind).alias("kind"), F.col("t").alias("anchor"), start.alias("t0"), end.alias("t1"), target, period.alias("period"))
-    made = made.where(F.col("t1") - F.col("t0") > frame)
-    return made.withColumn("seed", position_hash(F.col("anchor"), salt).bitwiseAND(F.lit((1 << 32) - 1)))
+    return made.where(F.col("t1") - F.col("t0") > frame).withColumn("salt", F.lit(salt))
+
+
+def seeded(events: DataFrame, segments: DataFrame, keys: list[str], video: float, style: str) -> DataFrame:
+    """Accepted events (keys, anchor, t0, salt, ...) with seed and strength.
+
+    The seed hashes the anchor, the source's time at the event's start and a share of the video's duration. The segment (keys,
+    idx, t0, t1, s0, s1, curve) is the one that the event begins in, else the plan's first; events of plans without segments
+    have no row. Segments follow each other, so it is found by an as-of join.
+    """
+    picture = F.struct("idx", F.col("t0").alias("g0"), F.col("t1").alias("g1"), "s0", "s1", "curve")
+    marks = segments.select(*keys, F.col("t0").alias("_at"), picture.alias("_here"))
+    first = segments.groupBy(*keys).agg(F.min(picture).alias("_first"))
+    met = intervals.backward(events.withColumn("_at", F.col("t0")), marks, keys, "_at", ["_here"]).join(first, keys)
+    met = met.withColumn("_g", F.when(F.col("t0") < F.col("_here.g1"), F.col("_here")).otherwise(F.col("_first")))
+    g = lambda name: F.col(f"_g.{name}")
+    x = (F.col("t0") - g("g0")) / (g("g1") - g("g0"))
+    source = g("s0") + (g("s1") - g("s0")) * curves.curve(g("curve"), x)
+    seed = position_hash(F.col("anchor") + source + video * 0.17, F.col("salt")).bitwiseAND(F.lit((1 << 32) - 1))
+    base = 0.72 if style == "SMOOTH" else 0.9
+    made = met.withColumn("seed", seed).withColumn("strength", base * (0.9 + (F.col("seed") % 11).cast("double") * 0.01))
+    return made.drop("_at", "_here", "_first", "_g")
 
 
 def with_clean_gaps(candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def offsets(rows: DataFrame, keys: list[str], order: list[str], duration: str, n
     return rows.withColumn(name, F.coalesce(F.sum(duration).over(w), F.lit(0.0)))
 
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
+def buckets(start: Column, end: Column, width: float) -> Column:
     """Numbers of the buckets that [start, end) touches."""
     return F.sequence(F.floor(start / width), F.greatest(F.floor(start / width), F.ceil(end / width) - 1))
 
@@ -53,8 +53,8 @@ def join_overlapping(left: DataFrame, right: DataFrame, keys: list[str], width:
 
     Each side is dealt into buckets of `width`; a pair is kept in the first bucket that both touch, so it comes once.
     """
-    lb = left.select("*", F.explode(_buckets(F.col("a0"), F.col("a1"), width)).alias("_bucket"))
-    rb = right.select("*", F.explode(_buckets(F.col("b0"), F.col("b1"), width)).alias("_bucket"))
+    lb = left.select("*", F.explode(buckets(F.col("a0"), F.col("a1"), width)).alias("_bucket"))
+    rb = right.select("*", F.explode(buckets(F.col("b0"), F.col("b1"), width)).alias("_bucket"))
     # Sizes after an explode are not known when the plan is made, so neither side may be broadcast on an estimate.
     met = lb.hint("merge").join(rb, [*keys, "_bucket"]).where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")))
     return met.where(F.col("_bucket") == F.floor(F.greatest("a0", "b0") / width)).drop("_bucket")
@@ -96,7 +96,7 @@ def coverage_union(ranges: DataFrame, keys: list[str], start: str, end: str, eps
     return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("_island")
 
 
-def first_unused(fragments: DataFrame, covered: DataFrame, keys: list[str], order: str) -> DataFrame:
+def first_unused(fragments: DataFrame, covered: DataFrame, keys: list[str], order: str, width: float = 60.0) -> DataFrame:
     """Per key the local offset of the first gap of at least SMALLEST_GAP in its fragments (order, a0, a1) that covered (b0, b1, merged and sorted) leaves.
 
     A key that is covered wholly has no row. The gap before a covered range counts if it is longer than SMALLEST_GAP; the
@@ -105,7 +105,7 @@ def first_unused(fragments: DataFrame, covered: DataFrame, keys: list[str], orde
     placed = offsets(fragments.withColumn("_len", F.col("a1") - F.col("a0")), keys, [order], "_len")
     # The end of a fragment closes the last gap, as a covered range of no length would.
     closing = placed.select(*keys, order, "before", "a0", "a1", F.col("a1").alias("b0"), F.col("a1").alias("b1"), F.lit(True).alias("_close"))
-    inside = placed.join(covered, keys).where((F.col("b1") > F.col("a0")) & (F.col("b0") < F.col("a1")))
+    inside = join_overlapping(placed, covered, keys, width)
     rows = closing.unionByName(inside.select(*keys, order, "before", "a0", "a1", "b0", "b1", F.lit(False).alias("_close")))
     earlier = Window.partitionBy(*keys, order).orderBy("b0", "_close", "b1").rowsBetween(Window.unboundedPreceding, -1)
     cursor = F.greatest("a0", F.coalesce(F.max("b1").over(earlier), F.col("a0")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOL = 1e-9
-SEGMENTS = "plan_id long, idx long, t0 double, t1 double, s0 double, s1 double, curve string, reverse boolean, wraps boolean, scene int"
+SEGMENTS = "plan_id long, idx long, t0 double, t1 double, s0 double, s1 double, curve string, reverse boolean, wraps boolean, scene int, loops long"
 
 
 def merged_bounds(beats: list[float], target: float, fps: int, style: str) -> list[float]:
@@ -62,6 +62,7 @@ class Walk:
     switched: float = 0.0
     strong: int = 0
     wrapped: bool = False
+    loops: list[int] = field(default_factory=lambda: [0])  # how often the source was used up, after each row; first: before any
     rows: list[tuple] = field(default_factory=list)
 
     @property
@@ -73,7 +74,8 @@ class Walk:
         self.cursor = self.ranges[self.scene][0]
 
     def exhausted(self) -> None:
-        """Go on with the next scene, or from the start of what is used."""
+        """Go on with the next scene, or from the start of what is used; a loop, whether the segment ended just there or not."""
+        self.loops[-1] += 1
         if self.mode == "scenepack":
             self.next_scene()
         else:
@@ -100,6 +102,7 @@ class Walk:
         places = lambda s: float(np.floor(s * 1000.0 + 0.5) / 1000.0)
         a, b = (s1, s0) if reverse else (s0, s1)
         self.rows.append((len(self.rows), t0, t1, places(a), places(b), curve, reverse, self.wrapped, self.scene))
+        self.loops.append(0)
         self.wrapped = False
 
     def segment(self, t0: float, t1: float, on_beat: bool, on_strong: bool) -> None:
@@ -124,8 +127,8 @@ class Walk:
             self.wrapped = True
 
 
-def segments(beats: list[float], downbeats: list[float], target: float, video: float, fps: int, style: str, mode: str = "no_change", scenes: list[float] | None = None, rhythm: str = "mid") -> list[tuple]:
-    """idx, t0, t1, s0, s1, curve, reverse, wraps, scene of each segment; source times on the compacted source."""
+def walked(beats: list[float], downbeats: list[float], target: float, video: float, fps: int, style: str, mode: str = "no_change", scenes: list[float] | None = None, rhythm: str = "mid") -> Walk:
+    """The walk of a plan to its end."""
     if not (1 <= fps <= 120 and 0 < video < float("inf") and 0 < target <= 86400):
         raise ValueError("a plan needs 1 to 120 frames a second, a source, and at most a day of output")
     parts = source_intervals(mode, video, target, scenes)
@@ -136,19 +139,28 @@ def segments(beats: list[float], downbeats: list[float], target: float, video: f
     b, d = np.array(beats, dtype=float), np.array(downbeats, dtype=float)
     for t0, t1 in zip(bounds, bounds[1:], strict=False):
         walk.segment(t0, t1, touches(b, t0, t1), touches(d, t0, t1))
-    return walk.rows
+    return walk
+
+
+def segments(*args, **options) -> list[tuple]:
+    """idx, t0, t1, s0, s1, curve, reverse, wraps, scene of each segment; source times on the compacted source. Arguments are those of walked."""
+    return walked(*args, **options).rows
 
 
 def plan(plans: DataFrame) -> DataFrame:
-    """plans: plan_id, style, fps, target, video, mode, rhythm, beats, downbeats and scenes (arrays, may be null). A row per segment."""
+    """plans: plan_id, style, fps, target, video, mode, rhythm, beats, downbeats and scenes (arrays, may be null). A row per segment.
+
+    loops: how often the source was used up with this segment; the first has those before any, so a plan's are their sum.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("plan_id", pa.int64()), ("idx", pa.int64()), ("t0", pa.float64()), ("t1", pa.float64()), ("s0", pa.float64()), ("s1", pa.float64()), ("curve", pa.string()), ("reverse", pa.bool_()), ("wraps", pa.bool_()), ("scene", pa.int32())])
+        schema = pa.schema([("plan_id", pa.int64()), ("idx", pa.int64()), ("t0", pa.float64()), ("t1", pa.float64()), ("s0", pa.float64()), ("s1", pa.float64()), ("curve", pa.string()), ("reverse", pa.bool_()), ("wraps", pa.bool_()), ("scene", pa.int32()), ("loops", pa.int64())])
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                rows = segments(r["beats"] or [], r["downbeats"] or [], r["target"], r["video"], r["fps"], r["style"], r["mode"], r["scenes"], r["rhythm"])
-                out += [(r["plan_id"], *row) for row in rows]
+                walk = walked(r["beats"] or [], r["downbeats"] or [], r["target"], r["video"], r["fps"], r["style"], r["mode"], r["scenes"], r["rhythm"])
+                loops = [walk.loops[0] + walk.loops[1], *walk.loops[2:]]
+                out += [(r["plan_id"], *row, n) for row, n in zip(walk.rows, loops, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return plans.select("plan_id", "style", "fps", "target", "video", "mode", "rhythm", "beats", "downbeats", "scenes").mapInArrow(run, SEGMENTS)

@@ -28,7 +28,7 @@ def with_events(docs: DataFrame, **events: DataFrame) -> DataFrame:
 def assemble(plans: DataFrame, segments: DataFrame) -> DataFrame:
     """plan_id and doc, the JSON of each plan with its segments in order. plans: plan_id, style, fps, target, video."""
     fields = F.struct("idx", F.struct("t0", "t1", "s0", "s1", "curve", "reverse").alias("s"))
-    own = segments.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["s"]).alias("segments"), F.count(F.when(F.col("wraps"), 1)).alias("loops"))
+    own = segments.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["s"]).alias("segments"), F.sum("loops").alias("loops"))
     met = plans.join(own, "plan_id")
     doc = F.struct(F.lit(2).alias("schema_version"), "plan_id", "style", "fps", F.col("target").alias("target_duration"), F.col("video").alias("video_duration"), "loops", "segments")
     return met.select("plan_id", F.to_json(doc).alias("doc"))

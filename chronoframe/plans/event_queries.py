@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import curves as cv
 from chronoframe.functions.numbers import HASH_FIRST, HASH_SECOND, HASH_START, let, position_hash, to_places, unsigned_mod
 from chronoframe.operators import events as ev
-from chronoframe.operators import folds
+from chronoframe.operators import facts, folds
 from chronoframe.plans import presets
 from chronoframe.plans.registry import query
 from chronoframe.plans.signal_queries import greedy
@@ -96,9 +96,8 @@ def effect_lottery(spark, sf_dir):
 CASE WHEN idx % 2 = 0 THEN 'snap' ELSE 'saddle' END AS curve FROM l8""")
 def zoom_chain_flags(spark, sf_dir):
     rows = ev.lottery(lines(spark, sf_dir).select("oid", "idx"), F.lit("HARD"))
-    even = F.col("idx") % 2 == 0
     flagged = ev.chained(rows.withColumnRenamed("chain", "chain_next"), ["oid"], "idx", "chain_next")
-    return flagged.select("oid", "idx", "chain_next", "from_prev", F.when(even, 1.0).otherwise(1.15).alias("scale_start"), F.when(even, 1.15).otherwise(1.0).alias("scale_end"), F.when(even, "snap").otherwise("saddle").alias("curve"))
+    return facts.by_turns(flagged, "idx", 1.0, 1.15).select("oid", "idx", "chain_next", "from_prev", "scale_start", "scale_end", "curve")
 
 
 def curve_sql(name: str, x: str) -> str:
@@ -137,11 +136,11 @@ def remap_curves(spark, sf_dir):
     return g.select("oid", "idx", out6(value).alias("value"), out6(slope).alias("slope"), blur.alias("blur"))
 
 
-@query(f"""WITH RECURSIVE {LINES_SQL}, {_GRID}, g AS (SELECT oid, idx, curve, x, coalesce(strength, 0.0{D}) AS strength FROM grid WHERE idx < 2),
+@query(f"""WITH RECURSIVE {LINES_SQL}, {_GRID}, g AS (SELECT oid, idx, curve, x, coalesce(strength, 0.0{D}) AS strength FROM grid),
 s AS (SELECT *, 0 AS n, 0.0{D} AS lo, 1.0{D} AS hi FROM g UNION ALL SELECT oid, idx, curve, x, strength, n + 1, CASE WHEN {_blend("(lo + hi) / 2")} < x THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_blend("(lo + hi) / 2")} < x THEN hi ELSE (lo + hi) / 2 END FROM s WHERE n < 40)
 SELECT oid, idx, {r6("(lo + hi) / 2")} AS phase FROM s WHERE n = 40""")
 def inverse_curve(spark, sf_dir):
-    g = _grid(spark, sf_dir).where("idx < 2")
+    g = _grid(spark, sf_dir)
     return g.select("oid", "idx", out6(cv.inverse_curve(F.col("curve"), F.col("x"), F.coalesce("strength", F.lit(0.0)))).alias("phase"))
 
 
@@ -154,7 +153,7 @@ _BOUNCE = [(f"{x}{D}", f"({y}{D})") for x, y in cv.BOUNCE]
 _RAMP = f"(2.0{D} / 16.0{D})"
 
 
-@query(f"""WITH {LINES_SQL}, e AS (SELECT oid, idx, t1 - t0 AS d, (t1 - t0) * CAST(part % 21 AS DOUBLE) / 20.0{D} AS t, price / 10000.0{D} AS a0, 5.0{D} + tax * 100.0{D} AS om, 2.0{D} + discount AS k, CAST(supp AS BIGINT) AS seed, part, supp FROM lines WHERE idx < 3),
+@query(f"""WITH {LINES_SQL}, e AS (SELECT oid, idx, t1 - t0 AS d, (t1 - t0) * CAST(part % 21 AS DOUBLE) / 20.0{D} AS t, price / 10000.0{D} AS a0, 5.0{D} + tax * 100.0{D} AS om, 2.0{D} + discount AS k, CAST(supp AS BIGINT) AS seed, part, supp FROM lines),
 f AS (SELECT *, least(greatest((CASE WHEN t <= {_RAMP} THEN least(greatest(t / {_RAMP}, 0), 1) ELSE 1 END) * (CASE WHEN t >= d - {_RAMP} THEN least(greatest((d - t) / {_RAMP}, 0), 1) ELSE 1 END), 0), 1) AS env, t * 16.0{D} AS fr, a0 * exp(-k * t) AS sw FROM e),
 g AS (SELECT *, (sin(om * t + CAST(seed % 360 AS DOUBLE) * {PI} / 180.0{D}) * env) AS w1, (sin(om * t + CAST((seed * 17) % 4294967296 % 360 AS DOUBLE) * {PI} / 180.0{D}) * env) AS w17, (sin(om * t + CAST((seed * 31) % 4294967296 % 360 AS DOUBLE) * {PI} / 180.0{D}) * env) AS w31, (sin(om * t + CAST((seed * 47) % 4294967296 % 360 AS DOUBLE) * {PI} / 180.0{D}) * env) AS w47,
   CASE WHEN fr >= 0 AND fr <= 10 THEN {_through_sql("fr", _BOUNCE)} ELSE 0 END * 40.0{D} AS bn, least(greatest((greatest(t - CAST(part % 3 AS DOUBLE) / 16.0{D}, 0)) / greatest(d, 1e-6), 0), 1) AS zx, least(greatest(t / d, 0), 1) AS u FROM f)
@@ -164,7 +163,7 @@ SELECT oid, idx, {r6("CASE WHEN part % 4 = 0 THEN bn ELSE sw * w1 END")} AS dx,
 {r6(f"CASE WHEN part % 2 = 0 AND fr > 0 AND fr < 5 THEN {_through_sql('fr', [(f'0.0{D}', f'1.0{D}'), (f'1.0{D}', f'0.88{D}'), (f'3.0{D}', f'(1.0{D} + (1.0{D} - 0.88{D}) / 2.0{D})'), (f'5.0{D}', f'1.0{D}')])} ELSE 1 END")} AS scale_y,
 {r6(f"CASE WHEN supp % 2 = 0 THEN 0.08{D} * (1.0{D} - u) * (1.0{D} - u) ELSE 0 END")} AS barrel FROM g""")
 def shake_params(spark, sf_dir):
-    g = _grid(spark, sf_dir).where("idx < 3")
+    g = _grid(spark, sf_dir)
     part, supp, none = F.col("part"), F.col("supp"), F.lit(None).cast("double")
     e = {
         "shake_a0": F.col("price") / 10000.0, "shake_omega": 5.0 + F.col("tax") * 100.0, "shake_k": 2.0 + F.col("discount"), "shake_seed": supp, "zoom_start": F.lit(1.0), "zoom_end": F.lit(1.15), "zoom_offset": part % 3,
@@ -273,6 +272,19 @@ def creative_active(spark, sf_dir):
 _CREATIVE_ONE = """{kind} AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY tid) AS n FROM anchors)"""
 
 
+_PICTURES = f"""pic0 AS (SELECT tid, idx, t0, lead(t0, 1, target) OVER (PARTITION BY tid ORDER BY idx) AS t1 FROM seg), pic AS (SELECT *, CAST(idx % 7 AS DOUBLE) * 10 AS s0, CAST(idx % 7 AS DOUBLE) * 10 + (t1 - t0) * 0.75{D} AS s1, CASE idx % 3 WHEN 0 THEN 'snap' WHEN 1 THEN 'saddle' ELSE 'linear' END AS curve FROM pic0 WHERE t1 > t0)"""
+
+
+def _pictures(seg):
+    """The cuts of a timeline as segments that follow each other, each from a place of its own in a source of 720 s."""
+    w = Window.partitionBy("tid").orderBy("idx")
+    i = F.col("idx")
+    curve = F.when(i % 3 == 0, "snap").when(i % 3 == 1, "saddle").otherwise("linear")
+    rows = seg.select("tid", "idx", "t0", F.coalesce(F.lead("t0").over(w), F.col("target")).alias("t1")).where("t1 > t0")
+    s0 = (i % 7).cast("double") * 10
+    return rows.select("tid", "idx", "t0", "t1", s0.alias("s0"), (s0 + (F.col("t1") - F.col("t0")) * 0.75).alias("s1"), curve.alias("curve"))
+
+
 def _creative_sql() -> str:
     test = {"time_slice": "i % 2 = 0", "ink_pulse": "i % 2 = 1 OR n = 1", "prism_drift": "i % 3 = 1 OR n = 1", "focus_pull": "i % 3 = 0", "relief_light": "i % 3 = 1 OR n = 1", "paper_gate": "i % 3 = 2 OR (n < 3 AND i = n - 1)"}
     f = f"(1.0{D} / 16)"
@@ -284,18 +296,20 @@ def _creative_sql() -> str:
     return f"""WITH RECURSIVE {_SEG}, v AS (SELECT tid, 0 AS eid, t FROM db), {greedy("v", f"0.02{D}", None)}, anchors AS (SELECT k.tid, k.t, target FROM k JOIN (SELECT DISTINCT tid, target FROM db) g ON k.tid = g.tid WHERE kept),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY tid) AS n FROM anchors), cand AS ({union}), ok AS (SELECT *, row_number() OVER (PARTITION BY tid, kind ORDER BY t0, anchor) AS r FROM cand WHERE t1 - t0 > {f}),
 acc AS (SELECT tid, kind, anchor, salt, t0, t1, gap, r, true AS kept2, t1 AS last_end FROM ok WHERE r = 1 UNION ALL SELECT o.tid, o.kind, o.anchor, o.salt, o.t0, o.t1, o.gap, o.r, o.t0 >= a.last_end + o.gap, CASE WHEN o.t0 >= a.last_end + o.gap THEN o.t1 ELSE a.last_end END FROM acc a JOIN ok o ON o.tid = a.tid AND o.kind = a.kind AND o.r = a.r + 1),
-fin AS (SELECT * FROM acc WHERE kept2), {hash_sql("fin", "fh", "anchor", "salt")}
+fin AS (SELECT * FROM acc WHERE kept2), {_PICTURES}, pr AS (SELECT tid, arg_min(idx, idx) AS idx0 FROM pic GROUP BY tid),
+src AS (SELECT f.*, coalesce(p.t0, z.t0) AS g0, coalesce(p.t1, z.t1) AS g1, coalesce(p.s0, z.s0) AS s0, coalesce(p.s1, z.s1) AS s1, coalesce(p.curve, z.curve) AS curve FROM fin f JOIN pr ON pr.tid = f.tid JOIN pic z ON z.tid = f.tid AND z.idx = pr.idx0 LEFT JOIN pic p ON p.tid = f.tid AND f.t0 >= p.t0 AND f.t0 < p.t1),
+pl AS (SELECT *, anchor + (s0 + (s1 - s0) * {curve_sql("curve", "(t0 - g0) / (g1 - g0)")}) + 720.0{D} * 0.17{D} AS place FROM src), {hash_sql("pl", "fh", "place", "salt")}
 SELECT tid, kind, t0, t1, CAST(h % 4294967296 AS BIGINT) AS seed, {r6(f"0.9{D} * (0.9{D} + CAST(h % 4294967296 % 11 AS DOUBLE) * 0.01{D})")} AS strength FROM fh"""
 
 
 @query(_creative_sql())
 def creative_schedule(spark, sf_dir):
     """All six kinds over the downbeats of each timeline, each with its own clean gaps."""
-    _, beats = _segments(spark, sf_dir)
+    seg, beats = _segments(spark, sf_dir)
     anchors = folds.min_gap(beats.select("tid", "t", "target"), ["tid"], "t", 0.02)
     parts = [ev.creative_times(anchors, ["tid"], kind, F.lit(0.75), FPS, "target") for kind, *_ in ev.CREATIVE]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    kept = ev.with_clean_gaps(rows, ["tid"])
-    return kept.select("tid", "kind", "t0", "t1", "seed", out6(0.9 * (0.9 + (F.col("seed") % 11).cast("double") * 0.01)).alias("strength"))
+    kept = ev.seeded(ev.with_clean_gaps(rows, ["tid"]), _pictures(seg), ["tid"], 720.0, "HARD")
+    return kept.select("tid", "kind", "t0", "t1", "seed", out6(F.col("strength")).alias("strength"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions import curves as cv
 from chronoframe.functions.numbers import half_up, to_places
-from chronoframe.operators import intervals as iv
-from chronoframe.operators import planning, render, schedule, signal
+from chronoframe.operators import facts, planning, render, schedule, signal
 from chronoframe.plans import document, validation
 from chronoframe.plans.event_queries import D, half_up_sql, out6, r6
 from chronoframe.plans.registry import query
@@ -115,11 +114,7 @@ def effects_count(spark, sf_dir):
 SELECT oid, CAST(shot AS BIGINT) AS shot, min(t0) AS t0, max(t1) AS t1, count(*) AS segments FROM y GROUP BY oid, shot""")
 def legacy_shots(spark, sf_dir):
     """Segments of one scene that follow each other without a gap are one shot."""
-    w = Window.partitionBy("oid").orderBy("idx")
-    rows = lines(spark, sf_dir).select("oid", "idx", "t0", "t1", (F.col("supp") % 2).alias("scene"))
-    fresh = F.coalesce(((F.col("scene") != F.lag("scene").over(w)) | (F.abs(F.col("t0") - F.lag("t1").over(w)) >= 0.003)).cast("int"), F.lit(1))
-    marked = rows.withColumn("fresh", fresh).withColumn("shot", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return marked.groupBy("oid", "shot").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count("*").alias("segments"))
+    return facts.shots_of(lines(spark, sf_dir).select("oid", "idx", "t0", "t1", (F.col("supp") % 2).alias("scene")), ["oid"], "idx", "scene")
 
 
 @query(f"""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) / 30.0{D} AS beat, CASE p_partkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'mid' ELSE 'slow' END AS rhythm, 1 + p_partkey % 12 AS scenes, p_retailprice / 100.0{D} AS target, p_partkey % 2 = 0 AS smart, p_partkey % 5 = 0 AS smooth FROM part),
@@ -136,10 +131,8 @@ def preferred_cadence(spark, sf_dir):
 SELECT cid, clip, oid, total - (a1 - a0) AS clip_start, total AS clip_end, floor((a0 + (a1 - a0) * 0.35{D}) * 1000.0{D} + 0.5{D}) / 1000.0{D} AS thumb_t FROM s""")
 def scene_clips(spark, sf_dir):
     """Gallery rows: each source's clip with its place on the timeline of all, and the time of its picture."""
-    w = Window.partitionBy("cid").orderBy("a0", "oid")
-    own = scenes(spark, sf_dir).withColumn("len", F.col("a1") - F.col("a0"))
-    placed = iv.offsets(own, ["cid"], ["a0", "oid"], "len", "clip_start")
-    return placed.select("cid", (F.row_number().over(w) - 1).cast("long").alias("clip"), "oid", "clip_start", (F.col("clip_start") + F.col("len")).alias("clip_end"), to_places(F.col("a0") + F.col("len") * 0.35, 3).alias("thumb_t"))
+    made = facts.gallery(scenes(spark, sf_dir), ["cid"], ["a0", "oid"], "a0", "a1")
+    return made.select("cid", "clip", "oid", "clip_start", "clip_end", "thumb_t")
 
 
 @query(f"""WITH e AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, value FROM events), c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN k * 4.0{D} END AS header, CASE WHEN event_id % 3 <> 2 THEN value END AS probe, value / 7.0{D} AS packets, 23.9{D} + CAST(event_id % 20 AS DOUBLE) * 0.01{D} AS fps FROM e)
@@ -149,13 +142,11 @@ def probe_chain(spark, sf_dir):
     k = F.get_json_object("props", "$.k").try_cast("double")
     i = F.col("event_id")
     e = read(spark, sf_dir, "events").select("event_id", F.when(i % 3 == 0, k * 4.0).alias("header"), F.when(i % 3 != 2, F.col("value")).alias("probe"), (F.col("value") / 7.0).alias("packets"), (23.9 + (i % 20).cast("double") * 0.01).alias("fps"))
-    whole = half_up(F.col("fps"))
-    fps = F.when(F.abs(F.col("fps") - whole) < 0.05, whole).otherwise(F.col("fps"))
-    named = F.when(F.col("header").isNotNull(), "header").when(F.col("probe").isNotNull(), "probe").otherwise("packets")
-    return e.select("event_id", out6(F.coalesce("header", "probe", "packets")).alias("duration"), out6(fps).alias("fps"), named.alias("prober"))
+    made = facts.probed(e, ["header", "probe", "packets"], "fps")
+    return made.select("event_id", out6(F.col("duration")).alias("duration"), out6(F.col("fps")).alias("fps"), "prober")
 
 
-@query(f"""WITH {LINES_SQL}, s AS (SELECT oid, idx, t0, t1, price / 100.0{D} AS s0, price / 100.0{D} + (t1 - t0) * (0.5{D} + tax * 20.0{D}) AS s1, max(idx) OVER (PARTITION BY oid) = idx AS lst FROM lines WHERE idx < 3),
+@query(f"""WITH {LINES_SQL}, s AS (SELECT oid, idx, t0, t1, price / 100.0{D} AS s0, price / 100.0{D} + (t1 - t0) * (0.5{D} + tax * 20.0{D}) AS s1, max(idx) OVER (PARTITION BY oid) = idx AS lst FROM lines),
 f AS (SELECT oid, idx, t0, t1, s0, s1, unnest(range(CAST(ceil(t0 / 2.0{D} - 1e-9) AS BIGINT), CAST(CASE WHEN lst THEN ceil(t1 / 2.0{D} - 0.5{D}) ELSE ceil(t1 / 2.0{D} - 1e-9) END AS BIGINT))) AS frame FROM s),
 x AS (SELECT *, least(greatest(greatest(frame * 2.0{D} - t0, 0.0{D}) / greatest(t1 - t0, 1e-6), 0.0{D}), 1.0{D}) AS x FROM f), y AS (SELECT *, x * x * (3.0{D} - 2.0{D} * x) AS u, 6.0{D} * x * (1.0{D} - x) AS sl FROM x), z AS (SELECT *, abs(s1 - s0) / greatest(t1 - t0, 1e-6) * sl AS v FROM y)
 SELECT oid, frame, idx, {r6("s0 + (s1 - s0) * u")} AS source_t, {r6("v")} AS speed, CASE WHEN v <= 1.0{D} THEN 1 ELSE CAST(least(1 + floor(v), 4) AS INTEGER) END AS blend FROM z""")
@@ -163,7 +154,7 @@ def frame_table(spark, sf_dir):
     """Output frames of segments that ease in and out, one every two units of time."""
     s0 = F.col("price") / 100.0
     none = F.lit(None).cast("double")
-    seg = lines(spark, sf_dir).where("idx < 3").select(
+    seg = lines(spark, sf_dir).select(
         "oid", "idx", (F.col("t0") / 2.0).alias("t0"), (F.col("t1") / 2.0).alias("t1"), s0.alias("s0"), (s0 + (F.col("t1") - F.col("t0")) * (0.5 + F.col("tax") * 20.0)).alias("s1"), F.lit("saddle").alias("curve"), none.alias("strength"), none.alias("phase_start"), none.alias("phase_end")
     )
     made = render.frame_table(seg, ["oid"], 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.numbers import to_places
-from chronoframe.operators import folds, signal
+from chronoframe.operators import facts, folds, signal
 from chronoframe.operators import intervals as iv
 from chronoframe.plans.registry import query
 from chronoframe.sources.tables import MOTION_SQL, TIMELINE_SQL, motion, timeline
@@ -108,8 +108,7 @@ SELECT e.tid, coalesce(peak, 0.0::DOUBLE) AS thumb_t, coalesce(v, 0.0::DOUBLE) A
 def thumbnail_peak(spark, sf_dir):
     """The time of the strongest action of each source, its start where it has none."""
     m = motion(spark, sf_dir).withColumn("v", F.when(F.col("type").isin("click", "purchase"), F.col("activity") * F.col("confidence")))
-    best = m.groupBy("tid").agg(F.min_by("t", F.when(F.col("v").isNotNull(), F.struct(-F.col("v"), F.col("t")))).alias("peak"), F.max("v").alias("v"))
-    return best.select("tid", F.when(F.col("v").isNotNull(), F.col("peak")).otherwise(0.0).alias("thumb_t"), F.coalesce("v", F.lit(0.0)).alias("activity"))
+    return facts.strongest(m, ["tid"], "t", "v")
 
 
 @query(f"""WITH {TIMELINE_SQL}, {MOTION_SQL}, v AS (SELECT tid, eid, t, activity * confidence AS value FROM motion)
@@ -157,17 +156,12 @@ def on_beat_flags(spark, sf_dir):
 SELECT tid, min(t) AS "start", max(t) AS "end", count(*) AS events FROM y GROUP BY tid, s""")
 def sessions(spark, sf_dir):
     """Rows of a timeline with gaps of half an hour at most."""
-    w = Window.partitionBy("tid").orderBy("t")
-    tl = timeline(spark, sf_dir).withColumn("fresh", F.coalesce((F.col("t") > F.lag("t").over(w) + 1800).cast("int"), F.lit(1)))
-    numbered = tl.withColumn("s", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("tid", "s").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("events")).drop("s")
+    return facts.sessions(timeline(spark, sf_dir), ["tid"], "t", 1800.0)
 
 
 @query(f"""WITH {TIMELINE_SQL}, h AS (SELECT tid, eid, t, type, row_number() OVER (PARTITION BY tid ORDER BY t, eid) - row_number() OVER (PARTITION BY tid, type ORDER BY t, eid) AS g, value FROM tl)
 SELECT tid, eid, {r6("sum(value) OVER (PARTITION BY tid, type, g ORDER BY t, eid ROWS UNBOUNDED PRECEDING)")} AS held FROM h""")
 def consecutive_hold(spark, sf_dir):
     """How much of the same kind has come in a row, up to each row."""
-    w = Window.partitionBy("tid").orderBy("t", "eid")
-    rows = timeline(spark, sf_dir).withColumn("g", F.row_number().over(w) - F.row_number().over(Window.partitionBy("tid", "type").orderBy("t", "eid")))
-    held = F.sum("value").over(Window.partitionBy("tid", "type", "g").orderBy("t", "eid").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("tid", "eid", to_places(held, 6).alias("held"))
+    made = facts.held(timeline(spark, sf_dir), ["tid"], ["t", "eid"], "type", "value")
+    return made.select("tid", "eid", to_places(F.col("held"), 6).alias("held"))

@@ -17,13 +17,17 @@ def _stream(spark, sf_dir, table):
 
 
 @query("""WITH f AS (SELECT user_id AS tid, event_id AS eid, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS t, event_type = 'error' AS blank FROM events),
-r AS (SELECT *, coalesce(sum(CAST(blank AS INT)) OVER (PARTITION BY tid ORDER BY t, eid ROWS UNBOUNDED PRECEDING), 0) AS run, min(CASE WHEN blank THEN t END) OVER (PARTITION BY tid ORDER BY t, eid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM f)
-SELECT tid, min(t) AS "start", min(nxt) AS "end", count(*) AS frames FROM r WHERE NOT blank GROUP BY tid, run HAVING min(nxt) IS NOT NULL""")
+r AS (SELECT *, coalesce(sum(CAST(blank AS INT)) OVER (PARTITION BY tid ORDER BY t, eid ROWS UNBOUNDED PRECEDING), 0) AS run, min(CASE WHEN blank THEN t END) OVER (PARTITION BY tid ORDER BY t, eid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt, max(t) OVER (PARTITION BY tid) + 1 AS duration FROM f)
+SELECT tid, min(t) AS "start", coalesce(min(nxt), max(duration)) AS "end", count(*) AS frames FROM r WHERE NOT blank GROUP BY tid, run HAVING coalesce(min(nxt), max(duration)) > min(t)""")
 def stream_valid_runs(spark, sf_dir):
-    e = _stream(spark, sf_dir, "events")
+    """Runs of frames that are not blank, the last one closed by the marker that its source ends with."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     t = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
     frames = e.select(F.col("user_id").alias("tid"), F.col("event_id").alias("eid"), t.alias("t"), (F.col("event_type") == "error").alias("blank"))
-    return runs.drain(runs.valid_runs(frames), runs.RUNS).where("error is null").drop("error")
+    marked = runs.with_ends(frames, frames.groupBy("tid").agg((F.max("t") + 1).alias("t")))
+    place = f"{runs.folder(spark)}/frames"
+    marked.write.parquet(place)
+    return runs.drain(runs.valid_runs(spark.readStream.schema(marked.schema).parquet(place)), runs.RUNS).where("error is null").drop("error")
 
 
 @query("""WITH x AS (SELECT user_id, epoch_us(ts) AS u, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

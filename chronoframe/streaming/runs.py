@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ def folder(spark: SparkSession) -> str:
     """A folder of its own in the shared one that the cluster names, or in a temporary one where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="chronoframe-stream-")
@@ -47,8 +50,14 @@ def _runs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame(out, columns=["tid", "start", "end", "frames", "error"]).astype({"tid": "int64", "start": "float64", "end": "float64", "frames": "int64"})
 
 
+def with_ends(frames: DataFrame, ends: DataFrame) -> DataFrame:
+    """frames with the marker that a source ends with: a blank frame at its duration (tid, t), which closes its last run."""
+    last = F.lit((1 << 63) - 1).cast("long")
+    return frames.unionByName(ends.select("tid", last.alias("eid"), "t", F.lit(True).alias("blank")))
+
+
 def valid_runs(frames: DataFrame) -> DataFrame:
-    """frames (a stream): tid, eid, t, blank. Each run of frames that are not blank, once the blank frame that ends it has come."""
+    """frames (a stream): tid, eid, t, blank. Each run of frames that are not blank, once the blank frame that ends it has come. A source's last run needs the marker of with_ends."""
     return frames.groupBy("tid").applyInPandasWithState(_runs, RUNS, "start double, count long, seen double", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -68,17 +77,14 @@ def joined_frames(pixels: DataFrame, marks: DataFrame, late: str = "10 seconds")
 
 def _echo(depth: int, alpha: int) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = [list(x) for x in state.get[0]] if state.exists else [[128]] * depth
-        out = []
         rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
-        for frame, px in zip(rows["frame"].tolist(), rows["px"].tolist(), strict=True):
-            own = [int(v) for v in px]
-            past = [r * len(own) if len(r) == 1 else r for r in ring]
-            mixed = [((256 - alpha) * v + alpha * (sum(p[i] for p in past) // depth)) >> 8 for i, v in enumerate(own)]
-            out.append((key[0], frame, ",".join(map(str, mixed))))
-            ring = [own, *ring[:-1]]
-        state.update((ring,))
-        yield pd.DataFrame(out, columns=["source", "frame", "px"])
+        own = np.stack([np.asarray(x, dtype=np.int64) for x in rows["px"]])
+        past = np.array([list(x) for x in state.get[0]], dtype=np.int64) if state.exists else np.full((depth, own.shape[1]), 128)
+        line = np.concatenate([past[::-1], own])  # the latest frame of the state stands just before the first of these
+        before = sum(line[depth - k : depth - k + len(own)] for k in range(1, depth + 1)) // depth
+        mixed = ((256 - alpha) * own + alpha * before) >> 8
+        state.update((line[-depth:][::-1].tolist(),))
+        yield pd.DataFrame({"source": key[0], "frame": rows["frame"].to_numpy(), "px": [",".join(map(str, x)) for x in mixed.tolist()]})
 
     return step
 
