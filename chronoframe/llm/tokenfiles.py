@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import simple8b
-from chronoframe.llm.common import Workspace, column, delete, free_shuffles, picked, sliced, texts
+from chronoframe.llm.common import Workspace, column, free_shuffles, picked, sliced, texts
 from chronoframe.llm.tokens import coder, encoded
 
 #: Characters of a text by which rows that repeat an id are ordered.
@@ -34,36 +34,34 @@ def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append end_id, write the files under path and return them as read back.
 
-    Texts are encoded where they lie and written once as coded rows; only these are sorted into files, by id, then the
-    text's first HEAD characters, then its XXH64. A null id comes first, a null text is empty (end_id alone). Rows that repeat an id are documents of their
-    own, and can lie in several files. Empty table: files without rows. There are as many files as shuffle partitions.
+    Rows are sorted into files by id, then the text's first HEAD characters, then its XXH64. A null id comes first, a null text
+    is empty (end_id alone). Rows that repeat an id are documents of their own, and can lie in several files. Empty table:
+    files without rows. There are as many files as shuffle partitions. Texts are sorted and not their words: these are no
+    smaller, and as the sort samples what it sorts, they would have to be written once more before it.
     """
     spark = docs.sparkSession
-    plain = picked(docs, id_col, text_col).select("_id", F.substring("_text", 1, HEAD).alias("_head"), F.xxhash64("_text").alias("_key"), "_text")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    plain = picked(docs, id_col, text_col)
+    plain = plain.select("_id", F.substring("_text", 1, HEAD).alias("_head"), F.xxhash64("_text").alias("_key"), F.monotonically_increasing_id().alias("_row"), "_text")
+    parts, keys = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), ["_id", "_head", "_key", "_row"]
+    ordered = plain.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ordered = ordered.select(F.spark_partition_id().alias("file"), "_id", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = 0
         own = coder(vocabulary)
         end = np.array([end_id], dtype=own.dtype).tobytes()
         for batch in sliced(batches):
             coded = encoded(vocabulary, texts(batch))
+            n = len(coded)
             counts = np.array([len(raw) // own.width + 1 for raw in coded], dtype=np.int64)
             words, sizes, offsets, blocks = simple8b.encode_streams(own.ids(end.join([*coded, b""])), counts)
             yield pa.RecordBatch.from_arrays(
-                [*(column(batch, c) for c in ("_id", "_head", "_key")), pa.array(counts), binaries(words, sizes), binaries(offsets, blocks)],
-                names=["doc_id", "head", "text_key", "n_tokens", "words", "offsets"],
+                [column(batch, "file"), pa.array(np.arange(place, place + n)), column(batch, "_id"), pa.array(counts), binaries(words, sizes), binaries(offsets, blocks)],
+                names=["file", "place", "doc_id", "n_tokens", "words", "offsets"],
             )
+            place += n
 
-    staged = f"{path}-coded"
-    schema = "doc_id long, head string, text_key long, n_tokens long, words binary, offsets binary"
-    plain.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(staged)
-    ordered = spark.read.schema(schema).parquet(staged).withColumn("row", F.monotonically_increasing_id())
-    keys = ["doc_id", "head", "text_key", "row"]
-    ordered = ordered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
-    filed = ordered.select(F.spark_partition_id().alias("file"), place.alias("place"), "doc_id", "n_tokens", "words", "offsets")
-    filed.write.option("compression", "uncompressed").parquet(path)
-    delete(spark, staged)
+    ordered.mapInArrow(run, FILE).write.option("compression", "uncompressed").parquet(path)
     free_shuffles(spark)
     return spark.read.schema(FILE).parquet(path)
 
