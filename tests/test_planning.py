@@ -1,58 +1,84 @@
+import numpy as np
 import pytest
 
 from chronoframe.operators import planning
 
-#: A beat grid of 14.3 s with its downbeats.
-BEATS = [0.42, 1.14, 1.88, 2.60, 3.32, 4.04, 4.76, 5.50, 6.20, 6.94, 7.64, 8.38, 9.10, 9.82, 10.54, 11.26, 11.98, 12.70, 13.42, 14.14]
-STRONG = [2.60, 5.50, 8.38, 11.26, 14.14]
-HALF = [0.5 * i for i in range(1, 15)]
+
+def grid(seed, seconds=None):
+    """Beats of a made-up song: a tempo by the seed, each beat off by a little; every third one is strong."""
+    rng = np.random.default_rng(seed)
+    step = rng.uniform(0.25, 1.1)
+    target = seconds or float(rng.uniform(6, 40))
+    beats = (np.arange(1, int(target / step) + 1) * step + rng.normal(0, 0.01, int(target / step))).round(3)
+    beats = sorted(b for b in beats.tolist() if 0 < b < target)
+    return beats, beats[2::3], target
+
+
+def slow_loops(rows, rate, total):
+    """How often the source is used up, by the time that segments take of it."""
+    return int((sum(rate * (r[2] - r[1]) for r in rows) + 1e-6) // total)
 
 
 @pytest.mark.parametrize("style", ["HARD", "SMOOTH", "HYBRID"])
-def test_plans_are_whole(style):
-    rows = planning.segments(BEATS, STRONG, 14.315, 10.773, 16, style)
-    assert rows[0][1] == 0.0 and rows[-1][2] == pytest.approx(14.315, abs=0.01)
-    assert all(a[2] == pytest.approx(b[1], abs=1e-4) for a, b in zip(rows, rows[1:], strict=False))
-    assert all(0 <= min(r[3], r[4]) and max(r[3], r[4]) <= 10.773 + 0.051 for r in rows)
-    bounds = planning.merged_bounds(BEATS, 14.315, 16, style)
-    assert all(b - a >= 3 / 16 - 1e-4 for a, b in zip(bounds, bounds[1:], strict=False))
-    assert any(r[7] for r in rows) == (style != "SMOOTH")
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_follow_on_and_stay_in_their_source(style, seed):
+    beats, strong, target = grid(seed)
+    video = target * (0.2 + 0.3 * seed)
+    walk = planning.walked(beats, strong, target, video, 24, style)
+    rows, total = walk.rows, min(video, target + 2.0)
+    assert rows[0][1] == 0.0 and rows[-1][2] == pytest.approx(target, abs=1e-9)
+    assert all(a[2] == pytest.approx(b[1], abs=1e-9) for a, b in zip(rows, rows[1:], strict=False))
+    assert all(0 <= min(r[3], r[4]) and max(r[3], r[4]) <= total + 0.001 for r in rows)
+    bounds = planning.merged_bounds(beats, target, 24, style)
+    assert all(b - a >= 3 / 24 - 1e-9 for a, b in zip(bounds, bounds[1:], strict=False)) and set(bounds) <= {r[1] for r in rows} | {target}
+    if style != "HYBRID":
+        assert sum(walk.loops) == slow_loops(rows, 0.75 if style == "SMOOTH" else 1.0, total)
+    assert any(r[6] for r in rows) == (style != "SMOOTH" and len(strong) > 0) and all((r[4] < r[3]) == r[6] for r in rows if r[3] != r[4])
 
 
-def test_reverse_by_style():
-    hard = planning.segments(BEATS, STRONG, 14.315, 10.773, 16, "HARD")
-    assert any(r[6] and r[4] < r[3] for r in hard) and not any(r[6] for r in planning.segments(BEATS, STRONG, 14.315, 10.773, 16, "SMOOTH"))
+def test_loops_count_where_the_source_is_used_up_and_nothing_else():
+    assert sum(planning.walked([1.0, 2.0, 3.0], [], 8.0, 2.0, 16, "HARD").loops) == 4  # the last just at the end
+    assert sum(planning.walked([], [], 7.9, 2.0, 16, "HARD").loops) == 3
+    beats, strong, target = grid(3, 20.0)
+    scenes = [i * 100.0 for i in range(7)]
+    ample = planning.walked(beats, strong, target, 600.0, 16, "HARD", "scenepack", scenes)
+    assert any(r[7] for r in ample.rows) and sum(ample.loops) == 0  # switches are no loops
+    assert sum(planning.walked(beats, strong, target, 6.0, 16, "HARD", "scenepack", [0, 1, 2, 3, 4, 5, 6], "slow").loops) > 0
 
 
-def test_scenes_switch_on_beats():
+@pytest.mark.parametrize("seed", range(4))
+def test_scenes_switch_on_beats(seed):
+    beats, strong, target = grid(seed)
     jumps = {}
     for rhythm in ("fast", "mid", "slow"):
-        rows = planning.segments(HALF, [float(i) for i in range(1, 8)], 7.0, 60.0, 16, "HARD", "scenepack", [0, 10, 20, 30, 40, 50, 60], rhythm)
-        at = [b[1] for a, b in zip(rows, rows[1:], strict=False) if abs(min(b[3], b[4]) - max(a[3], a[4])) > 1.0]
-        assert all(min(abs(t - x) for x in HALF) <= 0.05 for t in at)
+        rows = planning.segments(beats, strong, target, 900.0, 24, "HARD", "scenepack", [i * 90.0 for i in range(11)], rhythm)
+        at = [b[1] for a, b in zip(rows, rows[1:], strict=False) if a[8] != b[8]]
+        assert all(min(abs(t - x) for x in beats) < 0.03 for t in at)
         jumps[rhythm] = len(at)
-    assert jumps["fast"] > jumps["slow"]
+    assert jumps["fast"] >= jumps["mid"] >= jumps["slow"] and jumps["fast"] > jumps["slow"]
 
 
-@pytest.mark.parametrize("duration", [0.13, 0.5, 2.0])
 @pytest.mark.parametrize("last", [False, True])
-def test_degenerate_plans(duration, last):
-    rows = planning.segments([duration - 0.01] if last else [], [], duration, 5.0, 16, "HARD")
-    assert rows[0][1] == 0.0 and rows[-1][2] == duration
+def test_plans_of_one_or_two_segments(last):
+    for duration in np.geomspace(0.07, 3.0, 5).tolist():
+        rows = planning.segments([duration * 0.99] if last else [], [], duration, 5.0, 16, "HARD")
+        assert rows[0][1] == 0.0 and rows[-1][2] == duration
 
 
 def test_sources_of_modes():
-    assert planning.source_intervals("no_change", 60.0, 7.0, None) == [(0.0, 9.0)]
-    assert planning.source_intervals("scenepack", 60.0, 7.0, [0, 10, 70, 5]) == [(0, 10), (10, 50.0)]
-    clips = planning.source_intervals("long_clip", 100.0, 13.0, None)
-    assert len(clips) == 4 and clips[-1][0] == pytest.approx(96.5) and clips[-1][1] == pytest.approx(3.5)
+    assert planning.source_intervals("no_change", 44.0, 5.5, None) == [(0.0, 7.5)]
+    assert planning.source_intervals("scenepack", 44.0, 5.5, [-3, 11, 90, 8]) == [(0, 11), (11, 33.0)]
+    for video, audio in ((90.0, 21.0), (400.0, 3.0), (31.0, 30.0)):
+        clips = planning.source_intervals("long_clip", video, audio, None)
+        assert 2 <= len(clips) <= 8 and clips[0][0] == 0 and clips[-1][0] == pytest.approx(video - 3.5) and sum(clips[-1]) == pytest.approx(video)
     with pytest.raises(ValueError):
-        planning.segments([], [], 7.0, 0.0, 16, "HARD")
+        planning.segments([], [], 4.0, 0.0, 16, "HARD")
 
 
 def test_a_row_per_plan_gives_the_same_rows_however_dealt(spark):
-    plans = spark.createDataFrame([(i, "HARD", 16, 14.315, 10.773, "no_change", "mid", BEATS, STRONG, None) for i in range(5)], "plan_id long, style string, fps int, target double, video double, mode string, rhythm string, beats array<double>, downbeats array<double>, scenes array<double>")
-    slow = planning.segments(BEATS, STRONG, 14.315, 10.773, 16, "HARD")
+    beats, strong, target = grid(1)
+    walk = planning.walked(beats, strong, target, target / 3, 16, "HARD")
+    plans = spark.createDataFrame([(i, "HARD", 16, target, target / 3, "no_change", "mid", beats, strong, None) for i in range(5)], "plan_id long, style string, fps int, target double, video double, mode string, rhythm string, beats array<double>, downbeats array<double>, scenes array<double>")
     for n in (1, 4):
         got = planning.plan(plans.repartition(n)).orderBy("plan_id", "idx").collect()
-        assert [tuple(r)[1:] for r in got] == slow * 5
+        assert [tuple(r)[1:-1] for r in got] == walk.rows * 5 and sum(r["loops"] for r in got) == 5 * sum(walk.loops)
