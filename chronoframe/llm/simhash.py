@@ -490,7 +490,7 @@ def _row_groups(rows: DataFrame, space: Workspace, width: int, similarity: float
         proved, more = _cells_of_large(spread_join(asked, large, ["coarse"], hot.join(large, "coarse", "left_semi")), texts_of, space, width, similarity)
         cells = cells.union(more)
     cells = space.save(cells.groupBy("rep").agg(F.collect_set("cell").alias("cells")), "cells")
-    sets = texts_of.join(cells, "rep").select("rep", "cells", "_text").mapInArrow(fetch, "rep long, cells array<long>, shingles binary")
+    sets = texts_of.hint("merge").join(cells, "rep").select("rep", "cells", "_text").mapInArrow(fetch, "rep long, cells array<long>, shingles binary")
     sets = sets.select("rep", "shingles", F.explode("cells").alias("cell")).repartition("cell").sortWithinPartitions("cell")
     links = sets.mapInArrow(lambda batches: _set_cells(batches, similarity), "u long, v long")
     stars = components(space.save(links if proved is None else links.union(proved), "links"), space)
@@ -522,7 +522,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     row = fresh(docs, "_row")
     numbered = space.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     plain = numbered.select(F.col(row).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    groups = _row_groups(plain, space, width, similarity)
+    steps = space.below("groups")
+    groups = _row_groups(plain, steps, width, similarity)
     first = groups.groupBy("least", F.col("id").isNull().alias("nameless")).agg(F.min(F.struct("id", "row")).alias("first"))
     kept = space.save(first.select(F.col("first.row").alias(row)), "kept")
-    return numbered.join(kept, row, "left_semi").drop(row).select(*(F.col(f"`{c}`") for c in docs.columns))
+    steps.drop_all()  # kept is all that the result needs of them
+    # kept grows with docs: the same shuffled join at every size, never a broadcast.
+    return numbered.hint("merge").join(kept, row, "left_semi").drop(row).select(*(F.col(f"`{c}`") for c in docs.columns))
