@@ -95,3 +95,13 @@ def rapid_scale(frame: Column) -> Column:
 
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
+
+
+TRANSCRIPT = "text string, language string, duration double, segments array<struct<start double, end double, text string, words array<struct<word string, start double, end double, probability double>>>>"
+
+
+def transcript(result: Column) -> Column:
+    """The transcript that a RESULT text holds, or null where it isn't JSON or lacks text, language, duration or segments."""
+    found = F.from_json(result, TRANSCRIPT)
+    whole = found["text"].isNotNull() & found["language"].isNotNull() & found["duration"].isNotNull() & found["segments"].isNotNull()
+    return F.when(whole, found)

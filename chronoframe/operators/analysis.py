@@ -122,3 +122,13 @@ def fresh_sources(sources: DataFrame, cache: DataFrame, version: int, remove_bla
     """Sources (source, fingerprint) that no cached analysis of this version and kind covers."""
     known = cache.where((F.col("version") == version) & (F.col("remove_blank") == remove_blank)).select("fingerprint").distinct()
     return sources.join(known, "fingerprint", "left_anti")
+
+
+def by_selection(prepared: DataFrame, selections: DataFrame, plan: list[str]) -> DataFrame:
+    """Adds place, by which scenes are ordered: the least position of a selection (plan, source_id, scene_id, position) of the scene.
+
+    A scene that was not selected takes its own number. Scenes of one place keep the order they came in.
+    """
+    keys = [*plan, "source_id", "scene_id"]
+    first = selections.groupBy(*keys).agg(F.min("position").alias("_first"))
+    return prepared.join(first, keys, "left").withColumn("place", F.coalesce("_first", F.col("scene_id"))).drop("_first")

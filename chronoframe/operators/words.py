@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoframe.functions import text as tx
+
 MOST, LEAST, PAUSE, TAIL, CHUNK = 7, 3, 0.35, 0.15, 5
 
 
@@ -142,3 +144,15 @@ def verse(words: Column) -> tuple[Column, Column]:
     """Two lines, split in the middle."""
     middle = F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))
     return F.array_join(F.slice(words, 1, middle), " "), F.array_join(F.slice(words, middle + 1, F.greatest(F.size(words), F.lit(1))), " ")
+
+
+def transcripts(lines: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
+    """keys, transcript and error of each process by its output lines: the last transcript it printed, else the last error.
+
+    A process with neither has null in both.
+    """
+    result = tx.progress(F.col(line))["result"]
+    read = lines.select(*keys, F.col(order).alias("_at"), tx.transcript(result).alias("_t"), F.get_json_object(result, "$.error").alias("_e"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at")))
+    made = read.groupBy(*keys).agg(last("_t").alias("transcript"), last("_e").alias("_e"))
+    return made.select(*keys, "transcript", F.when(F.col("transcript").isNull(), F.col("_e")).alias("error"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import curves as cv
 from chronoframe.functions import text as tx
 from chronoframe.functions.numbers import mix32
-from chronoframe.operators import analysis, facts, planning
+from chronoframe.operators import analysis, facts, planning, words
 from chronoframe.operators import events as ev
 from chronoframe.plans import validation
 from chronoframe.plans.event_queries import _SEG, D, FPS, _segments, half_up_sql, hash_sql, out6, r6
@@ -208,3 +208,54 @@ def fresh_sources(spark, sf_dir):
     name = lambda c: F.concat(F.lit("f"), (F.col(c) % 400).cast("string")).alias("fingerprint")
     cache = read(spark, sf_dir, "orders").where("o_orderkey % 16 = 5").select(name("o_custkey"), (F.col("o_orderkey") % 3).cast("int").alias("version"), F.lit(True).alias("remove_blank"))
     return analysis.fresh_sources(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), name("c_custkey")), cache, 1, True).select("source", "fingerprint")
+
+
+_PREPARED = f"""{LINES_SQL}, l AS (SELECT *, min(CASE WHEN oid % 11 = 0 THEN -1.0{D} ELSE 0.0{D} END) OVER (PARTITION BY oid) AS low, max(t1) OVER (PARTITION BY oid) - CASE WHEN oid % 7 = 0 THEN 1 ELSE 0 END AS high,
+t0 - CASE WHEN part % 40 = 0 THEN 0.5{D} ELSE 0 END AS s, CASE WHEN supp % 50 = 0 THEN 0 ELSE t1 - t0 END AS d, t0 + CASE WHEN part % 30 = 0 THEN 1000 ELSE 0 END AS t, CASE WHEN part % 37 = 0 THEN 1.5{D} ELSE discount * 5 END AS a, tax * 5 AS c,
+t0 + CASE WHEN supp % 45 = 0 THEN -1 ELSE 0.5{D} END AS peak FROM lines),
+p AS (SELECT *, coalesce(lag(s + d) OVER w, low) AS s_from, coalesce(lag(t) OVER w, -1) AS t_from FROM l WINDOW w AS (PARTITION BY oid ORDER BY idx)),
+r AS (SELECT oid, bool_or(low < 0 OR high <= low OR oid % 13 = 0) AS scene, bool_or(s < s_from - 1e-7 OR d <= 0 OR s + d > high + 0.051{D}) AS fragment, bool_or(t < t_from OR t < low OR t > high OR a > 1 OR c > 1) AS motion,
+bool_or(t0 < low - 1e-4 OR t1 > high + 1e-4 OR peak < t0 - 1e-4 OR peak > t1 + 1e-4) AS act FROM p GROUP BY oid)"""
+
+
+@query(f"WITH {_PREPARED} SELECT oid, 'scene' AS rule FROM r WHERE scene UNION ALL SELECT oid, 'fragment' FROM r WHERE fragment UNION ALL SELECT oid, 'motion' FROM r WHERE motion UNION ALL SELECT oid, 'action' FROM r WHERE act")
+def prepared_rules(spark, sf_dir):
+    """An order is a prepared scene, its lines are the fragments, motion samples and actions."""
+    k, part, supp = F.col("oid"), F.col("part"), F.col("supp")
+    own = F.struct(
+        "idx", (F.col("t0") - F.when(part % 40 == 0, 0.5).otherwise(0.0)).alias("s"), F.when(supp % 50 == 0, 0.0).otherwise(F.col("t1") - F.col("t0")).alias("d"), (F.col("t0") + F.when(part % 30 == 0, 1000.0).otherwise(0.0)).alias("t"),
+        F.when(part % 37 == 0, 1.5).otherwise(F.col("discount") * 5).alias("a"), (F.col("tax") * 5).alias("c"), "t0", "t1", (F.col("t0") + F.when(supp % 45 == 0, -1.0).otherwise(0.5)).alias("peak"), "discount",
+    )
+    made = lines(spark, sf_dir).groupBy("oid").agg(F.array_sort(F.collect_list(own)).alias("own"), F.max("t1").alias("last"))
+    fields = lambda **names: F.transform("own", lambda x: F.struct(*(x[c].alias(n) for n, c in names.items())))
+    scene = made.select(
+        F.lit(0).alias("plan"), "oid", F.when(k % 11 == 0, -1.0).otherwise(0.0).alias("source_start"), (F.col("last") - F.when(k % 7 == 0, 1.0).otherwise(0.0)).alias("source_end"), F.when(k % 13 == 0, 0.0).otherwise(30.0).alias("fps"),
+        fields(start="s", duration="d").alias("fragments"), fields(time="t", activity="a", confidence="c").alias("motion"), fields(start="t0", end="t1", peak="peak", activity="discount").alias("actions"),
+    )
+    return validation.prepared_errors(scene, ["plan"], "oid").where("oid is not null").select("oid", "rule")
+
+
+@query(f"""WITH {SCENES_SQL}, s AS (SELECT cid, oid, row_number() OVER (PARTITION BY cid ORDER BY a0, oid) - 1 AS n, row_number() OVER (PARTITION BY cid ORDER BY price DESC, oid) - 1 AS pos, price FROM scenes)
+SELECT cid, oid, CASE WHEN price > 100000 THEN pos ELSE n END AS place FROM s""")
+def scene_places(spark, sf_dir):
+    """Dear orders are the selected scenes, the dearest first."""
+    number = lambda *by: (F.row_number().over(Window.partitionBy("cid").orderBy(*by)) - 1).cast("long")
+    made = scenes(spark, sf_dir).select("cid", "oid", F.col("oid").alias("source_id"), number("a0", "oid").alias("scene_id"), number(F.desc("price"), "oid").alias("position"), "price")
+    picked = made.where("price > 100000").select("cid", "source_id", "scene_id", "position")
+    return analysis.by_selection(made.drop("position"), picked, ["cid"]).select("cid", "oid", "place")
+
+
+@query(f"""WITH x AS (SELECT user_id AS tid, max(event_id) FILTER (event_id % 9 = 1) AS t, max(event_id) FILTER (event_id % 9 = 2) AS e FROM events GROUP BY user_id)
+SELECT tid, 'said ' || t AS text, CAST(t AS DOUBLE) + 0.5{D} AS duration, CAST(CASE WHEN t IS NOT NULL THEN 2 END AS INT) AS segments, 'w' || t AS word, CASE WHEN t IS NULL THEN 'no ' || e END AS error FROM x""")
+def transcript_results(spark, sf_dir):
+    """Events are the lines a speech process prints: progress, transcripts, errors and broken results."""
+    i = F.col("event_id").cast("string")
+    said = F.concat(
+        F.lit('RESULT:{"language":"en","duration":'), i, F.lit('.5,"text":"said '), i, F.lit('","segments":[{"start":0.0,"end":1.5,"text":"one","words":[{"word":"w'), i,
+        F.lit('","start":0.25,"end":0.5,"probability":0.5}]},{"start":1.5,"end":2.0,"text":"two","words":[]}]}'),
+    )
+    turn = F.col("event_id") % 9
+    line = F.when(turn == 1, said).when(turn == 2, F.concat(F.lit('RESULT:{"error":"no '), i, F.lit('"}'))).when(turn == 3, "RESULT:{broken").when(turn == 4, 'RESULT:{"text":"half"}').otherwise(F.concat(F.lit("PROGRESS:50:"), i))
+    made = words.transcripts(read(spark, sf_dir, "events").select(F.col("user_id").alias("tid"), "event_id", line.alias("line")), ["tid"], "event_id", "line")
+    t = F.col("transcript")
+    return made.select("tid", t["text"].alias("text"), t["duration"].alias("duration"), F.when(t.isNotNull(), F.size(t["segments"])).alias("segments"), t["segments"][0]["words"][0]["word"].alias("word"), "error")

@@ -9,6 +9,8 @@ from chronoframe.functions import text
 from chronoframe.plans import presets
 
 CONTIGUOUS, OVERRUN = 0.002, 0.051
+#: Scenes of a plan, overlap of fragments, and how far actions may pass their bounds.
+MOST_SCENES, OVERLAP, LOOSE = 100_000, 1e-7, 1e-4
 CURVES = ("snap", "saddle", "linear")
 
 
@@ -75,6 +77,42 @@ def event_errors(events: DataFrame, keys: list[str], target: str) -> DataFrame:
     return events.withColumn("_bad", F.coalesce(bad, F.lit(False))).where("_bad").select(*keys, "kind", "t0")
 
 
+def prepared_errors(prepared: DataFrame, plan: list[str], scene: str) -> DataFrame:
+    """plan, scene and rule for each rule that a prepared scene (of analysis.prepare) breaks: scene, fragment, motion or action.
+
+    A plan of more than MOST_SCENES scenes has a row without a scene: count. A null or infinite number breaks its rule, a null
+    list is an empty one, and a scene needs a fragment. The rate counts where there is a column fps. No scenes, no errors.
+    """
+    low, high = F.col("source_start"), F.col("source_end")
+
+    def broken(items: str, test) -> Column:
+        tests = F.transform(items, lambda x, i: F.coalesce(test(x, i), F.lit(True)))
+        return F.coalesce(F.exists(tests, lambda t: t), F.lit(False))
+
+    def fragment(x, i):
+        last = F.get(F.col("fragments"), i - 1)
+        begin = F.when(i == 0, low).otherwise(last["start"] + last["duration"])
+        right = finite(x["start"]) & finite(x["duration"]) & (x["duration"] > 0)
+        return ~right | (x["start"] < begin - OVERLAP) | (x["start"] + x["duration"] > high + OVERRUN)
+
+    def sample(x, i):
+        last = F.when(i == 0, -1.0).otherwise(F.get(F.col("motion"), i - 1)["time"])
+        return ~(within(x["time"], low, high) & (x["time"] >= last) & within(x["activity"], 0.0, 1.0) & within(x["confidence"], 0.0, 1.0))
+
+    def action(x, i):
+        inside = within(x["start"], low - LOOSE, high) & within(x["end"], low, high + LOOSE) & (x["end"] > x["start"])
+        return ~(inside & within(x["peak"], x["start"] - LOOSE, x["end"] + LOOSE) & within(x["activity"], -LOOSE, 1.0 + LOOSE))
+
+    usable = finite(low) & finite(high) & (low >= 0) & (high > low) & (F.size(F.coalesce("fragments", F.array())) > 0)
+    if "fps" in prepared.columns:
+        usable = usable & finite(F.col("fps")) & (F.col("fps") > 0)
+    rules = {"scene": ~F.coalesce(usable, F.lit(False)), "fragment": broken("fragments", fragment), "motion": broken("motion", sample), "action": broken("actions", action)}
+    found = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())), lambda x: x.isNotNull())
+    errors = prepared.select(*plan, scene, F.explode(found).alias("rule"))
+    many = prepared.groupBy(*plan).agg(F.count("*").alias("_n")).where(F.col("_n") > MOST_SCENES)
+    return errors.unionByName(many.select(*plan, F.lit(None).cast(prepared.schema[scene].dataType).alias(scene), F.lit("count").alias("rule")))
+
+
 def gate(df: DataFrame, errors: DataFrame, key: str, message: str) -> DataFrame:
     """df, or an error where a key of it has any: for sinks that must not see an invalid plan."""
     bad = errors.select(F.col(key).alias("_bad")).distinct()

@@ -78,3 +78,21 @@ def test_layout_rows_stay_on_stage(spark):
         rows = [r for r in got if r["b"] == b]
         assert [x for r in rows for x in f"{r['left']} {r['right']}".split()] == [x.upper() for x in w]
         assert all(r["x1"] >= 80 and r["w1"] <= 860 for r in rows) and all(a["y"] < c["y"] for a, c in zip(rows, rows[1:], strict=False))
+
+
+def test_prepared_errors_of_nulls_and_of_too_many_scenes(spark):
+    schema = "plan int, scene_id long, source_start double, source_end double, fragments array<struct<start double, duration double>>, motion array<struct<time double, activity double, confidence double>>, actions array<struct<start double, end double, peak double, activity double>>"
+    good = (1, 1, 0.0, 4.0, [(0.0, 2.0), (2.0, 2.0)], [(0.5, 0.2, 1.0), (0.5, 0.3, 1.0)], [(0.0, 1.0, 0.5, 0.4)])
+    rows = [
+        good,
+        (1, 2, None, 4.0, [(0.0, 2.0)], None, None),
+        (1, 3, 0.0, 4.0, None, [(0.5, float("nan"), 1.0)], []),
+        (1, 4, 0.0, 4.0, [(0.0, None)], [], [(0.0, 1.0, 0.5, float("inf"))]),
+        (1, 5, 0.0, 4.0, [(0.0, 2.0), (1.9, 1.0)], [(1.0, 0.1, 0.1), (0.9, 0.1, 0.1)], []),
+    ]
+    prepared = spark.createDataFrame(rows, schema)
+    found = {(r["scene_id"], r["rule"]) for r in validation.prepared_errors(prepared, ["plan"], "scene_id").collect()}
+    assert found == {(2, "scene"), (2, "fragment"), (3, "scene"), (3, "motion"), (4, "fragment"), (4, "action"), (5, "fragment"), (5, "motion")}
+    assert validation.prepared_errors(prepared.limit(0), ["plan"], "scene_id").count() == 0
+    many = spark.createDataFrame([good], schema).drop("scene_id").crossJoin(spark.range(validation.MOST_SCENES + 1).withColumnRenamed("id", "scene_id"))
+    assert [tuple(r) for r in validation.prepared_errors(many, ["plan"], "scene_id").collect()] == [(1, None, "count")]
