@@ -19,6 +19,12 @@ CALM_FRAMERS = ONE_FRAMERS[:7]
 #: Transitions by style as (upper bound of hash % 100, type).
 TRANSITIONS = {"HARD": [(30, "WARP_BUBBLE"), (50, "WAVE_WARP"), (90, "SLIDE_SHAKE")], "SMOOTH": [(10, "SLIDE_SHAKE")], "HYBRID": [(15, "WARP_BUBBLE"), (25, "WAVE_WARP"), (50, "SLIDE_SHAKE")]}
 TRANSITION_FRAMES = {"WARP_BUBBLE": 4, "WAVE_WARP": 6, "SLIDE_SHAKE": 6}
+#: Parameters of transitions, each with its name in the plan's parameters and what it is without one.
+TRANSITION_PARAMETERS = {
+    "WARP_BUBBLE": {"amplitude": ("warp_amplitude", 0.5), "frequency": ("warp_frequency", 1.2)},
+    "WAVE_WARP": {"height": ("wave_height", 280.0), "speed": ("wave_speed", 20.0)},
+    "SLIDE_SHAKE": {"amplitude": ("slide_pixels", 100.0)},
+}
 #: The seed's mask, and effects in the order of their draws with the share of segments (percent) by style.
 SEED_MASK = 0x5BF03635
 LOTTERY = {
@@ -72,6 +78,16 @@ def transitions(segments: DataFrame, keys: list[str], style: str, wrap: str) ->
     return made.withColumn("duration_frames", frames)
 
 
+def transition_params(made: DataFrame, given: dict[str, Column] | None = None) -> DataFrame:
+    """Adds params, a map of each transition's own parameters: those given for the plan, or their defaults where null or not there."""
+    value = lambda name, default: F.coalesce((given or {}).get(name, F.lit(None)).cast("double"), F.lit(default))
+    chosen = F.lit(None).cast("map<string,double>")
+    for kind, own in TRANSITION_PARAMETERS.items():
+        pairs = [x for name, source in own.items() for x in (F.lit(name), value(*source))]
+        chosen = F.when(F.col("type") == kind, F.create_map(*pairs)).otherwise(chosen)
+    return made.withColumn("params", chosen)
+
+
 def seeds(index: Column) -> list[Column]:
     """The segment's seed and the eight draws that follow from it."""
     out = [lcg(index.cast("long")).bitwiseXOR(F.lit(SEED_MASK))]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 STYLES = ["HARD", "SMOOTH", "HYBRID"]
 #: Parameter, default for HARD, SMOOTH and HYBRID, least and greatest.
@@ -43,3 +44,54 @@ def parameter_table(spark: SparkSession) -> DataFrame:
 def toggle_table(spark: SparkSession) -> DataFrame:
     rows = [(s, f, k, v) for s in STYLES for f in (False, True) for k, v in toggles(s, f).items()]
     return spark.createDataFrame(rows, "style string, full_fx boolean, name string, enabled boolean")
+
+
+#: What lies over a whole plan; one of these toggles is enough for a plan to have an ambiance.
+OVER_ALL = ["flicker", "exposure_flash", "echo_trail", "tint", "vignette", "scanlines", "cc_deep_dark"]
+#: Fixed values that do not go by style.
+ECHO_ALPHA, ECHO_DEPTH, VIGNETTE, SCANLINES = 0.3, 3.0, 0.3, 0.0
+
+
+def ambiance(style: Column, on: dict[str, Column], downbeats: Column, given: dict[str, Column] | None = None) -> Column:
+    """A plan's ambiance as a struct, or null where no toggle of OVER_ALL is on. A toggle that is null or not there is off.
+
+    given: parameters by the names in PARAMETERS; one that is null or not there takes its default, and trails need their own
+    alpha. anti_flash takes out flicker, flashes and the inversions of the tint. An unknown style is a hard one.
+    """
+    given = given or {}
+    switch = lambda name: F.coalesce(on[name], F.lit(False)) if name in on else F.lit(False)
+    calm = switch("anti_flash")
+    flashing = switch("exposure_flash") & ~calm
+    flicker, inverting = switch("flicker") & ~calm, switch("tint") & ~calm
+
+    def by_style(name: str) -> Column:
+        return F.when(F.upper(style) == "SMOOTH", parameters("SMOOTH")[name]).when(F.upper(style) == "HYBRID", parameters("HYBRID")[name]).otherwise(parameters("HARD")[name])
+
+    def own(name: str, default: Column | float) -> Column:
+        default = default if isinstance(default, Column) else F.lit(default)
+        return F.coalesce(given[name].cast("double"), default) if name in given else default
+
+    def where(test: Column, value: Column, otherwise: Column | float) -> Column:
+        return F.when(test, value).otherwise(otherwise)
+
+    none = F.array().cast("array<double>")
+    trails = switch("echo_trail") & (given["echo_alpha"].isNotNull() if "echo_alpha" in given else F.lit(False))
+    hz, peak = by_style("flicker_hz"), by_style("flash_peak")
+    shift = [where(switch("tint"), own(name, 0.0), 0.0).cast("int").alias(name[-1]) for name in ("tint_r", "tint_g", "tint_b")]
+    made = F.struct(
+        F.struct(where(flicker, own("flicker_amplitude", by_style("flicker_amplitude")), 0.0).alias("amplitude"), where(flicker, own("flicker_hz", hz), hz).alias("hz"), F.lit(0.0).alias("phase")).alias("flicker"),
+        F.struct(where(flashing, own("flash_peak", peak), 0.0).alias("peak"), where(flashing, downbeats, none).alias("times")).alias("flash"),
+        F.struct(trails.alias("enabled"), where(trails, own("echo_alpha", ECHO_ALPHA), ECHO_ALPHA).alias("alpha"), where(trails, own("echo_depth", ECHO_DEPTH), ECHO_DEPTH).cast("int").alias("depth")).alias("echo"),
+        F.struct(*shift, inverting.alias("invert"), where(inverting, downbeats, none).alias("times")).alias("tint"),
+        where(switch("vignette"), own("vignette", VIGNETTE), 0.0).alias("vignette"),
+        where(switch("scanlines"), own("scanlines", SCANLINES), 0.0).alias("scanlines"),
+        switch("cc_deep_dark").alias("deep_dark"),
+    )
+    return F.when(F.exists(F.array(*map(switch, OVER_ALL)), lambda t: t), made)
+
+
+def active(over: Column) -> Column:
+    """How many effects an ambiance counts for: flicker, flashes, trails, shifted colours, vignette and scanlines; 0 for none."""
+    shifted = (over["tint"]["r"] != 0) | (over["tint"]["g"] != 0) | (over["tint"]["b"] != 0)
+    tests = [over["flicker"]["amplitude"] > 0, F.size(over["flash"]["times"]) > 0, over["echo"]["enabled"], shifted, over["vignette"] > 0, over["scanlines"] > 0]
+    return sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))

@@ -10,7 +10,7 @@ from chronoframe.functions import text as tx
 from chronoframe.functions.numbers import mix32
 from chronoframe.operators import analysis, facts, planning, words
 from chronoframe.operators import events as ev
-from chronoframe.plans import validation
+from chronoframe.plans import presets, validation
 from chronoframe.plans.event_queries import _SEG, D, FPS, _segments, half_up_sql, hash_sql, out6, r6
 from chronoframe.plans.plan_queries import _plans
 from chronoframe.plans.registry import query
@@ -246,7 +246,7 @@ def scene_places(spark, sf_dir):
 
 
 @query(f"""WITH x AS (SELECT user_id AS tid, max(event_id) FILTER (event_id % 9 = 1) AS t, max(event_id) FILTER (event_id % 9 = 2) AS e FROM events GROUP BY user_id)
-SELECT tid, 'said ' || t AS text, CAST(t AS DOUBLE) + 0.5{D} AS duration, CAST(CASE WHEN t IS NOT NULL THEN 2 END AS INT) AS segments, 'w' || t AS word, CASE WHEN t IS NULL THEN 'no ' || e END AS error FROM x""")
+SELECT tid, 'said ' || t AS text, CAST(t AS DOUBLE) + 0.5{D} AS duration, CAST(CASE WHEN t IS NOT NULL THEN 2 ELSE 0 END AS INT) AS segments, 'w' || t AS word, CASE WHEN t IS NULL THEN 'no ' || e END AS error FROM x""")
 def transcript_results(spark, sf_dir):
     """Events are the lines a speech process prints: progress, transcripts, errors and broken results."""
     i = F.col("event_id").cast("string")
@@ -258,4 +258,53 @@ def transcript_results(spark, sf_dir):
     line = F.when(turn == 1, said).when(turn == 2, F.concat(F.lit('RESULT:{"error":"no '), i, F.lit('"}'))).when(turn == 3, "RESULT:{broken").when(turn == 4, 'RESULT:{"text":"half"}').otherwise(F.concat(F.lit("PROGRESS:50:"), i))
     made = words.transcripts(read(spark, sf_dir, "events").select(F.col("user_id").alias("tid"), "event_id", line.alias("line")), ["tid"], "event_id", "line")
     t = F.col("transcript")
-    return made.select("tid", t["text"].alias("text"), t["duration"].alias("duration"), F.when(t.isNotNull(), F.size(t["segments"])).alias("segments"), t["segments"][0]["words"][0]["word"].alias("word"), "error")
+    return made.select("tid", t["text"].alias("text"), t["duration"].alias("duration"), F.when(t.isNotNull(), F.size(t["segments"])).otherwise(0).alias("segments"), t["segments"][0]["words"][0]["word"].alias("word"), "error")
+
+
+_KINDS = " ".join(f"WHEN h % 100 < {bound} THEN '{name}'" for bound, name in ev.TRANSITIONS["HYBRID"])
+
+
+@query(f"""WITH {_SEG}, {hash_sql("seg", "sh", "t0", "999")}, x AS (SELECT tid, idx, CASE WHEN idx % 13 = 4 THEN 'WARP_BUBBLE' WHEN idx = 0 THEN NULL {_KINDS} END AS type, CASE WHEN tid % 3 > 0 THEN CAST(tid % 50 AS DOUBLE) END AS p FROM sh)
+SELECT tid, idx, type, CASE type WHEN 'WARP_BUBBLE' THEN coalesce(p / 50, 0.5{D}) WHEN 'SLIDE_SHAKE' THEN 100.0{D} END AS amplitude, CASE type WHEN 'WARP_BUBBLE' THEN 1.2{D} END AS frequency, CASE type WHEN 'WAVE_WARP' THEN coalesce(p * 10, 280.0{D}) END AS height,
+CASE type WHEN 'WAVE_WARP' THEN 20.0{D} END AS speed FROM x WHERE type IS NOT NULL""")
+def transition_parameters(spark, sf_dir):
+    """Transitions of a hybrid plan with two parameters of its own, or none."""
+    seg, _ = _segments(spark, sf_dir)
+    made = ev.transitions(seg.withColumn("wrap", F.col("idx") % 13 == 4), ["tid"], "HYBRID", "wrap")
+    p = F.when(F.col("tid") % 3 > 0, (F.col("tid") % 50).cast("double"))
+    rows = ev.transition_params(made, {"warp_amplitude": p / 50, "wave_height": p * 10})
+    return rows.select("tid", "idx", "type", *(F.try_element_at("params", F.lit(n)).alias(n) for n in ("amplitude", "frequency", "height", "speed")))
+
+
+_SWITCHES = [*presets.OVER_ALL, "anti_flash"]
+_STYLED = lambda name: f"CASE style WHEN 'SMOOTH' THEN {presets.parameters('SMOOTH')[name]}{D} WHEN 'HYBRID' THEN {presets.parameters('HYBRID')[name]}{D} ELSE {presets.parameters('HARD')[name]}{D} END"
+
+
+_NUMBERS = ["amplitude", "hz", "peak", "flashes", "alpha", "depth", "r", "inversions", "vignette", "scanlines"]
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS oid, upper(['HARD', 'smooth', 'HYBRID', 'ODD'][CAST(o_orderkey % 4 AS INT) + 1]) AS style, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey % 9 AS DOUBLE) / 10 END AS p, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END AS beats,
+{", ".join(f"(o_custkey // {2 ** i}) % 2 = 1 AS {name}" for i, name in enumerate(_SWITCHES))} FROM orders),
+a AS (SELECT oid, style, p, beats, {" OR ".join(presets.OVER_ALL)} AS has, flicker AND NOT anti_flash AS fl, exposure_flash AND NOT anti_flash AS ex, echo_trail AND p IS NOT NULL AS ec, tint AS ti, tint AND NOT anti_flash AS inv, vignette AS vi, scanlines AS sc, cc_deep_dark AS dd FROM o),
+b AS (SELECT oid, has, CASE WHEN fl THEN coalesce(p, {_STYLED("flicker_amplitude")}) ELSE 0 END AS amplitude, {_STYLED("flicker_hz")} AS hz, CASE WHEN ex THEN coalesce(p / 2, {_STYLED("flash_peak")}) ELSE 0 END AS peak, CASE WHEN ex THEN beats ELSE 0 END AS flashes, ec AS echo, CASE WHEN ec THEN p ELSE 0.3{D} END AS alpha, 3 AS depth,
+CASE WHEN ti THEN CAST(coalesce(p * 10, 0) AS INT) ELSE 0 END AS r, inv AS invert, CASE WHEN inv THEN beats ELSE 0 END AS inversions, CASE WHEN vi THEN coalesce(p, 0.3{D}) ELSE 0 END AS vignette, CASE WHEN sc THEN coalesce(p / 3, 0) ELSE 0 END AS scanlines, dd AS deep_dark FROM a)
+SELECT oid, has, {", ".join(f"CASE WHEN has THEN {c} ELSE -1 END AS {c}" for c in _NUMBERS)}, {", ".join(f"has AND {c} AS {c}" for c in ("echo", "invert", "deep_dark"))},
+CASE WHEN has THEN CAST(amplitude > 0 AS INT) + CAST(flashes > 0 AS INT) + CAST(echo AS INT) + CAST(r <> 0 AS INT) + CAST(vignette > 0 AS INT) + CAST(scanlines > 0 AS INT) ELSE 0 END AS effects FROM b""")
+def plan_ambiance(spark, sf_dir):
+    """Orders are plans; the bits of a customer's number are its toggles. Numbers of a plan without an ambiance are -1 here."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    style = F.element_at(F.array(*map(F.lit, ["HARD", "smooth", "HYBRID", "ODD"])), (k % 4 + 1).cast("int"))
+    on = {name: F.floor(c / 2**i) % 2 == 1 for i, name in enumerate(_SWITCHES)}
+    p = F.when(k % 3 > 0, (c % 9).cast("double") / 10)
+    beats = F.when(k % 5 == 0, F.array().cast("array<double>")).otherwise(F.array(F.lit(0.0), F.lit(2.0)))
+    # A tenth times ten isn't always whole: the shift is given as the whole number it is.
+    given = {"flicker_amplitude": p, "flash_peak": p / 2, "echo_alpha": p, "tint_r": F.when(k % 3 > 0, c % 9), "vignette": p, "scanlines": p / 3}
+    a = F.col("a")
+    rows = read(spark, sf_dir, "orders").select(k.alias("oid"), presets.ambiance(style, on, beats, given).alias("a"))
+    numbers = [
+        a["flicker"]["amplitude"], a["flicker"]["hz"], a["flash"]["peak"], F.size(a["flash"]["times"]), a["echo"]["alpha"], a["echo"]["depth"], a["tint"]["r"], F.size(a["tint"]["times"]), a["vignette"], a["scanlines"],
+    ]
+    flags = {"echo": a["echo"]["enabled"], "invert": a["tint"]["invert"], "deep_dark": a["deep_dark"]}
+    has = a.isNotNull()
+    shown = [F.when(has, x).otherwise(-1).alias(n) for n, x in zip(_NUMBERS, numbers, strict=True)]
+    return rows.select("oid", has.alias("has"), *shown, *(F.coalesce(x, F.lit(False)).alias(n) for n, x in flags.items()), presets.active(a).alias("effects"))

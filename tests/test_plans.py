@@ -96,3 +96,15 @@ def test_prepared_errors_of_nulls_and_of_too_many_scenes(spark):
     assert validation.prepared_errors(prepared.limit(0), ["plan"], "scene_id").count() == 0
     many = spark.createDataFrame([good], schema).drop("scene_id").crossJoin(spark.range(validation.MOST_SCENES + 1).withColumnRenamed("id", "scene_id"))
     assert [tuple(r) for r in validation.prepared_errors(many, ["plan"], "scene_id").collect()] == [(1, None, "count")]
+
+
+def test_ambiance_without_toggles_and_with_nulls(spark):
+    rows = spark.createDataFrame([("HARD", True, False, None), ("SMOOTH", None, False, 0.5), ("odd", True, True, 0.5), ("HYBRID", True, False, 0.5)], "style string, on boolean, calm boolean, p double")
+    on = {name: F.col("on") for name in ("flicker", "exposure_flash", "echo_trail", "tint")} | {"anti_flash": F.col("calm")}
+    given = {"flicker_amplitude": F.col("p"), "echo_alpha": F.col("p"), "tint_g": F.col("p") * 8}
+    made = rows.select(presets.ambiance(F.col("style"), on, F.array(F.lit(1.0)), given).alias("a"), presets.ambiance(F.col("style"), {}, F.array(F.lit(1.0))).alias("none")).select("*", presets.active(F.col("a")).alias("n"))
+    first, second, third, last = made.collect()
+    assert second["a"] is None and second["n"] == 0 and all(r["none"] is None for r in (first, second, third, last))
+    assert first["a"]["flicker"]["amplitude"] == 0.15 and first["a"]["flash"]["times"] == [1.0] and not first["a"]["echo"]["enabled"] and first["n"] == 2
+    assert third["a"]["flicker"]["amplitude"] == 0.0 and third["a"]["flash"]["times"] == [] and not third["a"]["tint"]["invert"] and third["a"]["tint"]["g"] == 4 and third["n"] == 2
+    assert last["a"]["flicker"]["amplitude"] == 0.5 and last["a"]["flicker"]["hz"] == 10.0 and last["a"]["echo"]["enabled"] and last["n"] == 4
