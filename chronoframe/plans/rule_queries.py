@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import curves as cv
 from chronoframe.functions import text as tx
 from chronoframe.functions.numbers import mix32
-from chronoframe.operators import analysis, facts, planning, words
+from chronoframe.operators import analysis, facts, folds, planning, words
 from chronoframe.operators import events as ev
 from chronoframe.plans import presets, validation
 from chronoframe.plans.event_queries import _SEG, D, FPS, _segments, half_up_sql, hash_sql, out6, r6
@@ -308,3 +308,11 @@ def plan_ambiance(spark, sf_dir):
     has = a.isNotNull()
     shown = [F.when(has, x).otherwise(-1).alias(n) for n, x in zip(_NUMBERS, numbers, strict=True)]
     return rows.select("oid", has.alias("has"), *shown, *(F.coalesce(x, F.lit(False)).alias(n) for n, x in flags.items()), presets.active(a).alias("effects"))
+
+
+@query(f"""WITH {SCENES_SQL}, d AS (SELECT cid % 50 AS tid, oid, unnest(range(CAST(a0 AS BIGINT), CAST(a1 AS BIGINT))) AS day FROM scenes), m AS (SELECT *, min(oid) OVER (PARTITION BY tid, day) < oid AS again FROM d)
+SELECT tid, oid, CAST(count(CASE WHEN again THEN 1 END) AS DOUBLE) / count(*) AS reused FROM m GROUP BY tid, oid""")
+def reused_fraction(spark, sf_dir):
+    """Orders are the shots of fifty plans, in order of their numbers; what they use of the footage are whole days."""
+    shots = scenes(spark, sf_dir).select((F.col("cid") % 50).alias("tid"), "oid", "a0", "a1")
+    return folds.reused(shots, ["tid"], ["oid"]).select("tid", "oid", "reused")

@@ -1,3 +1,5 @@
+import random
+
 from chronoframe.operators import folds
 from chronoframe.operators import intervals as iv
 
@@ -63,3 +65,21 @@ def test_empty_tables(spark):
     a = spark.createDataFrame([], "k int, a0 double, a1 double")
     b = spark.createDataFrame([], "k int, b0 double, b1 double")
     assert iv.clip(a, b, ["k"], 1.0).collect() == [] and iv.coverage_union(a, ["k"], "a0", "a1").collect() == []
+
+
+def test_shares_of_shots_used_before(spark):
+    rng = random.Random(5)
+    shots = [(k, i, a := rng.randrange(40), a + rng.randrange(1, 9)) for k in (1, 2) for i in range(60)]
+    df = spark.createDataFrame([(k, i, a / 4, b / 4) for k, i, a, b in shots], "k int, i int, a0 double, a1 double").repartition(5)
+    got = {(r["k"], r["i"]): r["reused"] for r in folds.reused(df, ["k"], ["i"]).collect()}
+    for k, i, a, b in shots:
+        before = {x for q, j, c, d in shots if q == k and j < i for x in range(c, d)}
+        assert got[k, i] == len(before & set(range(a, b))) / (b - a)
+
+
+def test_shots_without_a_range_use_nothing(spark):
+    odd = [(1, 0, None, 5.0), (1, 1, 2.0, 2.0), (1, 2, 0.0, float("nan")), (1, 3, float("-inf"), 9.0), (1, 4, 1.0, 3.0), (1, 5, 1.0, 3.0), (None, 0, 1.0, 3.0)]
+    df = spark.createDataFrame(odd, "k int, i int, a0 double, a1 double")
+    got = {(r["k"], r["i"]): r["reused"] for r in folds.reused(df, ["k"], ["i"]).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): None, (1, 3): None, (1, 4): 0.0, (1, 5): 1.0, (None, 0): 0.0}
+    assert folds.reused(df.limit(0), ["k"], ["i"]).count() == 0
