@@ -88,3 +88,16 @@ def test_jobs_have_all_scenes_of_a_long_timeline(spark, monkeypatch):
     jobs = {r["job"]: r["scenes"] for r in plan_queries._jobs(spark, "", False).collect()}
     assert [len(jobs[1]), len(jobs[2])] == [3, 6]
     assert sum(len(s["motion"]) for s in jobs[2]) == 260
+
+
+@pytest.mark.parametrize("smart", [True, False])
+def test_nothing_is_tried_twice(smart, monkeypatch):
+    seen, ends = [], schedule.Job.ends
+    monkeypatch.setattr(schedule.Job, "ends", lambda self, s, start, time: seen.append((s.scene_id, start, time)) or ends(self, s, start, time))
+    assert job(smart).shots() and len(seen) == len(set(seen))
+
+
+def test_few_rows_are_dealt_to_all_cores(spark):
+    kind = "scenes array<struct<scene_id:int,source_id:int,source_end:double,fragments:array<struct<start:double,duration:double>>,motion:array<struct<time:double,activity:double,confidence:double>>,actions:array<struct<start:double,end:double,peak:double,activity:double>>>>"
+    rows = spark.createDataFrame([], f"job long, target double, preferred double, rate double, smart boolean, long_clip boolean, bounds array<double>, downbeats array<double>, {kind}").coalesce(1)
+    assert schedule.schedule(rows).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
