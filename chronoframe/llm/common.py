@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from chronoframe import shipping
 
+#: Bytes of a row group. Each task holds one while it writes and, of texts, nearly the whole of one while it reads.
+ROW_GROUP = 8 << 20
 #: Rows of one Arrow batch sent to Python. Texts are read whole, so a batch holds this many of them.
 ROWS_PER_BATCH = 512
 
@@ -49,7 +51,7 @@ class Workspace:
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write df and return the table as read back."""
         path = f"{self.root}/{name}"
-        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+        df.write.options(**({"compression": "zstd", "parquet.block.size": str(ROW_GROUP)} | options)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def below(self, name: str) -> Workspace:

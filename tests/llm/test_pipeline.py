@@ -47,3 +47,17 @@ def test_each_stage_takes_effect(spark, tables):
     packed = corpus_pipeline.run(spark, tables)
     assert {r["doc_id"] for r in packed.collect()} == ids[4]
     assert packed.columns == packing.pack(steps[4], __import__("public_tokenizers").path("word_bpe_49k.json"), 2).columns
+
+
+def test_saved_tables_have_small_row_groups(spark):
+    """A task that reads or writes texts holds a row group of them; eight of 128 MB did not fit a heap of 1 GB."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from chronoframe.llm import common
+
+    rows = spark.range(0, 400_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    files = common.Workspace(spark, "row-groups").save(rows, "rows").inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(m.num_rows for m in groups) == 400_000 and max(sizes) <= 2 * common.ROW_GROUP
