@@ -47,6 +47,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ROWS_PER_BATCH)
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write df and return the table as read back."""

@@ -59,5 +59,6 @@ def test_saved_tables_have_small_row_groups(spark):
     rows = spark.range(0, 400_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
     files = common.Workspace(spark, "row-groups").save(rows, "rows").inputFiles()
     groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(common.ROWS_PER_BATCH)
     sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
     assert sum(m.num_rows for m in groups) == 400_000 and max(sizes) <= 2 * common.ROW_GROUP
