@@ -107,20 +107,35 @@ def in_step(batch: pa.RecordBatch) -> np.ndarray:
 
 
 @dataclass
-class Tried:
-    """Candidates: state, scene, start, end and span of each, its reused share, activity and score; by state, scene, start, end."""
+class Weighed:
+    """Candidates without regard to what was shown before, by scene, time, start, end and span; costs in the order they are added."""
 
-    state: np.ndarray
     scene: np.ndarray
     start: np.ndarray
     end: np.ndarray
     span: np.ndarray
-    reused: np.ndarray
+    duration: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     activity: np.ndarray
+    moving: np.ndarray
+    fresh: np.ndarray | None
+    beat: np.ndarray
+    costs: list[np.ndarray]
+
+
+@dataclass
+class Tried:
+    """Candidates of states, by state, scene, start, end and span: their rows among those weighed, reused shares and scores."""
+
+    state: np.ndarray
+    row: np.ndarray
+    reused: np.ndarray
     score: np.ndarray
+    weighed: Weighed
 
     def of(self, rows: np.ndarray) -> Tried:
-        return Tried(*(x[rows] for x in vars(self).values()))
+        return Tried(self.state[rows], self.row[rows], self.reused[rows], self.score[rows], self.weighed)
 
 
 @dataclass
@@ -305,82 +320,107 @@ class Walks:
         return row[good], x[good]
 
     def rated(self, job: np.ndarray, time: np.ndarray, used: np.ndarray, last: Last | None, past: np.ndarray) -> Tried:
-        """All candidates of each state, scored. used: states x sources x ranges; past: columns of the shots before, for each state."""
+        """All candidates of each state, scored. used: states x sources x ranges; past: columns of the shots before.
+
+        States of a job that end at the same time mostly have the same starts to try in a scene: those are weighed once.
+        """
         state, number = runs(self.count[job])
         scene = self.first[job[state]] + number
         pair, start = self._starts(state, scene, used, last)
-        at, end = self._ends(job[state[pair]], scene[pair], start, time[state[pair]])
-        pair, start = pair[at], start[at]
-        at, span = self._spans(job[state[pair]], scene[pair], start, end - time[state[pair]])
-        pair, start, end = pair[at], start[at], end[at]
-        return self._scored(job, time, used, last, past, state, scene, pair, start, end, span)
-
-    def _scored(self, job, time, used, last, past, state, scene, pair, start, end, span) -> Tried:  # noqa: PLR0913
-        s, c = state[pair], scene[pair]
-        j, now = job[s], time[s]
-        preferred, duration = self.preferred[j], end - now
+        order = np.lexsort((start, time[state[pair]], scene[pair]))
+        rows = np.stack([scene[pair], time[state[pair]], start])[:, order]
+        fresh = np.concatenate([np.ones(min(len(order), 1), dtype=bool), (rows[:, 1:] != rows[:, :-1]).any(axis=0)])
+        same = np.empty(len(order), dtype=np.int64)
+        same[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        weighed, count = self._weighed(job[state[pair[first]]], scene[pair[first]], start[first], time[state[pair[first]]])
+        at, step = runs(count[same])
+        return self._scored(job, time, used, last, past, state, scene, pair[at], (np.cumsum(count) - count)[same[at]] + step, weighed)
+
+    def _weighed(self, job: np.ndarray, scene: np.ndarray, start: np.ndarray, time: np.ndarray) -> tuple[Weighed, np.ndarray]:
+        """What can be shown in scenes from starts and times on, and how many candidates each of them has."""
+        at, end = self._ends(job, scene, start, time)
+        beat = np.where(self._on_beat(job[at], end), 0.3, 0.1)
+        row, span = self._spans(job[at], scene[at], start[at], end - time[at])
+        begun = search(self.times, self.motion_at[scene], self.motion_at[scene + 1], np.maximum(start, 0.0) + self.a[scene])
+        end, beat, of = end[row], beat[row], at[row]
+        count = np.bincount(of, minlength=len(job))
+        job, c, start, now = job[of], scene[of], start[of], time[of]
+        preferred, duration = self.preferred[job], end - now
         low = np.maximum(start, 0.0)
         high = np.minimum(start + span, self.length[c])
         high = np.where(high > low + 1e-9, high, low)
         low, high = low + self.a[c], high + self.a[c]
-        # What of the score depends on no state.
-        first, stop = self.motion_at[c], self.motion_at[c + 1]
-        i, k = search(self.times, first, stop, low), search(self.times, first, stop, high, right=True)
+        i, k = begun[of], search(self.times, self.motion_at[c], self.motion_at[c + 1], high, right=True)
         k = np.where(high > low, np.maximum(i, k), i)
         many = np.maximum(k - i, 1)
         activity, active = (np.where(k > i, (x[k + c] - x[i + c]) / many, 0.0) for x in (self.capped, self.active))
-        cut = np.zeros(len(s), dtype=bool)
+        cut = np.zeros(len(c), dtype=bool)
         if len(self.action_starts):
-            at = self.to_source(c, start + span)
-            begun = search(self.action_starts, self.actions_at[c], self.actions_at[c + 1], at)
-            cut = (begun > self.actions_at[c]) & (self.open_until[np.maximum(begun - 1, 0)] > at)
-        on_beat = np.zeros(len(s), dtype=bool)
-        if len(self.beats):
-            i = search(self.beats, self.beats_at[j], self.beats_at[j + 1], end)
-            near = lambda at, there: there & (np.abs(self.beats[np.clip(at, 0, len(self.beats) - 1)] - end) < 0.03)
-            on_beat = near(i - 1, i > self.beats_at[j]) | near(i, i < self.beats_at[j + 1])
+            t = self.to_source(c, start + span)
+            begun = search(self.action_starts, self.actions_at[c], self.actions_at[c + 1], t)
+            cut = (begun > self.actions_at[c]) & (self.open_until[np.maximum(begun - 1, 0)] > t)
         length = duration / preferred
+        costs = [
+            (1.6 if self.smart else 0.6) * np.abs(np.log(length)), 1.5 * (1.0 - active) * np.minimum(length, 2.0), 1.8 * np.abs(np.log(span / duration / self.rate[job])),
+            np.where(cut, 0.45 if self.smart else 0.9, 0.0),
+        ]
+        if self.long_clip:
+            costs.append(5.0 * np.abs((self.base[c] + start + span * 0.5) / self.total[job] - (now + duration * 0.5) / self.target[job]))
+        fresh = None if self.smart else np.minimum(span / preferred, 2.0)
+        return Weighed(c, start, end, span, duration, low, high, activity, 2.5 * activity + 0.9 * active, fresh, beat, costs), count
+
+    def _on_beat(self, job: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(self.beats):
+            return np.zeros(len(end), dtype=bool)
+        i = search(self.beats, self.beats_at[job], self.beats_at[job + 1], end)
+        near = lambda at, there: there & (np.abs(self.beats[np.clip(at, 0, len(self.beats) - 1)] - end) < 0.03)
+        return near(i - 1, i > self.beats_at[job]) | near(i, i < self.beats_at[job + 1])
+
+    def _scored(self, job, time, used, last, past, state, scene, pair, row, w) -> Tried:  # noqa: PLR0913
+        """Scores of the candidates w has in these rows, for the states and scenes of pairs."""
+        s, span = state[pair], w.span[row]
         # What has been shown: ranges of the source, and the last time of the scene.
         slot = self.slot[scene]
         own = used[state, slot]
         ranges = (own[:, :, 0] < INF).sum(axis=1)
         covered, rows = np.zeros(len(s)), np.flatnonzero(ranges[pair] > 0)
+        low, high = w.low[row], w.high[row]
         for r in range(own.shape[1]):
             rows = rows[ranges[pair[rows]] > r]
             covered[rows] += np.maximum(np.minimum(high[rows], own[pair[rows], r, 1]) - np.maximum(low[rows], own[pair[rows], r, 0]), 0.0)
         reused = np.clip(np.minimum(covered, high - low) / span, 0.0, 1.0)
         seen, held, recent = self._memory(job, state, scene, last, past)
-        fresh = 1.0 if self.smart else np.minimum(span / preferred, 2.0)
-        gain = 2.5 * activity + 0.9 * active + (1.0 - reused) * fresh + np.where(np.isnan(seen), 0.65, 0.0)[pair]
+        gain = w.moving[row] + (1.0 - reused if self.smart else (1.0 - reused) * w.fresh[row]) + np.where(np.isnan(seen), 0.65, 0.0)[pair]
         weight = 0.3 if self.long_clip else 2.0 if self.smart else 1.3
         known = np.flatnonzero(~np.isnan(seen))
         again = np.zeros(len(state))
         again[known] = weight * exp(-np.maximum(time[state[known]] - seen[known], 0.0) / (self.preferred[job[state[known]]] * 2.0 if self.smart else 4.0))
         cost = again[pair]
         if last is not None and not self.smart:
-            goes_on = (last.scene[s] == c) & (np.abs((last.start + last.span)[s] - start) < 0.03)
+            goes_on = (last.scene[s] == scene[pair]) & (np.abs((last.start + last.span)[s] - w.start[row]) < 0.03)
             gain = gain + np.where(goes_on, 0.3 if self.long_clip else 1.1, 0.0)
             cost = np.where(goes_on, 0.0, cost)
-        gain = gain + np.where(on_beat, 0.3, 0.1)
+        gain = gain + w.beat[row]
         rows = np.flatnonzero(reused > 0)
         if len(rows):
             window = np.minimum(np.maximum(self.preferred[job] * 3.0, 2.0), 5.0) if self.smart else np.full(len(job), one.RECURRENCE)
             repeat = (4.0 if self.smart else 8.0) / (1.0 + exp(np.minimum((time - window) / 1.5, 700.0)))
-            replay, own_slot = np.zeros(len(rows)), slot[pair[rows]]
+            replay = np.zeros(len(rows))
+            of, low, high = s[rows], low[rows], high[rows]
+            own_slot, most = slot[pair[rows]], high - low
             for t1, from_slot, piece_low, piece_high, there in recent:
                 fading = np.where(there, 4.0 * exp(-np.maximum(time - t1, 0.0) / window), 0.0)
-                meets = np.minimum(high[rows], piece_high[s[rows]]) - np.maximum(low[rows], piece_low[s[rows]])
-                replay = np.maximum(replay, np.where((own_slot == from_slot[s[rows]]) & (np.minimum(meets, (high - low)[rows]) > 0.001), fading[s[rows]], 0.0))
-            cost[rows] = reused[rows] * (((3.0 if self.smart else 4.0) + repeat)[s[rows]] + replay) + cost[rows]
-        cost = cost + (1.6 if self.smart else 0.6) * np.abs(np.log(length))
-        cost = cost + 1.5 * (1.0 - active) * np.minimum(length, 2.0)
-        cost = cost + 1.8 * np.abs(np.log(span / duration / self.rate[j]))
-        cost = cost + np.where(cut, 0.45 if self.smart else 0.9, 0.0)
-        if self.long_clip:
-            cost = cost + 5.0 * np.abs((self.base[c] + start + span * 0.5) / self.total[j] - (now + duration * 0.5) / self.target[j])
+                meets = np.flatnonzero(own_slot == from_slot[of])
+                mine = of[meets]
+                shown = np.minimum(high[meets], piece_high[mine]) - np.maximum(low[meets], piece_low[mine])
+                replay[meets] = np.maximum(replay[meets], np.where(np.minimum(shown, most[meets]) > 0.001, fading[mine], 0.0))
+            cost[rows] = reused[rows] * (((3.0 if self.smart else 4.0) + repeat)[of] + replay) + cost[rows]
+        for more in w.costs:
+            cost = cost + more[row]
         if self.smart:
-            cost = cost + np.maximum((held[pair] + duration) / preferred - 1.5, 0.0) * 1.4
-        return Tried(s, c, start, end, span, reused, activity, gain - cost)
+            cost = cost + np.maximum((held[pair] + w.duration[row]) / self.preferred[job][s] - 1.5, 0.0) * 1.4
+        return Tried(s, row, reused, gain - cost, w)
 
     def _memory(self, job: np.ndarray, state: np.ndarray, scene: np.ndarray, last: Last | None, past: np.ndarray):
         """Of each pair when the scene ended last (nan: not lately) and how long it has been held; of each state its recent shots."""
@@ -448,21 +488,23 @@ class Walks:
                 raise ValueError("no valid shot can follow")
             if n >= one.MOST_SHOTS:
                 raise ValueError("too many shots")
-            job, a = walking[kept.state], self.a[kept.scene]
-            low, high = np.maximum(kept.start, 0.0), np.minimum(kept.start + kept.span, self.length[kept.scene])
+            w, row = kept.weighed, kept.row
+            scene, start, span, end = w.scene[row], w.start[row], w.span[row], w.end[row]
+            job, a = walking[kept.state], self.a[scene]
+            low, high = np.maximum(start, 0.0), np.minimum(start + span, self.length[scene])
             high = np.where(high > low + 1e-9, high, low)
-            last = Last(kept.scene, kept.start, kept.span, time[job], kept.end, a + low, a + high)
-            after = self._used(used[kept.state], self.slot[kept.scene], last.low, last.high)
+            last = Last(scene, start, span, time[job], end, a + low, a + high)
+            after = self._used(used[kept.state], self.slot[scene], last.low, last.high)
             # Shots before the earliest that any state can still recall are of no account to all of them.
             lately = (last.t1[None, :] - self.history[4, :n][:, job] < 2 * one.RECURRENCE).any(axis=1)
-            goes_on = np.flatnonzero(kept.end < self.target[job] - 1e-7)
+            goes_on = np.flatnonzero(end < self.target[job] - 1e-7)
             mine = Last(*(x[goes_on] for x in vars(last).values()))
-            follow = self.rated(job[goes_on], kept.end[goes_on], after[goes_on], mine, np.flatnonzero(lately))
+            follow = self.rated(job[goes_on], end[goes_on], after[goes_on], mine, np.flatnonzero(lately))
             best = np.full(len(goes_on), -INF)
             np.maximum.at(best, follow.state, follow.score)
             ahead = np.zeros(len(job))
             ahead[goes_on] = np.where(best == -INF, -8.0, best)
-            ahead[kept.end >= self.target[job] - 0.025] = 0.0
+            ahead[end >= self.target[job] - 0.025] = 0.0
             chosen = np.lexsort((-(kept.score + 0.35 * ahead), kept.state))
             chosen = chosen[np.concatenate([[True], np.diff(kept.state[chosen]) > 0])]
             job = walking
@@ -470,8 +512,8 @@ class Walks:
                 self.history = np.concatenate([self.history, np.zeros_like(self.history)], axis=1)
             for i, x in enumerate(vars(last).values()):
                 self.history[i, n, job] = x[chosen]
-            out.append([job, np.full(len(job), n), *(x[chosen] for x in (kept.scene, kept.start, kept.span, last.t0, last.t1, kept.reused, kept.activity, kept.score))])
-            time[job] = kept.end[chosen]
+            out.append([job, np.full(len(job), n), *(x[chosen] for x in (scene, start, span, last.t0, last.t1, kept.reused, w.activity[row], kept.score))])
+            time[job] = end[chosen]
             n += 1
             on = time[job] < self.target[job] - 1e-7
             walking, used = job[on], after[chosen[on]]
